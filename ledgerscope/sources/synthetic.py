@@ -34,7 +34,7 @@ _MASK53 = (1 << 53) - 1
 def _u(seed: int, stream: int, *cols) -> F.Column:
     """Uniform [0, 1) from a 64-bit hash of (seed, stream, cols)."""
     h = F.xxhash64(F.lit(seed), F.lit(stream), *cols)
-    return F.bitwise_and(h, F.lit(_MASK53)).cast("double") / float(1 << 53)
+    return h.bitwiseAND(F.lit(_MASK53)).cast("double") / float(1 << 53)
 
 
 def _normal(seed: int, stream: int, *cols) -> F.Column:
