@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from ledgerscope.operators import iforest
 from ledgerscope.operators.neighbours import collapse
 from ledgerscope.operators.outliers import (
-    ROW_LIMIT, dbscan_noise, dynamic_eps, impute_median, local_outlier_factor, robust_scale,
-    to_vector_points, vote)
+    EPS_K, ROW_LIMIT, dbscan_noise, dynamic_eps, impute_median, local_outlier_factor, lof_neighbours,
+    robust_scale, to_vector_points, vote)
 from ledgerscope.operators.pca import fit_pca, project
+from ledgerscope.operators.quantiles import column_quantiles
 from ledgerscope.sources.transactions import select_numeric_features
 
 PCA_MAX = 10
@@ -36,11 +37,17 @@ class EnsembleResult:
 
 
 def prepare(df: DataFrame, id_col: str, exclude=()) -> tuple[DataFrame, list[str]]:
-    """D7 + U1 + U2 on the numeric columns (the id column is kept apart)."""
-    num, cols = select_numeric_features(df.drop(*[c for c in exclude if c in df.columns]))
-    if id_col in cols and id_col in exclude:
-        cols.remove(id_col)
+    """D7 + U1 + U2 on the numeric columns (the id column is kept apart).
+
+    Scaling statistics are taken *after* imputation.  Without NULLs the
+    two coincide, so one exact quantile pass serves both."""
+    _, cols, (n, nonnull) = select_numeric_features(
+        df.drop(*[c for c in exclude if c in df.columns]), with_counts=True)
     base = df.select(F.col(id_col).alias("_rid"), *[F.col(c).cast("double").alias(c) for c in cols])
+    if all(nonnull[c] == n for c in cols):
+        q = column_quantiles(base, cols, [0.25, 0.5, 0.75])
+        scaled, _ = robust_scale(base, cols, q)
+        return scaled, cols
     imp, _ = impute_median(base, cols)
     scaled, _ = robust_scale(imp, cols)
     return scaled, cols
@@ -67,9 +74,16 @@ def detect_generic(df: DataFrame, id_col: str, exclude=(), row_limit: int | None
     else:
         pts = distance_points(scaled, cols).persist()
         groups = collapse(pts, "_rid")
-        eps, _ = dynamic_eps(pts, "_rid", groups=groups)
+        g = groups[0].persist()
+        groups = (g, groups[1])
+        # one exact kNN pass serves both models: LOF's 20 neighbours
+        # (self excluded) also give the 5-NN distance (self included) for eps
+        nb = lof_neighbours(g, n).persist() if n > 1 else None
+        eps, _ = dynamic_eps(pts, "_rid", groups=groups,
+                             neighbours=nb if n > EPS_K else None)
         db = dbscan_noise(pts, "_rid", eps, groups=groups).select("_rid", "anomaly_model_dbscan")
-        lf = local_outlier_factor(pts, "_rid", groups=groups).select("_rid", "lof", "anomaly_model_lof")
+        lf = local_outlier_factor(pts, "_rid", groups=groups, neighbours=nb).select(
+            "_rid", "lof", "anomaly_model_lof")
         res = forest.join(db, "_rid").join(lf, "_rid")
     res = vote(res, n, row_limit)
     out = df.join(res.withColumnRenamed("_rid", id_col), id_col)

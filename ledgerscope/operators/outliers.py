@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.operators.neighbours import collapse, knn, kth_distance, radius_counts
+from ledgerscope.operators.neighbours import (
+    collapse, knn, kth_distance, kth_including_self, radius_counts)
 from ledgerscope.operators.quantiles import column_quantiles
 
 # fixed values: model parameters
@@ -28,10 +29,11 @@ def impute_median(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
                            for c in cols if med[c] is not None}), med
 
 
-def robust_scale(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
+def robust_scale(df: DataFrame, cols: list[str], quartiles: dict | None = None) -> tuple[DataFrame, dict]:
     """(x - median) / (Q3 - Q1), an IQR of 0 divides by 1 (so a rare
-    non-zero value among zeros keeps its size)."""
-    q = column_quantiles(df, cols, [0.25, 0.5, 0.75])
+    non-zero value among zeros keeps its size).  ``quartiles``: already
+    known {col: [q1, median, q3]}."""
+    q = quartiles or column_quantiles(df, cols, [0.25, 0.5, 0.75])
     stats = {}
     exprs = {}
     for c in cols:
@@ -54,7 +56,7 @@ def _row_values(rowmap: DataFrame, per_group: DataFrame, id_col: str) -> DataFra
 
 
 def dynamic_eps(points: DataFrame, id_col: str, k: int = EPS_K, pct: float = EPS_PERCENTILE,
-                groups=None) -> tuple[float, DataFrame]:
+                groups=None, neighbours: DataFrame | None = None) -> tuple[float, DataFrame]:
     """U4: the pct-th percentile (over rows) of the distance to the k-th
     neighbour counting the point itself, floored at 0.01; 0.5 below k rows.
     Returns (eps, per-row k-distance table (id, kdist))."""
@@ -62,7 +64,10 @@ def dynamic_eps(points: DataFrame, id_col: str, k: int = EPS_K, pct: float = EPS
     n = points.count()
     if n < k:
         return EPS_SMALL_N, None
-    kd = kth_distance(knn(groups, k, include_self=True)).withColumnRenamed("qid", "gid")
+    if neighbours is not None:  # a longer list computed without the point itself
+        kd = kth_including_self(neighbours, groups, k).withColumnRenamed("qid", "gid")
+    else:
+        kd = kth_distance(knn(groups, k, include_self=True)).withColumnRenamed("qid", "gid")
     per_row = _row_values(rowmap, kd, id_col)
     q = column_quantiles(per_row, ["kdist"], [pct / 100.0])["kdist"][0]
     return max(q, EPS_FLOOR), per_row
@@ -90,8 +95,13 @@ def dbscan_noise(points: DataFrame, id_col: str, eps: float, min_samples: int =
     return _row_values(rowmap, res, id_col)
 
 
+def lof_neighbours(groups: DataFrame, n: int, k: int = LOF_K) -> DataFrame:
+    """The LOF neighbour list (k = min(20, n - 1), point itself excluded)."""
+    return knn(groups, min(k, n - 1), include_self=False)
+
+
 def local_outlier_factor(points: DataFrame, id_col: str, k: int = LOF_K, cutoff: float = LOF_CUTOFF,
-                         groups=None) -> DataFrame:
+                         groups=None, neighbours: DataFrame | None = None) -> DataFrame:
     """LOF with k = min(20, n - 1) neighbours excluding the point
     itself; flag when LOF > 1.5.  Returns (id, lof, anomaly_model_lof)."""
     groups, rowmap = groups or collapse(points, id_col)
@@ -99,7 +109,7 @@ def local_outlier_factor(points: DataFrame, id_col: str, k: int = LOF_K, cutoff:
     k = min(k, n - 1)
     if k < 1:
         return rowmap.select(id_col, F.lit(1.0).alias("lof"), F.lit(0).alias("anomaly_model_lof"))
-    nb = knn(groups, k, include_self=False).persist()
+    nb = (neighbours if neighbours is not None else knn(groups, k, include_self=False)).persist()
     kd = kth_distance(nb).select(F.col("qid").alias("nid"), F.col("kdist").alias("nkd"))
     reach = nb.join(kd, "nid").select("qid", "nid", "take", F.greatest(F.col("d"), F.col("nkd")).alias("rd"))
     lrd = reach.groupBy("qid").agg(

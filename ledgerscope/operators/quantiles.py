@@ -55,49 +55,62 @@ def grouped_quantiles(df: DataFrame, keys: list[str], cols: list[str], p: float
                                   for c in cols])
 
 
-def select_ranks(vc: DataFrame, wanted: dict, n_ranges: int = 256, accuracy: int = 10000) -> dict:
+def select_ranks(vc: DataFrame, ranks_for, n_ranges: int = 256, accuracy: int = 10000) -> tuple[dict, dict]:
     """Order statistics from a value-count table ``(_name, _v, _c)``.
 
-    ``wanted``: name -> iterable of 0-based ranks.  Returns
-    ``{(name, rank): value}``.  Each name's values are cut into
-    ``n_ranges`` ranges at approximate quantiles; per-range totals (small)
+    ``ranks_for(name, n)`` gives the 0-based ranks wanted for a name with
+    ``n`` rows.  Returns ``({(name, rank): value}, {name: n})``.  Each
+    name's distinct values are cut into ``n_ranges`` ranges at approximate
+    quantiles (the boundaries stay a small joined table, not literals);
+    per-range totals — ``names x n_ranges`` numbers — come to the driver to
     locate the ranks; only the ranges holding them are sorted."""
     probs = [i / n_ranges for i in range(1, n_ranges)]
-    st = vc.groupBy("_name").agg(F.count(F.lit(1)).alias("nd"),
-                                 F.percentile_approx("_v", probs, accuracy).alias("b")).collect()
-    bounds = {r["_name"]: (sorted(set(r["b"] or [])) if r["nd"] > n_ranges * 4 else []) for r in st}
-    if not bounds:
-        return {}
-    bmap = F.create_map(*[x for k, b in bounds.items() for x in (
-        F.lit(k), F.array(*[F.lit(float(z)) for z in b]) if b else F.array().cast("array<double>"))])
-    ranged = vc.withColumn("_r", F.size(F.filter(bmap[F.col("_name")], lambda z: z <= F.col("_v"))))
-    totals = sorted((r["_name"], r["_r"], r["s"]) for r in
-                    ranged.groupBy("_name", "_r").agg(F.sum("_c").alias("s")).collect())
-    starts, acc = {}, {}
-    for name, rid, s_ in totals:
-        a = acc.get(name, 0)
-        starts[(name, rid)] = (a, a + s_)
-        acc[name] = a + s_
-    need = {}
-    for name, ranks in wanted.items():
-        for rank in ranks:
-            for (nm, rid), (a, b) in starts.items():
-                if nm == name and a <= rank < b:
-                    need.setdefault((nm, rid), set()).add(int(rank))
-    if not need:
-        return {}
-    key = F.concat_ws("#", F.col("_name"), F.col("_r").cast("string"))
-    keys = [f"{nm}#{rid}" for nm, rid in need]
-    off = F.create_map(*[x for (nm, rid) in need for x in (F.lit(f"{nm}#{rid}"), F.lit(starts[(nm, rid)][0]))])
-    ranks_m = F.create_map(*[x for (nm, rid), rk in need.items() for x in (
-        F.lit(f"{nm}#{rid}"), F.array(*[F.lit(k) for k in sorted(rk)]))])
-    w = Window.partitionBy("_name", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    sel = (ranged.withColumn("_k", key).where(F.col("_k").isin(keys))
-           .withColumn("_cum", F.sum("_c").over(w) + off[F.col("_k")]))
-    hits = (sel.withColumn("_rank", F.explode(F.filter(
-                ranks_m[F.col("_k")], lambda k: (F.col("_cum") - F.col("_c") <= k) & (k < F.col("_cum")))))
-            .select("_name", "_rank", "_v").collect())
-    return {(r["_name"], r["_rank"]): r["_v"] for r in hits}
+    bnd = vc.groupBy("_name").agg(
+        F.when(F.count(F.lit(1)) > n_ranges * 4, F.percentile_approx("_v", probs, accuracy))
+         .otherwise(F.array().cast("array<double>")).alias("_b"))
+    ranged = (vc.join(F.broadcast(bnd), "_name")  # one row per column name
+                .withColumn("_r", F.size(F.filter(F.col("_b"), lambda z: z <= F.col("_v"))))
+                .drop("_b")).persist()
+    try:
+        totals = sorted((r["_name"], r["_r"], r["s"]) for r in
+                        ranged.groupBy("_name", "_r").agg(F.sum("_c").alias("s")).collect())
+        starts, acc = {}, {}
+        for name, rid, s_ in totals:
+            a = acc.get(name, 0)
+            starts[(name, rid)] = (a, a + s_)
+            acc[name] = a + s_
+        need = {}
+        for name, n in acc.items():
+            for rank in ranks_for(name, n):
+                for (nm, rid), (a, b) in starts.items():
+                    if nm == name and a <= rank < b:
+                        need.setdefault((nm, rid), set()).add(int(rank))
+        if not need:
+            return {}, acc
+        key = F.concat_ws("#", F.col("_name"), F.col("_r").cast("string"))
+        keys = [f"{nm}#{rid}" for nm, rid in need]
+        off = F.create_map(*[x for (nm, rid) in need for x in (F.lit(f"{nm}#{rid}"), F.lit(starts[(nm, rid)][0]))])
+        ranks_m = F.create_map(*[x for (nm, rid), rk in need.items() for x in (
+            F.lit(f"{nm}#{rid}"), F.array(*[F.lit(k) for k in sorted(rk)]))])
+        w = Window.partitionBy("_name", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        sel = (ranged.withColumn("_k", key).where(F.col("_k").isin(keys))
+               .withColumn("_cum", F.sum("_c").over(w) + off[F.col("_k")]))
+        hits = (sel.withColumn("_rank", F.explode(F.filter(
+                    ranks_m[F.col("_k")], lambda k: (F.col("_cum") - F.col("_c") <= k) & (k < F.col("_cum")))))
+                .select("_name", "_rank", "_v").collect())
+        return {(r["_name"], r["_rank"]): r["_v"] for r in hits}, acc
+    finally:
+        ranged.unpersist()
+
+
+def _interp_ranks(ps):
+    def ranks_for(name, n):
+        out = set()
+        for p in ps:
+            h = p * (n - 1)
+            out.update({math.floor(h), math.ceil(h)})
+        return out
+    return ranks_for
 
 
 def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], n_ranges: int = 256) -> dict:
@@ -105,26 +118,17 @@ def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], n_ranges:
     (``{col: [q for p in ps]}``).  Driver traffic is bounded by
     ``len(cols) * n_ranges`` numbers; no step puts a column in one task."""
     long = _stack_long(df, [], cols).where(F.col("_v").isNotNull())
-    vc = long.groupBy("_name", "_v").agg(F.count(F.lit(1)).alias("_c")).persist()
-    try:
-        ns = {r["_name"]: r["n"] for r in vc.groupBy("_name").agg(F.sum("_c").alias("n")).collect()}
-        wanted = {}
-        for name, n in ns.items():
-            for p in ps:
-                h = p * (n - 1)
-                wanted.setdefault(name, set()).update({math.floor(h), math.ceil(h)})
-        at = select_ranks(vc, wanted, n_ranges)
-        out = {c: [None] * len(ps) for c in cols}
-        for name, n in ns.items():
-            vals = []
-            for p in ps:
-                h = p * (n - 1)
-                lo, hi = math.floor(h), math.ceil(h)
-                vals.append(at[(name, lo)] + (h - lo) * (at[(name, hi)] - at[(name, lo)]))
-            out[name] = vals
-        return out
-    finally:
-        vc.unpersist()
+    vc = long.groupBy("_name", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    at, ns = select_ranks(vc, _interp_ranks(ps), n_ranges)
+    out = {c: [None] * len(ps) for c in cols}
+    for name, n in ns.items():
+        vals = []
+        for p in ps:
+            h = p * (n - 1)
+            lo, hi = math.floor(h), math.ceil(h)
+            vals.append(at[(name, lo)] + (h - lo) * (at[(name, hi)] - at[(name, lo)]))
+        out[name] = vals
+    return out
 
 
 def kth_smallest(df: DataFrame, group: str, value: str, ks: dict) -> dict:
@@ -132,7 +136,8 @@ def kth_smallest(df: DataFrame, group: str, value: str, ks: dict) -> dict:
     numeric column: ``{group_value: value}``."""
     vc = df.select(F.col(group).cast("string").alias("_name"), F.col(value).cast("double").alias("_v"),
                    F.lit(1).cast("long").alias("_c")).where(F.col("_v").isNotNull())
-    at = select_ranks(vc, {str(g): [k - 1] for g, k in ks.items() if k > 0})
+    want = {str(g): k - 1 for g, k in ks.items() if k > 0}
+    at, _ = select_ranks(vc, lambda name, n: [want[name]] if name in want else [])
     return {g: at.get((str(g), k - 1)) for g, k in ks.items()}
 
 

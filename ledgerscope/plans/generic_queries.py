@@ -10,7 +10,7 @@ from ledgerscope.operators.ensemble import detect_generic, distance_points, prep
 from ledgerscope.operators.evaluate import classification_report
 from ledgerscope.operators.neighbours import collapse, knn, kth_distance, radius_counts
 from ledgerscope.operators.outliers import (
-    ROW_LIMIT, dbscan_noise, dynamic_eps, impute_median, local_outlier_factor, vote)
+    ROW_LIMIT, dbscan_noise, dynamic_eps, impute_median, local_outlier_factor, lof_neighbours, vote)
 from ledgerscope.operators.pca import pca_projection
 from ledgerscope.plans.common import table, txn
 from ledgerscope.sources.transactions import detect_label_column
@@ -195,13 +195,22 @@ def q_vote(spark, sf):
     return _vote_part(spark, sf)
 
 
+def _distance_members(pts):
+    """DBSCAN noise and LOF flags from one shared exact kNN pass."""
+    pts = pts.persist()
+    n = pts.count()
+    g, rowmap = collapse(pts, "_rid")
+    g = g.persist()
+    nb = lof_neighbours(g, n).persist()
+    eps, _ = dynamic_eps(pts, "_rid", groups=(g, rowmap), neighbours=nb)
+    db = dbscan_noise(pts, "_rid", eps, groups=(g, rowmap)).select("_rid", "anomaly_model_dbscan")
+    lf = local_outlier_factor(pts, "_rid", groups=(g, rowmap), neighbours=nb).select("_rid", "anomaly_model_lof")
+    return db, lf, n
+
+
 def _vote_part(spark, sf):
     pts = _part_points(spark, sf)
-    g = collapse(pts, "_rid")
-    eps, _ = dynamic_eps(pts, "_rid", groups=g)
-    db = dbscan_noise(pts, "_rid", eps, groups=g).select("_rid", "anomaly_model_dbscan")
-    lf = local_outlier_factor(pts, "_rid", groups=g).select("_rid", "anomaly_model_lof")
-    n = pts.count()
+    db, lf, n = _distance_members(pts)
     res = db.join(lf, "_rid").withColumn("anomaly_model_iforest", F.lit(0))
     return vote(res, n, ROW_LIMIT).select(F.col("_rid").alias("p_partkey"), "anomaly_model_iforest",
                                           "anomaly_model_dbscan", "anomaly_model_lof", "anomaly_votes",
@@ -253,11 +262,8 @@ def q_eval_ensemble(spark, sf):
     t, _ = detect_label_column(txn(spark, sf).select("transaction_id", *TXN3, "is_fraud"))
     scaled, cols = prepare(t.drop("is_fraud"), "transaction_id", exclude=("transaction_id",))
     pts = distance_points(scaled, cols)
-    g = collapse(pts, "_rid")
-    eps, _ = dynamic_eps(pts, "_rid", groups=g)
-    db = dbscan_noise(pts, "_rid", eps, groups=g).select("_rid", "anomaly_model_dbscan")
-    lf = local_outlier_factor(pts, "_rid", groups=g).select("_rid", "anomaly_model_lof")
-    res = vote(db.join(lf, "_rid").withColumn("anomaly_model_iforest", F.lit(0)), pts.count(), ROW_LIMIT)
+    db, lf, n = _distance_members(pts)
+    res = vote(db.join(lf, "_rid").withColumn("anomaly_model_iforest", F.lit(0)), n, ROW_LIMIT)
     j = t.join(res.withColumnRenamed("_rid", "transaction_id"), "transaction_id")
     cells = j.agg(*[F.count(F.when((F.col("is_fraud") == a) & (F.col("is_anomaly_ensemble") == p), 1)).alias(n)
                     for n, a, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))])

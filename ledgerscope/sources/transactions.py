@@ -213,17 +213,22 @@ def detect_label_column(df: DataFrame) -> tuple[DataFrame, str | None]:
     return df, None
 
 
-def select_numeric_features(df: DataFrame, exclude=()) -> tuple[DataFrame, list[str]]:
-    """Numeric columns only, minus all-null ones (one aggregate pass)."""
+def select_numeric_features(df: DataFrame, exclude=(), with_counts: bool = False):
+    """Numeric columns only, minus all-null ones (one aggregate pass).
+    ``with_counts``: also return (row count, {column: non-null count})."""
     cand = [f.name for f in df.schema.fields
             if is_numeric(f.dataType) and f.name not in set(exclude)]
     if not cand:
         raise ValueError("No numeric data found to process.")
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cand)]).first()
+    counts = df.agg(F.count(F.lit(1)).alias("_n"),
+                    *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cand)]).first()
     keep = [c for i, c in enumerate(cand) if counts[f"c{i}"] > 0]
     if not keep:
         raise ValueError("No numeric data found to process.")
-    return df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in keep]), keep
+    out = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in keep])
+    if with_counts:
+        return out, keep, (counts["_n"], {c: counts[f"c{i}"] for i, c in enumerate(cand) if c in keep})
+    return out, keep
 
 
 def profile(df: DataFrame, user_col: str = "user_id") -> DataFrame:
