@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The detectors this package reproduces are whole-table batch computations
+(every rule compares a row with statistics of the user's *entire* history,
+including later rows), and the original pipelines have no stream input,
+watermark, window-over-time or state store.  A streaming variant would be
+a different algorithm, so none is offered; see README "Not built".
+"""
