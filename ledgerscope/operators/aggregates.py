@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.operators.quantiles import column_quantiles
+import math
+
+from ledgerscope.operators.quantiles import _interp_ranks, _stack_long, column_quantiles, select_ranks
 from ledgerscope.operators.rules import FLAG_COLS, RULE_NAMES
 
 
@@ -64,28 +66,45 @@ def run_summary(df: DataFrame, pred: str, score: str) -> DataFrame:
 
 def describe_features(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     """Count, mean, std, min, 25 %, 50 %, 75 %, max per feature (exact
-    interpolated quartiles), one row per feature."""
-    q = column_quantiles(df, cols, [0.25, 0.5, 0.75])
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.max(x).alias(f"{c}__max")]
-    row = df.agg(*aggs)
-    structs = []
-    for c in cols:
-        q25, q50, q75 = q[c]
-        structs.append(F.struct(
-            F.lit(c).alias("feature"), F.col(f"{c}__count").alias("count"),
-            F.round(F.col(f"{c}__mean"), digits).alias("mean"),
-            F.round(F.col(f"{c}__std"), digits).alias("std"),
-            F.round(F.col(f"{c}__min"), digits).alias("min"),
-            F.round(F.lit(q25).cast("double"), digits).alias("p25"),
-            F.round(F.lit(q50).cast("double"), digits).alias("p50"),
-            F.round(F.lit(q75).cast("double"), digits).alias("p75"),
-            F.round(F.col(f"{c}__max"), digits).alias("max")))
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    interpolated quartiles), one row per feature.
+
+    Everything comes from one persisted ``(feature, value, count)`` table:
+    the input plan runs once, moments are two-pass sums over distinct
+    values, quartiles are located by range totals."""
+    long = _stack_long(df, [], cols).where(F.col("_v").isNotNull())
+    vc = long.groupBy("_name", "_v").agg(F.count(F.lit(1)).alias("_c")).persist()
+    try:
+        at, ns = select_ranks(vc, _interp_ranks([0.25, 0.5, 0.75]))
+        q = {}
+        for name, n in ns.items():
+            vals = []
+            for p in (0.25, 0.5, 0.75):
+                h = p * (n - 1)
+                lo, hi = math.floor(h), math.ceil(h)
+                vals.append(at[(name, lo)] + (h - lo) * (at[(name, hi)] - at[(name, lo)]))
+            q[name] = vals
+        m = vc.groupBy("_name").agg(F.sum("_c").alias("count"),
+                                    (F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")).alias("mean"),
+                                    F.min("_v").alias("min"), F.max("_v").alias("max"))
+        dev = vc.join(m.select("_name", "mean"), "_name").groupBy("_name").agg(
+            F.sum(F.col("_c") * (F.col("_v") - F.col("mean")) * (F.col("_v") - F.col("mean"))).alias("_ss"))
+        res = m.join(dev, "_name").select(
+            "_name", "count", "mean", F.sqrt(F.col("_ss") / F.nullif(F.col("count") - 1, F.lit(0))).alias("std"),
+            "min", "max").collect()
+    finally:
+        vc.unpersist()
+    spark = df.sparkSession
+    rows = []
+    for r in res:
+        q25, q50, q75 = q[r["_name"]]
+        rows.append((r["_name"], int(r["count"]), *[None if v is None else round(float(v), digits) for v in (
+            r["mean"], r["std"], r["min"], q25, q50, q75, r["max"])]))
+    order = {c: i for i, c in enumerate(cols)}
+    rows.sort(key=lambda t: order[t[0]])
+    schema = ("feature string, count long, mean double, std double, min double, p25 double, p50 double, "
+              "p75 double, max double")
+    # one row per feature: a small report computed from the data above
+    return spark.createDataFrame(rows, schema)
 
 
 def quantile_threshold(df: DataFrame, col: str, p: float = 0.95) -> float | None:

@@ -66,7 +66,7 @@ def detect_generic(df: DataFrame, id_col: str, exclude=(), row_limit: int | None
     scaled, cols = prepare(df, id_col, exclude)
     scaled = scaled.persist()
     n = scaled.count()
-    forest = iforest.isolation_forest(scaled, "_rid", cols, n_trees=n_trees).select(
+    forest = iforest.isolation_forest(scaled, "_rid", cols, n_trees=n_trees, n=n).select(
         "_rid", "iforest_score", "anomaly_model_iforest")
     eps = None
     if row_limit is not None and n > row_limit:

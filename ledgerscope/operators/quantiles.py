@@ -55,23 +55,37 @@ def grouped_quantiles(df: DataFrame, keys: list[str], cols: list[str], p: float
                                   for c in cols])
 
 
-def select_ranks(vc: DataFrame, ranks_for, n_ranges: int = 256, accuracy: int = 10000) -> tuple[dict, dict]:
+RANGE_TARGET = 200_000  # distinct values sorted by one task at most (per range)
+
+
+def select_ranks(vc: DataFrame, ranks_for, range_target: int = RANGE_TARGET,
+                 accuracy: int = 10000) -> tuple[dict, dict]:
     """Order statistics from a value-count table ``(_name, _v, _c)``.
 
     ``ranks_for(name, n)`` gives the 0-based ranks wanted for a name with
-    ``n`` rows.  Returns ``({(name, rank): value}, {name: n})``.  Each
-    name's distinct values are cut into ``n_ranges`` ranges at approximate
-    quantiles (the boundaries stay a small joined table, not literals);
-    per-range totals — ``names x n_ranges`` numbers — come to the driver to
-    locate the ranks; only the ranges holding them are sorted."""
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    bnd = vc.groupBy("_name").agg(
-        F.when(F.count(F.lit(1)) > n_ranges * 4, F.percentile_approx("_v", probs, accuracy))
-         .otherwise(F.array().cast("array<double>")).alias("_b"))
-    ranged = (vc.join(F.broadcast(bnd), "_name")  # one row per column name
-                .withColumn("_r", F.size(F.filter(F.col("_b"), lambda z: z <= F.col("_v"))))
-                .drop("_b")).persist()
-    try:
+    ``n`` rows.  Returns ``({(name, rank): value}, {name: n})``.
+
+    The number of value ranges grows with the data: ``ceil(distinct /
+    range_target)``.  A small column is one range (one bounded sort); a
+    large one is cut at approximate quantiles (the boundaries stay a small
+    joined table, not literals), per-range totals — a few numbers per range
+    — come to the driver to locate the ranks, and only the ranges holding
+    them are sorted.  No task ever sorts more than about ``range_target``
+    distinct values of a column."""
+    st = vc.groupBy("_name").agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("nd")).collect()
+    ns = {r["_name"]: r["n"] for r in st}
+    n_ranges = max([math.ceil(r["nd"] / range_target) for r in st] or [1])
+    ranged = vc
+    if n_ranges <= 1:
+        ranged = vc.withColumn("_r", F.lit(0))
+        starts = {(name, 0): (0, n) for name, n in ns.items()}
+    else:
+        probs = [i / n_ranges for i in range(1, n_ranges)]
+        bnd = vc.groupBy("_name").agg(
+            F.percentile_approx("_v", probs, max(accuracy, 20 * n_ranges)).alias("_b"))
+        ranged = (vc.join(F.broadcast(bnd), "_name")  # one row per column name
+                    .withColumn("_r", F.size(F.filter(F.col("_b"), lambda z: z <= F.col("_v"))))
+                    .drop("_b")).persist()
         totals = sorted((r["_name"], r["_r"], r["s"]) for r in
                         ranged.groupBy("_name", "_r").agg(F.sum("_c").alias("s")).collect())
         starts, acc = {}, {}
@@ -79,14 +93,15 @@ def select_ranks(vc: DataFrame, ranks_for, n_ranges: int = 256, accuracy: int =
             a = acc.get(name, 0)
             starts[(name, rid)] = (a, a + s_)
             acc[name] = a + s_
+    try:
         need = {}
-        for name, n in acc.items():
+        for name, n in ns.items():
             for rank in ranks_for(name, n):
                 for (nm, rid), (a, b) in starts.items():
                     if nm == name and a <= rank < b:
                         need.setdefault((nm, rid), set()).add(int(rank))
         if not need:
-            return {}, acc
+            return {}, ns
         key = F.concat_ws("#", F.col("_name"), F.col("_r").cast("string"))
         keys = [f"{nm}#{rid}" for nm, rid in need]
         off = F.create_map(*[x for (nm, rid) in need for x in (F.lit(f"{nm}#{rid}"), F.lit(starts[(nm, rid)][0]))])
@@ -98,9 +113,10 @@ def select_ranks(vc: DataFrame, ranks_for, n_ranges: int = 256, accuracy: int =
         hits = (sel.withColumn("_rank", F.explode(F.filter(
                     ranks_m[F.col("_k")], lambda k: (F.col("_cum") - F.col("_c") <= k) & (k < F.col("_cum")))))
                 .select("_name", "_rank", "_v").collect())
-        return {(r["_name"], r["_rank"]): r["_v"] for r in hits}, acc
+        return {(r["_name"], r["_rank"]): r["_v"] for r in hits}, ns
     finally:
-        ranged.unpersist()
+        if ranged is not vc:
+            ranged.unpersist()
 
 
 def _interp_ranks(ps):
@@ -113,13 +129,16 @@ def _interp_ranks(ps):
     return ranks_for
 
 
-def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], n_ranges: int = 256) -> dict:
+def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], range_target: int = RANGE_TARGET) -> dict:
     """Exact interpolated p-quantiles of several columns, as driver scalars
     (``{col: [q for p in ps]}``).  Driver traffic is bounded by
     ``len(cols) * n_ranges`` numbers; no step puts a column in one task."""
     long = _stack_long(df, [], cols).where(F.col("_v").isNotNull())
-    vc = long.groupBy("_name", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    at, ns = select_ranks(vc, _interp_ranks(ps), n_ranges)
+    vc = long.groupBy("_name", "_v").agg(F.count(F.lit(1)).alias("_c")).persist()
+    try:
+        at, ns = select_ranks(vc, _interp_ranks(ps), range_target)
+    finally:
+        vc.unpersist()
     out = {c: [None] * len(ps) for c in cols}
     for name, n in ns.items():
         vals = []

@@ -21,8 +21,7 @@ from ledgerscope.functions.guards import flag, safe_std
 from ledgerscope.functions.temporal import hour_of
 from ledgerscope.operators.sequence import TrailingCount, user_sequence
 from ledgerscope.operators.user_stats import (
-    hour_map_table, share_lookup, user_amount_stats, user_category_share, user_centers,
-    user_hour_share)
+    share_lookup, user_amount_stats, user_category_share, user_centers, user_hour_share, user_profile)
 
 # fixed values: flag columns in rule order
 FLAG_COLS = ["flag_amount_anomaly", "flag_location_deviation", "flag_temporal_anomaly",
@@ -204,15 +203,18 @@ def run_rules(df: DataFrame, *, z_threshold: float = Z_THRESHOLD, distance_thres
     if counts or previous:
         out = user_sequence(out, counts=counts, previous=previous)
 
-    # per-user table: amount stats, hour counts, centres
+    # per-user tables from one aggregate scan: amount moments, totals,
+    # (user, hour) and (user, category) counts; exact medians for centres
+    keys = (["hour"] if ran["temporal"] else []) + (["category"] if ran["category"] else [])
     per_user = None
-    if ran["amount"] or ran["temporal"]:
-        aggs = [F.count(F.lit(1)).alias("_total")]
-        if ran["amount"]:
-            aggs += [F.avg("amount").alias("user_mean"), F.stddev_samp("amount").alias("user_std")]
-        per_user = df.groupBy("user_id").agg(*aggs)
+    if ran["amount"] or ran["temporal"] or ran["category"]:
+        base = df.withColumn("hour", hour_of("timestamp")) if ran["temporal"] else df
+        prof = user_profile(base, keys, "amount" if ran["amount"] else None)
+        per_user = prof["user"]
         if ran["temporal"]:
-            per_user = per_user.join(hour_map_table(df.withColumn("hour", hour_of("timestamp"))), "user_id", "left")
+            hmap = prof["hour"].groupBy("user_id").agg(
+                F.map_from_entries(F.collect_list(F.struct("hour", "_cnt"))).alias("_hour_counts"))
+            per_user = per_user.join(hmap, "user_id", "left")
     if ran["location"]:
         centers = user_centers(df)
         per_user = centers if per_user is None else per_user.join(centers, "user_id", "left")
@@ -236,7 +238,11 @@ def run_rules(df: DataFrame, *, z_threshold: float = Z_THRESHOLD, distance_thres
     if ran["velocity"]:
         new["flag_velocity"] = flag(F.col("txn_count_in_window") > F.lit(max_transactions))
     if ran["category"]:
-        out = share_lookup(out, user_category_share(df), "category", "cat_pct")
+        share = prof["category"].select("user_id", "category", F.col("_cnt").alias("_ccnt"))
+        out = out.join(share, ["user_id", "category"], "left")
+        pct = F.when(F.col("user_id").isNull() | F.col("category").isNull(), F.lit(0.0)).otherwise(
+            F.coalesce(F.col("_ccnt") / F.col("_total"), F.lit(0.0)))
+        out = out.withColumn("cat_pct", pct)
         new["flag_category_deviation"] = flag(F.col("cat_pct") < F.lit(rare_threshold))
     if ran["geo_speed"]:
         out = out.withColumn("travel_speed_kmh", _speed_expr())

@@ -69,5 +69,38 @@ def hour_map_table(df: DataFrame, user: str = "user_id", hour: str = "hour") ->
     return c.groupBy(user).agg(F.map_from_entries(F.collect_list(F.struct(hour, "_c"))).alias("_hour_counts"))
 
 
-def _unused(*_):  # pragma: no cover - keeps Window import for callers
-    return Window
+def user_profile(df: DataFrame, keys: list[str], amount: str | None, user: str = "user_id") -> dict:
+    """All count / moment statistics of the rules from ONE scan.
+
+    One partial aggregate over ``(user, *keys)`` (at most users x 24 hours x
+    categories rows) gives row counts and amount moments (n, mean, M2) per
+    cell; per-user mean and sample std are merged from the cells with the
+    parallel-variance formula (the same merge Spark applies to partial
+    ``stddev`` buffers), and per-(user, key) counts are re-aggregations.
+    Spark reuses the cell table's exchange for every consumer.
+
+    Returns {"user": (user, _total[, user_mean, user_std]),
+             key: (user, key, _cnt) for each key}.
+    """
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if amount:
+        aggs += [F.count(amount).alias("_na"), F.avg(amount).alias("_m"),
+                 (F.var_pop(amount) * F.count(amount)).alias("_m2")]
+    cells = df.groupBy(user, *keys).agg(*aggs)
+    out = {}
+    if amount:
+        w = Window.partitionBy(user)  # cells of one user: bounded by 24 x categories
+        c = (cells.withColumn("_na_u", F.sum("_na").over(w))
+                  .withColumn("_mean_u", F.sum(F.col("_na") * F.col("_m")).over(w) / F.nullif(F.col("_na_u"), F.lit(0))))
+        dev = F.col("_m") - F.col("_mean_u")
+        u = c.groupBy(user).agg(
+            F.sum("_n").alias("_total"), F.first("_mean_u").alias("user_mean"),
+            F.sum(F.coalesce(F.col("_m2") + F.col("_na") * dev * dev, F.lit(0.0))).alias("_M2"),
+            F.first("_na_u").alias("_na_u"))
+        std = F.sqrt(F.col("_M2") / F.nullif(F.col("_na_u") - 1, F.lit(0)))
+        out["user"] = u.select(user, "_total", "user_mean", std.alias("user_std"))
+    else:
+        out["user"] = cells.groupBy(user).agg(F.sum("_n").alias("_total"))
+    for k in keys:
+        out[k] = cells.where(F.col(k).isNotNull()).groupBy(user, k).agg(F.sum("_n").alias("_cnt"))
+    return out

@@ -60,7 +60,7 @@ def test_grouped_and_global_quantiles(spark):
     got = {r["g"]: r["x"] for r in grouped_quantiles(df, ["g"], ["x"], 0.5).collect()}
     for k in range(5):
         assert got[k] == pytest.approx(np.percentile(x[g == k], 50), abs=1e-12)
-    q = column_quantiles(df, ["x"], [0.05, 0.25, 0.5, 0.95], n_ranges=8)["x"]
+    q = column_quantiles(df, ["x"], [0.05, 0.25, 0.5, 0.95], range_target=40)["x"]
     assert q == pytest.approx(list(np.percentile(x, [5, 25, 50, 95])), abs=1e-12)
     assert column_quantiles(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "x double"),
                             ["x"], [0.5])["x"][0] == 2.5
