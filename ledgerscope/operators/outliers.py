@@ -81,12 +81,13 @@ def dbscan_noise(points: DataFrame, id_col: str, eps: float, min_samples: int =
     (id, n_within_eps, is_core, anomaly_model_dbscan)."""
     groups, rowmap = groups or collapse(points, id_col)
     groups = groups.persist()
-    dim = len(groups.select("v").first()["v"])
+    dim = sum(1 for c in groups.columns if c.startswith("c") and c[1:].isdigit())
     counts = radius_counts(groups, eps, dim=dim).withColumnRenamed("qid", "gid")
     core_tab = counts.select("gid", "n_within", (F.col("n_within") >= min_samples).alias("is_core"))
     g2 = groups.join(core_tab, "gid")
-    core = g2.where("is_core").select("gid", "w", "v")
-    noncore = g2.where(~F.col("is_core")).select("gid", "w", "v")
+    cs = [f"c{i}" for i in range(dim)]
+    core = g2.where("is_core").select("gid", "w", *cs)
+    noncore = g2.where(~F.col("is_core")).select("gid", "w", *cs)
     reach = radius_counts(groups, eps, queries=noncore, data=core, dim=dim).select(
         F.col("qid").alias("gid"), (F.col("n_within") > 0).alias("near_core"))
     res = (core_tab.join(reach, "gid", "left")
