@@ -222,3 +222,49 @@ def q_importance(spark, sf):
     r = M.train_and_score(features(spark, sf), n_trees=SMOKE_TREES)
     rows = M.feature_importance(r.model, r.features)
     return spark.createDataFrame([(n, float(round(v, 6))) for n, v in rows], "feature string, importance double")
+
+
+def _model_scores(spark, sf):
+    r = M.train_and_score(features(spark, sf), n_trees=SMOKE_TREES)
+    return r
+
+
+@register("model_report_tables")
+def q_model_tables(spark, sf):
+    """The boosted-tree evaluation tables on the held-out set: AUC, ROC
+    points, a 50-bin probability histogram per predicted class, anomaly
+    rate by hour, as one long table (table, key, value)."""
+    from ledgerscope.operators import evaluate as E
+    r = _model_scores(spark, sf)
+    test = r.test.persist()
+    auc = E.roc_auc(test, "label", "fraud_prob").select(
+        F.lit("roc_auc").alias("table"), F.lit("auc").alias("key"), F.col("roc_auc").alias("value"))
+    roc = E.roc_curve(test, "label", "fraud_prob").select(
+        F.lit("roc_curve").alias("table"), F.format_string("%.6f", "threshold").alias("key"),
+        F.col("tpr").alias("value"))
+    hist = E.score_histogram(r.scored, "fraud_prob", "predicted_fraud_model").select(
+        F.lit("histogram").alias("table"), F.concat_ws(":", F.col("predicted_fraud_model").cast("string"),
+                                                         F.col("bin").cast("string")).alias("key"),
+        F.col("count").cast("double").alias("value"))
+    rate = A.rate_by(r.scored, "hour", "predicted_fraud_model").select(
+        F.lit("rate_by_hour").alias("table"), F.col("hour").cast("string").alias("key"),
+        F.col("anomaly_rate_pct").alias("value"))
+    return auc.unionByName(roc).unionByName(hist).unionByName(rate)
+
+
+@register("top_suspicious_model")
+def q_top_model(spark, sf):
+    """The 15 most probable frauds with display columns."""
+    from ledgerscope.operators.evaluate import top_k
+    r = _model_scores(spark, sf)
+    return top_k(r.scored, "fraud_prob", 15, ["user_id", "timestamp", "amount", "category", "fraud_prob",
+                                             "predicted_fraud_model", "transaction_id"])
+
+
+@register("flagged_model")
+def q_flagged_model(spark, sf):
+    """D10 for the model: flagged rows, most probable first."""
+    from ledgerscope.sources.sinks import flagged
+    r = _model_scores(spark, sf)
+    return flagged(r.scored, "predicted_fraud_model", "fraud_prob").select(
+        "transaction_id", "user_id", F.round("fraud_prob", 6).alias("fraud_prob"))

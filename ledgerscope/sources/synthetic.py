@@ -54,11 +54,9 @@ def synthetic_transactions(spark: SparkSession, n_users: int = 50, n_transaction
     city = _pick(_u(seed, 1, uid), US_CITIES)
     lat_map = F.create_map(*[x for c in US_CITIES for x in (F.lit(c), F.lit(CITIES[c][0]))])
     lon_map = F.create_map(*[x for c in US_CITIES for x in (F.lit(c), F.lit(CITIES[c][1]))])
-    # three distinct usual categories out of the first five: rotate a start
-    start = F.floor(_u(seed, 3, uid) * 5).cast("int")
-    step = (F.floor(_u(seed, 4, uid) * 2) + 1).cast("int")  # 1 or 2: coprime with 5
+    # three distinct usual categories out of the first five: a random start
+    # and a step of 1 or 2 (coprime with 5) give three different ones
     first5 = F.array(*[F.lit(c) for c in CATEGORIES[:5]])
-    usual = F.array(*[F.element_at(first5, F.pmod(start + step * k, F.lit(5)) + 1) for k in range(3)])
     profiles = (spark.range(n_users)
                 .select(uid.alias("user_id"), city.alias("home"))
                 .select("user_id",
@@ -72,7 +70,6 @@ def synthetic_transactions(spark: SparkSession, n_users: int = 50, n_transaction
                             F.lit(5)) + 1) for k in range(3)]).alias("usual"),
                         (7 + F.floor(_u(seed, 7, F.col("user_id")) * 3)).cast("int").alias("active_start"),
                         (18 + F.floor(_u(seed, 8, F.col("user_id")) * 4)).cast("int").alias("active_end")))
-    del usual
     # the profile table has exactly n_users rows: broadcast only while that is small
     if n_users <= 1_000_000:
         profiles = F.broadcast(profiles)
@@ -102,8 +99,8 @@ def synthetic_transactions(spark: SparkSession, n_users: int = 50, n_transaction
         F.element_at(F.col("usual"), (F.floor(_u(seed, 35, i) * 3) + 1).cast("int")))
     minute = F.floor(_u(seed, 36, i) * 60).cast("int")
     ts = F.timestamp_micros(
-        F.lit(1704067200) * 1_000_000 + F.floor(i / 20) * 86_400_000_000
-        + hour * 3_600_000_000 + minute * 60_000_000).cast("timestamp_ntz")
+        F.lit(1_704_067_200_000_000) + F.floor(i / 20) * F.lit(86_400_000_000)
+        + hour.cast("long") * F.lit(3_600_000_000) + minute.cast("long") * F.lit(60_000_000)).cast("timestamp_ntz")
     out = j.select(
         F.format_string("TXN_%06d", i).alias("transaction_id"),
         F.col("user_id").cast("int").alias("user_id"),
