@@ -5,9 +5,13 @@ cumulative count, so no step sorts the whole column in one task."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.operators.quantiles import RANGE_TARGET
+
 _D = 6
 
 
@@ -84,17 +88,24 @@ def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
               .agg(F.sum(y).cast("long").alias("n_pos"), F.sum(1 - y).cast("long").alias("n_neg")))
 
 
-def _cumulative(st: DataFrame, descending: bool, n_ranges: int = 64) -> DataFrame:
+def _cumulative(st: DataFrame, descending: bool, range_target: int = RANGE_TARGET) -> DataFrame:
     """Cumulative positives / negatives over distinct scores, in score order
     (inclusive of the current score).
 
-    Two-level prefix sum: scores are cut into ``n_ranges`` value ranges at
-    approximate quantiles of the distinct scores (``n_ranges`` numbers reach
-    the driver), a window over the small per-range totals gives each
-    range's offset, and a window inside each range finishes the sum.  No
-    window sees all scores at once."""
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    bounds = sorted(set(st.agg(F.percentile_approx("score", probs, 10000).alias("b")).first()["b"] or []))
+    Two-level prefix sum: the distinct scores are cut into
+    ``ceil(distinct / range_target)`` value ranges at approximate quantiles
+    (that many numbers reach the driver), a window over the small per-range
+    totals gives each range's offset, and a window inside each range
+    finishes the sum.  No window sees more than about ``range_target``
+    scores."""
+    nd = st.count()
+    n_ranges = max(1, math.ceil(nd / range_target))
+    if n_ranges > 1:
+        probs = [i / n_ranges for i in range(1, n_ranges)]
+        bounds = sorted(set(st.agg(F.percentile_approx("score", probs, max(10000, 20 * n_ranges)).alias("b"))
+                            .first()["b"] or []))
+    else:
+        bounds = []
     arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
     if descending:
         rid = F.size(F.filter(arr, lambda z: z > F.col("score")))
@@ -102,7 +113,7 @@ def _cumulative(st: DataFrame, descending: bool, n_ranges: int = 64) -> DataFram
         rid = F.size(F.filter(arr, lambda z: z <= F.col("score")))
     ranged = st.withColumn("_r", rid)
     tot = ranged.groupBy("_r").agg(F.sum("n_pos").alias("_rp"), F.sum("n_neg").alias("_rn"))
-    wr = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # <= n_ranges rows
+    wr = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     off = tot.select("_r", F.coalesce(F.sum("_rp").over(wr), F.lit(0)).alias("_op"),
                      F.coalesce(F.sum("_rn").over(wr), F.lit(0)).alias("_on"))
     order = F.col("score").desc() if descending else F.col("score").asc()
@@ -127,7 +138,7 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Exact tie-averaged AUC = P(score_pos > score_neg) + P(=)/2,
     NULL when only one class is present."""
-    st = score_table(df, label, score)
+    st = score_table(df, label, score).persist()
     c = _cumulative(st, descending=False)
     below = F.col("cum_neg") - F.col("n_neg")  # negatives strictly below
     contrib = F.col("n_pos").cast("double") * (below + 0.5 * F.col("n_neg"))

@@ -29,18 +29,46 @@ def _stack_long(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], cols: list[str], p: float = 0.5,
-                      suffix: str = "") -> DataFrame:
+                      suffix: str = "", range_target: int | None = None) -> DataFrame:
     """One row per group with the exact p-quantile of each column (NULLs
-    skipped; all-NULL group -> NULL).  Output columns ``<col><suffix>``."""
+    skipped; all-NULL group -> NULL).  Output columns ``<col><suffix>``.
+
+    Lazy, one plan.  Values are collapsed to (group, value, count).  A
+    group with more than ``range_target`` distinct values (a hot user) is
+    cut into ``ceil(distinct / range_target)`` value ranges at approximate
+    quantiles of its own values; a small window over each group's range
+    totals gives the ranges' first ranks, and only the (at most two)
+    ranges holding the wanted ranks are sorted.  So no task sorts more than
+    about ``range_target`` values of a group, however skewed the keys."""
+    target = range_target or RANGE_TARGET
     long = _stack_long(df, keys, cols).where(F.col("_v").isNotNull())
-    vc = long.groupBy(*keys, "_name", "_v").agg(F.count(F.lit(1)).alias("_c"))
     g = keys + ["_name"]
-    w_cum = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*g)
-    t = (vc.withColumn("_cum", F.sum("_c").over(w_cum))
-           .withColumn("_n", F.sum("_c").over(w_all)))
+    vc = long.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    st = vc.groupBy(*g).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_nd"))
+    hot = st.where(F.col("_nd") > target).select(*g, F.ceil(F.col("_nd") / target).cast("int").alias("_nr"))
+    # boundaries only for hot groups; one percentile array per group
+    bnd = (vc.join(hot, g).groupBy(*g, "_nr")
+             .agg(F.percentile_approx("_v", F.array(*[F.lit(i / 256.0) for i in range(1, 256)]), 20000)
+                  .alias("_b256")))
+    # 255 probability points are thinned to the group's own range count by
+    # keeping every k-th boundary (ranges stay within 2x of the target up
+    # to 256 ranges per group)
+    step = F.greatest(F.lit(1), F.floor(F.lit(256) / F.col("_nr"))).cast("int")
+    bnd = bnd.select(*g, F.filter("_b256", lambda z, i: F.pmod(i + 1, step) == 0).alias("_b"))
+    ranged = (vc.join(bnd, g, "left")
+                .withColumn("_r", F.coalesce(F.size(F.filter(F.col("_b"), lambda z: z <= F.col("_v"))), F.lit(0)))
+                .drop("_b"))
+    tot = ranged.groupBy(*g, "_r").agg(F.sum("_c").alias("_rc"))
+    wr = Window.partitionBy(*g).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    tot = (tot.withColumn("_end", F.sum("_rc").over(wr)).withColumn("_start", F.col("_end") - F.col("_rc"))
+              .join(st.select(*g, "_n"), g))
     h = F.lit(p) * (F.col("_n") - 1)
     lo, hi = F.floor(h), F.ceil(h)
+    need = tot.where(((F.col("_start") <= lo) & (lo < F.col("_end"))) | ((F.col("_start") <= hi) & (hi < F.col("_end"))))
+    need = need.select(*g, "_r", "_start", "_n")
+    w_cum = Window.partitionBy(*g, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    t = (ranged.join(need, g + ["_r"])
+               .withColumn("_cum", F.col("_start") + F.sum("_c").over(w_cum)))
     start = F.col("_cum") - F.col("_c")
     t = t.select(*g, "_v", h.alias("_h"), lo.alias("_lo"),
                  ((start <= lo) & (lo < F.col("_cum"))).alias("_has_lo"),

@@ -109,3 +109,15 @@ def test_lof_vs_formula(spark):
     for i in range(len(x)):
         assert got[i] == pytest.approx(lof[i], rel=1e-9)
     assert max(got, key=got.get) == 0
+
+
+def test_grouped_quantiles_hot_group_ranges(spark):
+    # one hot group with many distinct values is split into value ranges
+    rng = np.random.default_rng(9)
+    g = np.where(rng.random(6000) < 0.6, 0, rng.integers(1, 6, 6000))
+    x = np.round(rng.exponential(size=6000) * 100, 3)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)], "g long, x double")
+    for p in (0.5, 0.95, 0.0, 1.0):
+        got = {r["g"]: r["x"] for r in grouped_quantiles(df, ["g"], ["x"], p, range_target=300).collect()}
+        for k in range(6):
+            assert got[k] == pytest.approx(np.percentile(x[g == k], 100 * p), abs=1e-9)
