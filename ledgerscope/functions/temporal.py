@@ -10,10 +10,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def epoch_micros(ts) -> Column:
-    """Microseconds since the epoch of the wall-clock value.  NTZ values are
-    cast through TIMESTAMP, which is exact under the UTC session zone."""
-    return F.unix_micros(_c(ts).cast("timestamp"))
+    """Microseconds since the epoch of the wall-clock value, independent of
+    the session time zone (``timestampdiff`` on TIMESTAMP_NTZ)."""
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(ts).cast("timestamp_ntz"))
+
+
+def from_epoch_micros(us) -> Column:
+    """Inverse of ``epoch_micros``: a TIMESTAMP_NTZ wall-clock value."""
+    us = _c(us)
+    return (F.expr(_EPOCH_NTZ) + F.make_dt_interval(secs=F.floor(us / 1_000_000))
+            + F.make_dt_interval(secs=F.pmod(us, F.lit(1_000_000)).cast("decimal(18,6)") / 1_000_000))
 
 
 def hour_of(ts) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.temporal import epoch_micros
+from ledgerscope.functions.temporal import epoch_micros, from_epoch_micros
 
 # fixed values: one hour / one day in microseconds
 HOUR_US = 3_600_000_000
@@ -36,7 +36,7 @@ def txn_from_events(events: DataFrame, with_merchant: bool = True) -> DataFrame:
     cols = [
         eid.alias("transaction_id"),
         uid.alias("user_id"),
-        F.timestamp_micros(day + offset).cast("timestamp_ntz").alias("timestamp"),
+        from_epoch_micros(day + offset).alias("timestamp"),
         F.col("value").alias("amount"),
         F.when(F.pmod(eid, F.lit(41)) == 0, F.lit("travel")).otherwise(F.col("event_type")).alias("category"),
         lat.alias("lat"),
