@@ -81,7 +81,8 @@ def detect_generic(df: DataFrame, id_col: str, exclude=(), row_limit: int | None
         nb = lof_neighbours(g, n).persist() if n > 1 else None
         eps, _ = dynamic_eps(pts, "_rid", groups=groups,
                              neighbours=nb if n > EPS_K else None)
-        db = dbscan_noise(pts, "_rid", eps, groups=groups).select("_rid", "anomaly_model_dbscan")
+        db = dbscan_noise(pts, "_rid", eps, groups=groups,
+                          neighbours=nb if n > EPS_K else None).select("_rid", "anomaly_model_dbscan")
         lf = local_outlier_factor(pts, "_rid", groups=groups, neighbours=nb).select(
             "_rid", "lof", "anomaly_model_lof")
         res = forest.join(db, "_rid").join(lf, "_rid")

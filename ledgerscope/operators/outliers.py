@@ -74,12 +74,22 @@ def dynamic_eps(points: DataFrame, id_col: str, k: int = EPS_K, pct: float = EPS
 
 
 def dbscan_noise(points: DataFrame, id_col: str, eps: float, min_samples: int = MIN_SAMPLES,
-                 groups=None) -> DataFrame:
+                 groups=None, neighbours: DataFrame | None = None) -> DataFrame:
     """noise = not a core point (fewer than min_samples rows within eps,
     itself included) and no core point within eps.  Only the noise label
     is needed, so no cluster components are computed.  Returns
-    (id, n_within_eps, is_core, anomaly_model_dbscan)."""
+    (id, is_core, anomaly_model_dbscan) — plus the exact ``n_within_eps``
+    on the radius-join path.
+
+    With a kNN list (self excluded, at least min_samples - 1 long — the LOF
+    list) no pair beyond it is ever formed: core <=> the min_samples-th
+    distance (self included) <= eps, and a non-core point has fewer than
+    min_samples points within eps, all of them in its list, so its
+    "core point within eps" test reads the list.  Without one, two exact
+    radius joins are used."""
     groups, rowmap = groups or collapse(points, id_col)
+    if neighbours is not None:
+        return _row_values(rowmap, _dbscan_from_list(groups, neighbours, eps, min_samples), id_col)
     groups = groups.persist()
     dim = sum(1 for c in groups.columns if c.startswith("c") and c[1:].isdigit())
     counts = radius_counts(groups, eps, dim=dim).withColumnRenamed("qid", "gid")
@@ -97,6 +107,18 @@ def dbscan_noise(points: DataFrame, id_col: str, eps: float, min_samples: int =
     return _row_values(rowmap, res, id_col)
 
 
+def _dbscan_from_list(groups: DataFrame, nb: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    e = F.lit(float(eps))
+    kd = kth_including_self(nb, groups, min_samples).select(
+        F.col("qid").alias("gid"), (F.col("kdist") <= e).alias("is_core"))
+    core_nb = (nb.where(F.col("d") <= e).join(kd.select(F.col("gid").alias("nid"), F.col("is_core").alias("_nc")), "nid")
+                 .groupBy("qid").agg(F.max(F.col("_nc").cast("int")).alias("_near")))
+    res = kd.join(core_nb.withColumnRenamed("qid", "gid"), "gid", "left")
+    return res.select("gid", F.col("is_core").cast("int").alias("is_core"),
+                      (~F.col("is_core") & (F.coalesce(F.col("_near"), F.lit(0)) == 0)).cast("int")
+                      .alias("anomaly_model_dbscan"))
+
+
 def lof_neighbours(groups: DataFrame, n: int, k: int = LOF_K) -> DataFrame:
     """The LOF neighbour list (k = min(20, n - 1), point itself excluded)."""
     return knn(groups, min(k, n - 1), include_self=False)

@@ -127,12 +127,15 @@ def q_eps(spark, sf):
                        F.count(F.when(F.col("kdist") > F.lit(eps), 1)).alias("n_above"))
 
 
-@register("dbscan_noise", PART_SQL + " SELECT id AS p_partkey, n_within_eps, is_core, anomaly_model_dbscan FROM db")
+@register("dbscan_noise", PART_SQL + " SELECT id AS p_partkey, is_core, anomaly_model_dbscan FROM db")
 def q_dbscan(spark, sf):
-    pts = _part_points(spark, sf)
-    g = collapse(pts, "_rid")
-    eps, _ = dynamic_eps(pts, "_rid", groups=g)
-    return dbscan_noise(pts, "_rid", eps, groups=g).withColumnRenamed("_rid", "p_partkey")
+    pts = _part_points(spark, sf).persist()
+    n = pts.count()
+    g, rowmap = collapse(pts, "_rid")
+    g = g.persist()
+    nb = lof_neighbours(g, n).persist()
+    eps, _ = dynamic_eps(pts, "_rid", groups=(g, rowmap), neighbours=nb)
+    return dbscan_noise(pts, "_rid", eps, groups=(g, rowmap), neighbours=nb).withColumnRenamed("_rid", "p_partkey")
 
 
 @register("lof", PART_SQL + """
@@ -203,7 +206,7 @@ def _distance_members(pts):
     g = g.persist()
     nb = lof_neighbours(g, n).persist()
     eps, _ = dynamic_eps(pts, "_rid", groups=(g, rowmap), neighbours=nb)
-    db = dbscan_noise(pts, "_rid", eps, groups=(g, rowmap)).select("_rid", "anomaly_model_dbscan")
+    db = dbscan_noise(pts, "_rid", eps, groups=(g, rowmap), neighbours=nb).select("_rid", "anomaly_model_dbscan")
     lf = local_outlier_factor(pts, "_rid", groups=(g, rowmap), neighbours=nb).select("_rid", "anomaly_model_lof")
     return db, lf, n
 

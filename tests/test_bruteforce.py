@@ -121,3 +121,23 @@ def test_grouped_quantiles_hot_group_ranges(spark):
         got = {r["g"]: r["x"] for r in grouped_quantiles(df, ["g"], ["x"], p, range_target=300).collect()}
         for k in range(6):
             assert got[k] == pytest.approx(np.percentile(x[g == k], 100 * p), abs=1e-9)
+
+
+def test_dbscan_noise_list_vs_radius(spark):
+    from ledgerscope.operators.outliers import dbscan_noise, lof_neighbours
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(500, 3)), 2)
+    x[20:40] = x[3]  # duplicates
+    x[7] = [5, 5, 5]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    g = collapse(df, "id")
+    nb = lof_neighbours(g[0], len(x))
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    for eps in (0.2, 0.35):
+        a = {r["id"]: (r["is_core"], r["anomaly_model_dbscan"]) for r in dbscan_noise(df, "id", eps, groups=g).collect()}
+        b = {r["id"]: (r["is_core"], r["anomaly_model_dbscan"]) for r in
+             dbscan_noise(df, "id", eps, groups=g, neighbours=nb).collect()}
+        core = (d <= eps).sum(1) >= 5
+        noise = ~core & ~((d <= eps) & core[None, :]).any(1)
+        want = {i: (int(core[i]), int(noise[i])) for i in range(len(x))}
+        assert a == want and b == want
