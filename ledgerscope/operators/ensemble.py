@@ -23,6 +23,7 @@ from ledgerscope.operators.outliers import (
     robust_scale, to_vector_points, vote)
 from ledgerscope.operators.pca import fit_pca, project
 from ledgerscope.operators.quantiles import column_quantiles
+from ledgerscope.session import checkpoint_dir
 from ledgerscope.sources.transactions import select_numeric_features
 
 PCA_MAX = 10
@@ -55,16 +56,19 @@ def prepare(df: DataFrame, id_col: str, exclude=()) -> tuple[DataFrame, list[str
 
 def distance_points(scaled: DataFrame, cols: list[str]) -> DataFrame:
     if len(cols) > PCA_MAX:
-        pc, _ = fit_pca(scaled, cols, PCA_MAX)
-        return project(scaled, cols, pc, "v").select("_rid", "v")
+        fitted, _, _ = fit_pca(scaled, cols, PCA_MAX)
+        checkpoint_dir(scaled.sparkSession)
+        # evaluate the projection once, not in every search round
+        return project(scaled, cols, fitted, "v").select("_rid", "v").checkpoint(eager=True)
     return to_vector_points(scaled, "_rid", cols)
 
 
 def detect_generic(df: DataFrame, id_col: str, exclude=(), row_limit: int | None = ROW_LIMIT,
                    n_trees: int = iforest.N_TREES) -> EnsembleResult:
     spark = df.sparkSession
+    checkpoint_dir(spark)
     scaled, cols = prepare(df, id_col, exclude)
-    scaled = scaled.persist()
+    scaled = scaled.checkpoint(eager=True)  # read by the forest and the distance models
     n = scaled.count()
     forest = iforest.isolation_forest(scaled, "_rid", cols, n_trees=n_trees, n=n).select(
         "_rid", "iforest_score", "anomaly_model_iforest")
@@ -72,13 +76,12 @@ def detect_generic(df: DataFrame, id_col: str, exclude=(), row_limit: int | None
     if row_limit is not None and n > row_limit:
         res = forest.withColumns({"anomaly_model_dbscan": F.lit(0), "anomaly_model_lof": F.lit(0)})
     else:
-        pts = distance_points(scaled, cols).persist()
-        groups = collapse(pts, "_rid")
-        g = groups[0].persist()
-        groups = (g, groups[1])
+        pts = distance_points(scaled, cols)
+        g, rowmap = collapse(pts, "_rid")
+        groups = (g, rowmap)
         # one exact kNN pass serves both models: LOF's 20 neighbours
         # (self excluded) also give the 5-NN distance (self included) for eps
-        nb = lof_neighbours(g, n).persist() if n > 1 else None
+        nb = lof_neighbours(g, n) if n > 1 else None
         eps, _ = dynamic_eps(pts, "_rid", groups=groups,
                              neighbours=nb if n > EPS_K else None)
         db = dbscan_noise(pts, "_rid", eps, groups=groups,

@@ -90,7 +90,6 @@ def dbscan_noise(points: DataFrame, id_col: str, eps: float, min_samples: int =
     groups, rowmap = groups or collapse(points, id_col)
     if neighbours is not None:
         return _row_values(rowmap, _dbscan_from_list(groups, neighbours, eps, min_samples), id_col)
-    groups = groups.persist()
     dim = sum(1 for c in groups.columns if c.startswith("c") and c[1:].isdigit())
     counts = radius_counts(groups, eps, dim=dim).withColumnRenamed("qid", "gid")
     core_tab = counts.select("gid", "n_within", (F.col("n_within") >= min_samples).alias("is_core"))
@@ -133,7 +132,7 @@ def local_outlier_factor(points: DataFrame, id_col: str, k: int = LOF_K, cutoff:
     k = min(k, n - 1)
     if k < 1:
         return rowmap.select(id_col, F.lit(1.0).alias("lof"), F.lit(0).alias("anomaly_model_lof"))
-    nb = (neighbours if neighbours is not None else knn(groups, k, include_self=False)).persist()
+    nb = neighbours if neighbours is not None else knn(groups, k, include_self=False)  # checkpointed
     kd = kth_distance(nb).select(F.col("qid").alias("nid"), F.col("kdist").alias("nkd"))
     reach = nb.join(kd, "nid").select("qid", "nid", "take", F.greatest(F.col("d"), F.col("nkd")).alias("rd"))
     lrd = reach.groupBy("qid").agg(

@@ -236,7 +236,7 @@ def q_model_tables(spark, sf):
     rate by hour, as one long table (table, key, value)."""
     from ledgerscope.operators import evaluate as E
     r = _model_scores(spark, sf)
-    test = r.test.persist()
+    test = r.test
     auc = E.roc_auc(test, "label", "fraud_prob").select(
         F.lit("roc_auc").alias("table"), F.lit("auc").alias("key"), F.col("roc_auc").alias("value"))
     roc = E.roc_curve(test, "label", "fraud_prob").select(

@@ -13,6 +13,7 @@ from ledgerscope.operators.outliers import (
     ROW_LIMIT, dbscan_noise, dynamic_eps, impute_median, local_outlier_factor, lof_neighbours, vote)
 from ledgerscope.operators.pca import pca_projection
 from ledgerscope.plans.common import table, txn
+from ledgerscope.session import checkpoint_dir
 from ledgerscope.sources.transactions import detect_label_column
 
 Q: dict = {}
@@ -129,11 +130,11 @@ def q_eps(spark, sf):
 
 @register("dbscan_noise", PART_SQL + " SELECT id AS p_partkey, is_core, anomaly_model_dbscan FROM db")
 def q_dbscan(spark, sf):
-    pts = _part_points(spark, sf).persist()
+    checkpoint_dir(spark)
+    pts = _part_points(spark, sf).checkpoint(eager=True)
     n = pts.count()
     g, rowmap = collapse(pts, "_rid")
-    g = g.persist()
-    nb = lof_neighbours(g, n).persist()
+    nb = lof_neighbours(g, n)
     eps, _ = dynamic_eps(pts, "_rid", groups=(g, rowmap), neighbours=nb)
     return dbscan_noise(pts, "_rid", eps, groups=(g, rowmap), neighbours=nb).withColumnRenamed("_rid", "p_partkey")
 
@@ -200,11 +201,11 @@ def q_vote(spark, sf):
 
 def _distance_members(pts):
     """DBSCAN noise and LOF flags from one shared exact kNN pass."""
-    pts = pts.persist()
+    checkpoint_dir(pts.sparkSession)
+    pts = pts.checkpoint(eager=True)
     n = pts.count()
     g, rowmap = collapse(pts, "_rid")
-    g = g.persist()
-    nb = lof_neighbours(g, n).persist()
+    nb = lof_neighbours(g, n)
     eps, _ = dynamic_eps(pts, "_rid", groups=(g, rowmap), neighbours=nb)
     db = dbscan_noise(pts, "_rid", eps, groups=(g, rowmap), neighbours=nb).select("_rid", "anomaly_model_dbscan")
     lf = local_outlier_factor(pts, "_rid", groups=(g, rowmap), neighbours=nb).select("_rid", "anomaly_model_lof")

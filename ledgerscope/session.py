@@ -18,8 +18,13 @@ _DEFAULTS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of tables no longer referenced are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+# applied only when this helper starts the JVM (local runs, tests)
+_LOCAL_DEFAULTS = {"spark.driver.memory": "8g"}
+
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "ledgerscope", extra: dict | None = None) -> SparkSession:
@@ -32,6 +37,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+        for k, v in _LOCAL_DEFAULTS.items():
+            b = b.config(k, v)
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     if shuffle_partitions:

@@ -141,3 +141,19 @@ def test_dbscan_noise_list_vs_radius(spark):
         noise = ~core & ~((d <= eps) & core[None, :]).any(1)
         want = {i: (int(core[i]), int(noise[i])) for i in range(len(x))}
         assert a == want and b == want
+
+
+def test_knn_dense_cluster_levels(spark):
+    # a dense cluster of distinct near-duplicates forces finer grid levels
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(300, 3)), 5 + rng.normal(scale=1e-4, size=(400, 3))])
+    x = np.round(x, 7)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    groups, rowmap = collapse(df, "id")
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    nb = knn(groups, 5, include_self=False, max_candidates=60)
+    assert knn.last_rounds > 1
+    kd = kth_distance(nb).withColumnRenamed("qid", "gid")
+    got = {r["id"]: r["kdist"] for r in rowmap.join(kd, "gid").collect()}
+    for i in range(len(x)):
+        assert got[i] == pytest.approx(np.sort(np.delete(d[i], i))[4], abs=1e-12)
