@@ -11,19 +11,33 @@ def _c(x) -> Column:
 
 
 _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+_UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00", "UTC+00:00"}
+
+
+def _session_tz() -> str:
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    return s.conf.get("spark.sql.session.timeZone") if s is not None else "UTC"
 
 
 def epoch_micros(ts) -> Column:
-    """Microseconds since the epoch of the wall-clock value, independent of
-    the session time zone (``timestampdiff`` on TIMESTAMP_NTZ)."""
+    """Microseconds since the epoch of the wall-clock value, whatever the
+    session time zone.  Under UTC the cheap TIMESTAMP cast is exact;
+    otherwise ``timestamp_diff`` on TIMESTAMP_NTZ (zone-free)."""
+    if _session_tz() in _UTC_NAMES:
+        return F.unix_micros(_c(ts).cast("timestamp_ntz").cast("timestamp"))
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(ts).cast("timestamp_ntz"))
 
 
 def from_epoch_micros(us) -> Column:
-    """Inverse of ``epoch_micros``: a TIMESTAMP_NTZ wall-clock value."""
-    us = _c(us)
-    return (F.expr(_EPOCH_NTZ) + F.make_dt_interval(secs=F.floor(us / 1_000_000))
-            + F.make_dt_interval(secs=F.pmod(us, F.lit(1_000_000)).cast("decimal(18,6)") / 1_000_000))
+    """Inverse of ``epoch_micros``: the TIMESTAMP_NTZ whose wall clock is
+    ``us`` after the epoch.  The instant is shifted by the session zone
+    before the NTZ cast, so the result does not depend on that zone."""
+    t = F.timestamp_micros(_c(us))
+    tz = _session_tz()
+    if tz not in _UTC_NAMES:
+        t = F.to_utc_timestamp(t, tz)
+    return t.cast("timestamp_ntz")
 
 
 def hour_of(ts) -> Column:
