@@ -5,17 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import exact_dedup, mixing, packing, token_cache
+from ledgerscope.llm import exact_dedup, minhash, mixing, packing, token_cache, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents"), width=4)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -28,5 +36,5 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.source_mix(_table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op2_best_fit_packing, op6_exact_dedup, op8_token_counts, op9_source_mixing)}
+Q = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op5_toxicity, op6_exact_dedup, op8_token_counts, op9_source_mixing)}
 SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
