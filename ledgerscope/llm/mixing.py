@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.common import WORD, global_rank, keep
 
 #: rows of one bucket of a source, about
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
@@ -82,9 +82,8 @@ def _integrated(knots: Column) -> Column:
         F.aggregate(F.slice(stretch, F.lit(1), i), F.lit(0.0), lambda a, p: a + area(p)).alias("before")))
 
 
-def position_at(knots: Column, offset: Column) -> Column:
-    """Time at which the cumulative demand of ``knots`` reaches ``offset``."""
-    parts = _integrated(knots)
+def position_at(parts: Column, offset: Column) -> Column:
+    """Time at which the integrated demand ``parts`` reaches ``offset``."""
     s = F.element_at(F.filter(parts, lambda p: (p["before"] <= offset) | (p["before"] == 0)), -1)
     x = F.greatest(F.lit(0.0), offset - s["before"])
     slope = (s["r1"] - s["r0"]) / s["dt"]
@@ -101,15 +100,16 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
     sized = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
                              F.xxhash64("text").alias("key")), "sizes")
     sized = sized.withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     buckets = max(1, -(-sized.count() // BUCKET_ROWS))
     sized = sized.withColumn("bucket", F.shiftright(F.shiftrightunsigned("h", 33) * F.lit(buckets), 31))
-    plan = keep(schedule(source_targets(sources.drop("n"), weights, share, max_epochs)), "curriculum")
+    plan = schedule(source_targets(sources, weights, share, max_epochs))
+    plan = keep(plan.withColumn("parts", _integrated(F.col("knots"))), "curriculum")
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = (sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
             .withColumn("base", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
             .join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-            .select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base", "source_size", "target", "knots"))
+            .select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base", "source_size", "target", "parts"))
     before = (Window.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_last(), "size", "key")
               .rowsBetween(Window.unboundedPreceding, -1))
     at = (sized.withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -120,7 +120,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
     rest = words - full * F.col("source_size")
     cut = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("offset"))).cast("long")
     at = at.withColumn("full", full).withColumn("cut", cut).withColumn("taken", F.col("full") * F.col("size") + F.col("cut"))
-    spot = lambda p: position_at(F.col("knots"), p * F.col("source_size") + F.col("offset"))
+    spot = lambda p: position_at(F.col("parts"), p * F.col("source_size") + F.col("offset"))
     copies = F.col("full") + (F.col("cut") > 0).cast("long")
     positions = F.when((copies > 0) & (F.col("taken") > 0),
                        F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), spot)).otherwise(F.array().cast("array<double>"))
@@ -132,7 +132,7 @@ def source_mix(docs: DataFrame, **options) -> DataFrame:
     """One row per document, sorted by its first training position."""
     plan = mix_plan(docs, **options).withColumn("position", F.when(F.size("positions") > 0, F.col("positions")[0]))
     order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
-    return (plan.select("doc_id", "size", "source_size", "target", "taken", "position")
+    return (keep(plan.select("doc_id", "size", "source_size", "target", "taken", "position"), "mix")
             .repartitionByRange(*order).sortWithinPartitions(*order))
 
 
