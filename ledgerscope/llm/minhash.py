@@ -12,9 +12,11 @@ similarity of 0.8 the distance is above 25 with a chance of about one in
 
 Groups of thousands never become all their pairs: documents with one and the
 same set are one node; the members of a key are first compared with its
-smallest member alone; only members of a key that are not in one component
-after that are compared with each other, in blocks of bounded size, and only
-pairs within the signature distance become rows.
+smallest member alone.  Members of a key that are not in one component after
+that are compared with each other, by signature, in pairs of blocks of bounded
+size, each of which gives a spanning forest and not its pairs; the clusters so
+found are compared in the same way on the full sets, the largest component of
+a cluster only with the rest.
 
 Defined results: null or empty text, or text without words, has no shingles
 and is linked with nothing; a null doc_id is linked with nothing and kept;
@@ -113,35 +115,80 @@ def _close(batches):
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
-def _block_pairs(batches):
-    """Close pairs of different components, from rows sorted by key and block
-    pair; a group is never larger than two blocks."""
+def _groups(batches):
+    """(table, bounds): whole groups of rows sorted by g, x and y; a group is
+    never larger than two blocks."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         rest = pa.concat_tables([rest, table]) if rest is not None else table
-        group = np.stack([rest.column(c).to_numpy() for c in ("key", "x", "y")])
+        group = np.stack([rest.column(c).to_numpy() for c in ("g", "x", "y")])
         cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
         if len(cuts):
-            yield from _pairs_of(rest.slice(0, cuts[-1]), np.concatenate(([0], cuts)))
+            yield rest.slice(0, cuts[-1]), np.concatenate(([0], cuts))
             rest = rest.slice(cuts[-1])
     if rest is not None and len(rest):
-        yield from _pairs_of(rest, np.array([0, len(rest)]))
+        yield rest, np.array([0, len(rest)])
 
 
-def _pairs_of(table: pa.Table, cuts: np.ndarray):
-    rep, comp, block, x, y = (table.column(c).to_numpy() for c in ("rep", "comp", "block", "x", "y"))
-    sig = _matrix(table.column("sig"))
-    a, b = [], []
-    for s, e in zip(cuts[:-1], cuts[1:]):
-        one, two = np.flatnonzero(block[s:e] == x[s]) + s, np.flatnonzero(block[s:e] == y[s]) + s
-        for i in one:
-            others = two[(comp[two] != comp[i]) & ((rep[two] > rep[i]) if x[s] == y[s] else True)]
-            others = others[(sig[others] != sig[i]).sum(axis=1) <= DISTANCE]
-            a.append(np.minimum(rep[others], rep[i]))
-            b.append(np.maximum(rep[others], rep[i]))
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def _sides(table: pa.Table, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a group (the same rows twice for one block)."""
+    block, x, y = (table.column(c).to_numpy()[s:e] for c in ("block", "x", "y"))
+    return np.flatnonzero(block == x[0]) + s, np.flatnonzero(block == y[0]) + s
+
+
+def _forest(batches):
+    """For each group a spanning forest, over components, of its close pairs."""
+    for table, bounds in _groups(batches):
+        sig, comp = _matrix(table.column("sig")), table.column("comp").to_numpy()
+        a, b = [], []
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            one, two = _sides(table, s, e)
+            root = comp[s:e].copy()
+            for i in one:
+                others = two[root[two - s] != root[i - s]]
+                if not len(others):
+                    continue
+                for j in others[(sig[others] != sig[i]).sum(axis=1) <= DISTANCE]:
+                    if root[j - s] != root[i - s]:
+                        a.append(comp[i])
+                        b.append(comp[j])
+                        root[root == root[j - s]] = root[i - s]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _linked_forest(width: int, part: int, whole: int):
+    """For each group a spanning forest, over components, of its links: close
+    pairs, confirmed on the full sets."""
+    def run(batches):
+        for table, bounds in _groups(batches):
+            sig, comp = _matrix(table.column("sig")), table.column("comp").to_numpy()
+            rep = table.column("rep").to_numpy()
+            a, b = [], []
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                one, two = _sides(table, s, e)
+                root = comp[s:e].copy()
+                sets = shingle_sets(text_bytes(table.column("text").slice(s, e - s).combine_chunks()), width)
+                sizes = np.array([len(x) for x in sets])
+                for i in one:
+                    others = two[root[two - s] != root[i - s]]
+                    if len(others):
+                        n, m = sizes[others - s], sizes[i - s]
+                        others = others[((sig[others] != sig[i]).sum(axis=1) <= DISTANCE)
+                                        & (whole * np.minimum(n, m) >= part * np.maximum(n, m))]
+                    if not len(others):
+                        continue
+                    mine, theirs = sets[i - s], np.concatenate([sets[j - s] for j in others])
+                    hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                    n = sizes[others - s]
+                    both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(n)[:-1])))
+                    for j in others[whole * both >= part * (n + len(mine) - both)]:
+                        if root[j - s] != root[i - s]:
+                            a.append(rep[i])
+                            b.append(rep[j])
+                            root[root == root[j - s]] = root[i - s]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return run
 
 
 def _confirm(width: int, part: int, whole: int):
@@ -169,6 +216,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, part: int, whole:
                      "a long, b long")
 
 
+def _paired(rows: DataFrame, *payload: str) -> DataFrame:
+    """Every row once for each block that its block meets, sorted by group and
+    pair of blocks."""
+    return (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("partners") - 1)))
+            .select("g", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "comp", *payload)
+            .repartition("g", "x", "y").sortWithinPartitions("g", "x", "y"))
+
+
 def near_groups(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; linked
     where whole * intersection >= part * union."""
@@ -190,18 +245,28 @@ def near_groups(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 10
     links = keep(_confirmed(star, texts, width, part, whole), "links")
     found = components(links)
     # members of a key that the comparison with its smallest member left apart
-    tagged = (members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-              .select("key", "rep", F.coalesce("component", "rep").alias("comp")))
+    tagged = keep(members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+                  .select("key", "rep", F.coalesce("component", "rep").alias("comp")), "tagged")
     apart = (tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
              .where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     rows = (tagged.join(apart, "key").join(nodes.select("rep", "sig"), "rep")
-            .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")))
-    rows = (rows.select("key", "x", "y", "block", "rep", "comp", "sig").repartition("key", "x", "y")
-            .sortWithinPartitions("key", "x", "y"))
-    cross = map_arrow(rows, _block_pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    more = keep(_confirmed(keep(cross, "cross"), texts, width, part, whole), "links")
+            .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("partners", F.col("blocks")))
+    near = components(map_arrow(_paired(rows.withColumnRenamed("key", "g"), "sig"), _forest, "a long, b long"))
+    # clusters of components that close signatures connect: compared in full
+    owner = tagged.select("rep", "comp").distinct()
+    inside = keep(owner.join(near.select(F.col("id").alias("comp"), F.col("component").alias("g")), "comp"), "clusters")
+    sizes = inside.groupBy("g", "comp").agg(F.count("*").alias("n"))
+    layout = (sizes.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"))
+              .select("g", F.col("main.comp").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"),
+                      F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("rests")))
+    is_main = F.col("comp") == F.col("main")
+    rows = (inside.join(layout, "g").join(nodes.select("rep", "sig"), "rep")
+            .join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+            # the largest component's own blocks are not compared with each other
+            .withColumn("block", F.when(is_main, F.col("rests") + F.pmod(F.xxhash64("rep"), F.col("mains")))
+                        .otherwise(F.pmod(F.xxhash64("rep"), F.col("rests"))).cast("int"))
+            .withColumn("partners", F.when(is_main, F.col("rests")).otherwise(F.col("rests") + F.col("mains"))))
+    more = keep(map_arrow(_paired(rows, "sig", "text"), _linked_forest(width, part, whole), "a long, b long"), "links")
     found = components(links.union(more)) if not more.isEmpty() else found
     named = (nodes.drop("sig").join(found.withColumnRenamed("id", "rep"), "rep", "left")
              .select(*identity, F.coalesce("component", "rep").alias("component")))
