@@ -27,6 +27,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     from the files, whatever executors are lost, and do the work once."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    # Spark drops shuffle files when the driver collects the plans that made
+    # them; what is written no longer needs any, so that disk use doesn't add up
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

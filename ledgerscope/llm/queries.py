@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import exact_dedup, minhash, mixing, packing, token_cache, toxicity
+from ledgerscope.llm import exact_dedup, minhash, mixing, packing, suffix_dedup, token_cache, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,9 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.source_mix(_table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op5_toxicity, op6_exact_dedup, op8_token_counts, op9_source_mixing)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
+Q = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op5_toxicity, op6_exact_dedup, op8_token_counts, op9_source_mixing, op10_suffix_dedup)}
 SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
