@@ -30,7 +30,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     # Spark drops shuffle files when the driver collects the plans that made
     # them; what is written no longer needs any, so that disk use doesn't add up
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.kept_at = path
+    return found
+
+
+def drop_kept(table: DataFrame) -> None:
+    """Delete a table of ``keep`` that no later step reads."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.kept_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:

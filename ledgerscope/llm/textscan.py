@@ -51,6 +51,12 @@ def running(buf: np.ndarray) -> np.ndarray:
     return sums
 
 
+def gram_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from each place on; its high bits are the better ones."""
+    _, down = powers(len(sums))
+    return (sums[width:] - sums[:-width]) * down[: len(sums) - width]
+
+
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     _, down = powers(len(sums))
     return mix((sums[end] - sums[start]) * down[start])
