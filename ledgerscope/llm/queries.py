@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import exact_dedup, minhash, mixing, packing, suffix_dedup, token_cache, toxicity
+from ledgerscope.llm import (exact_dedup, minhash, mixing, packing, quality_classifier, quality_rules, secret_scan,
+                             suffix_dedup, token_cache, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -28,6 +37,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -40,5 +53,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op5_toxicity, op6_exact_dedup, op8_token_counts, op9_source_mixing, op10_suffix_dedup)}
+Q = {f.__name__: f for f in (
+    op1_minhash_dedup, op2_best_fit_packing, op3_quality_rules, op4_quality_classifier, op5_toxicity, op6_exact_dedup,
+    op7_secret_scan, op8_token_counts, op9_source_mixing, op10_suffix_dedup)}
 SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
