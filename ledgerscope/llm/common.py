@@ -22,15 +22,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a query at its end
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later steps start
-    from the files, whatever executors are lost, and do the work once."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    # Spark drops shuffle files when the driver collects the plans that made
-    # them; what is written no longer needs any, so that disk use doesn't add up
-    df.sparkSession.sparkContext._jvm.System.gc()
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    from the files, whatever executors are lost, and do the work once.  What is
+    written needs its shuffle files no more, so disk use doesn't add up."""
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    found = spark.read.schema(df.schema).parquet(path)
     found.kept_at = path
     return found
 
