@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,9 +91,15 @@ class ByteIds:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ByteIds:
+    """One per worker process: its memory of words outlives the task."""
+    return ByteIds(path)
+
+
 def _cut(path: str, capacity: int):
     def run(batches):
-        encode = ByteIds(path)
+        encode = _encoder(path)
         for part in pieces_of(batches, 1 << 20):
             rows = []
             texts = ["" if t is None else t for t in part.column("text").to_pylist()]

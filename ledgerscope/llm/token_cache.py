@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,9 +94,15 @@ class JsonCounter:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+@lru_cache(maxsize=1)
+def _counter(path: str):
+    """One per worker process: its memory of words outlives the task."""
+    return PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
+
+
 def _encoder(path: str):
     def run(batches):
-        count = PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
+        count = _counter(path)
         for part in pieces_of(batches):
             yield pa.RecordBatch.from_arrays(
                 [part.column("digest"), pa.array(count(part.column("text").to_pylist()), pa.int64())], ["digest", "n_tokens"])
