@@ -161,13 +161,18 @@ def _fullest(left: dict[int, int], capacity: int) -> dict[int, int]:
     return found
 
 
-def configurations(histogram: dict[int, int], capacity: int, step: float = 0.5, rate: float = 2.0,
-                   rounds: int = 4096) -> list[tuple[dict[int, int], int]]:
-    """(configuration, sequences) pairs that hold every piece exactly once."""
+def configurations(histogram: dict[int, int], capacity: int, step: float = 0.1, rate: float = 1.0,
+                   rounds: int = 2500, rounded: float = 0.7) -> list[tuple[dict[int, int], int]]:
+    """(configuration, sequences) pairs that hold every piece exactly once.
+
+    Prices start convex in the length, as long pieces are the harder ones to
+    place; ``rounded`` is the share of the solution that is rounded down to
+    whole sequences, so that the rest leaves room for exact fills.
+    """
     n = np.zeros(capacity + 1)
     for length, count in histogram.items():
         n[length] = count
-    size = np.arange(capacity + 1) / capacity
+    size = (np.arange(capacity + 1) / capacity) ** 1.5
     covered = np.zeros(capacity + 1)
     price = np.where(n > 0, size, -np.inf)
     solution: dict[tuple, float] = {}
@@ -184,7 +189,7 @@ def configurations(histogram: dict[int, int], capacity: int, step: float = 0.5,
     plan: dict[tuple, int] = {}
     # whole sequences of the solution, those of the largest amounts first
     for key, amount in sorted(solution.items(), key=lambda x: (-x[1], x[0])):
-        times = min([int(amount + 1e-9), *(left.get(length, 0) // a for length, a in key)])
+        times = min([int(rounded * amount + 1e-9), *(left.get(length, 0) // a for length, a in key)])
         if times > 0:
             plan[key] = plan.get(key, 0) + times
             for length, a in key:

@@ -1,0 +1,264 @@
+"""Operators against brute force on small tables with nulls, ties, copies and
+clashing columns."""
+
+import hashlib
+import itertools
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from ledgerscope.llm import exact_dedup, minhash, mixing, packing, quality_classifier, quality_rules, secret_scan
+from ledgerscope.llm import suffix_dedup, token_cache, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string"
+BASE = " ".join(f"word{i % 37} thing{i * 7 % 53}" for i in range(120))
+
+
+def _texts():
+    near = BASE.replace("word5 ", "other ")
+    return [None, "", "  ", "one two", "one  two", "One two", BASE, BASE, near, BASE + " tail end", "password=abcdef12345 x",
+            "tök€n 日本語 <|endoftext|>  a   b ", "x" * 70_000, " ".join(["the"] * 400), "a\nb\na\nb\n\na", "you st0pid thing",
+            "k " * 30 + "deadbeefdeadbeefdeadbeefdeadbeef", near[:400]]
+
+
+def _rows():
+    rows = [(i, t, "en", "s1" if i % 3 else "s0", None if t is None else len(t), "x", "y") for i, t in enumerate(_texts())]
+    return rows + [(None, "null id text", None, None, 3, "x", "y"), rows[6]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, int(i == 15)) for i in range(18)] + [(None, 1, 0), (3, None, None)],
+                                 "doc_id long, quality int, toxic int")
+
+
+def _sets(width):
+    out = {}
+    for i, t in enumerate(_texts()):
+        w = (t or "").encode().lower().split()
+        out[i] = {tuple(w[k:k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    return out
+
+
+def test_near_groups(docs, empty):
+    sets = _sets(4)
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                root[a] = root[b] = min(root[a], root[b])
+    rows = minhash.near_groups(docs, width=4).collect()
+    assert len(rows) == len(_rows())
+    for r in rows:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)
+    assert minhash.near_groups(empty).count() == 0
+    assert minhash.near_dedup(docs).columns == docs.columns
+
+
+def test_signature_distance_bound():
+    rng = np.random.default_rng(1)
+    missed = 0
+    for _ in range(300):  # pairs of similarity 0.8
+        common = rng.integers(0, 2**63, 400, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate((common, rng.integers(0, 2**63, 50, dtype=np.uint64)))) for _ in range(2))
+        s = minhash.signatures([a, b])
+        missed += int((s[0] != s[1]).sum()) > minhash.DISTANCE
+    assert missed <= 1
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = packing.pack(docs, path, 256).toPandas()
+    for i, t in enumerate(_texts()):
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4")
+        mine = rows[rows.doc_id == i].drop_duplicates("piece").sort_values("piece")
+        assert mine.length.sum() == len(ids) and mine.start.tolist() == [0, *mine.length.cumsum().tolist()[:-1]]
+        assert mine.ids_crc32.tolist() == [zlib.crc32(ids[s:s + n].tobytes()) for s, n in zip(mine.start, mine.length)]
+    for _, one in rows.groupby("sequence_id"):
+        one = one.sort_values("offset")
+        assert one.length.sum() <= 256 and one.offset.tolist() == [0, *one.length.cumsum().tolist()[:-1]]
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_configurations_no_worse_than_first_fit():
+    rng = np.random.default_rng(3)
+    for _ in range(3):
+        lengths = rng.integers(1, 129, 2000).tolist()
+        bins = []
+        for n in sorted(lengths, reverse=True):
+            for k, room in enumerate(bins):
+                if room >= n:
+                    bins[k] -= n
+                    break
+            else:
+                bins.append(128 - n)
+        plan = packing.configurations(Counter(lengths), 128)
+        placed = Counter()
+        for configuration, times in plan:
+            assert sum(n * a for n, a in configuration.items()) <= 128
+            placed.update({n: a * times for n, a in configuration.items()})
+        assert placed == Counter(lengths) and sum(t for _, t in plan) <= len(bins)
+        assert sum(t for _, t in plan) >= math.ceil(sum(lengths) / 128)
+
+
+def test_quality_rules(docs, empty, labels):
+    import re
+    rows = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
+    for i, t in enumerate(_texts()):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        runs = [tuple(w[k:k + 5]) for k in range(len(w) - 4)]
+        count, covered, seen, dups = Counter(runs), set(), set(), 0
+        for k, run in enumerate(runs):
+            covered |= set(range(k, k + 5)) if count[run] > 1 else set()
+        for line in (t or "").split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dups += line in seen
+                seen.add(line)
+        r = rows[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dups, len(covered))
+        assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.base_failed and r.kept)
+    assert quality_rules.quality_rules(empty, labels).count() == 0
+    assert quality_rules.quality_rules(docs, labels.where("false")).where("kept").count() > 0
+
+
+def test_decision_list_finds_a_planted_rule():
+    rng = np.random.default_rng(2)
+    x = rng.random((1500, 3))
+    bad = (x[:, 1] > 0.8) & (x[:, 2] < 0.5)
+    rules = quality_rules.learn(x, bad)
+    hit = np.zeros(len(x), bool)
+    for rule in rules:
+        hit |= quality_rules._covers(rule, x)
+    assert (hit == bad).mean() > 0.98
+
+
+def test_quality_scores(docs, empty, labels, spark):
+    assert quality_classifier.quality_scores(docs, labels).where("score between 0 and 1").count() == len(_rows())
+    assert quality_classifier.quality_scores(empty, labels).count() == 0
+    sf = "/root/testdata/sf0.01"
+    got = (quality_classifier.quality_scores(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+           .join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas())
+    assert (got.predicted == got.quality).mean() >= 0.95
+
+
+def test_toxicity(docs, empty, labels, spark):
+    assert toxicity.toxicity(docs, labels).count() == len(_rows())
+    assert toxicity.toxicity(empty, labels).count() == 0
+    assert toxicity.without_toxic(docs, labels.where("false")).columns == docs.columns
+    assert toxicity.fold("ЅТ0РІD іd10т") == "stopid idiot".replace("stopid", toxicity.fold("stopid"))
+    matcher = toxicity.Matcher({"idiot": 2.0, "lowe*": 1.0}, ["idiot savant"])
+    assert matcher.features("an idiot")[0] == 1 and matcher.features("idiots")[0] == 0
+    assert matcher.features("the idiot savant")[0] == 0 and matcher.features("lowering")[0] == 1
+
+
+def test_exact_groups(docs, empty):
+    import re
+    norm = {}
+    for i, t in enumerate(_texts()):
+        norm.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
+    rows = exact_dedup.exact_groups(docs).collect()
+    assert len(rows) == len(_rows())
+    for text, ids in norm.items():
+        mine = [r for r in rows if r.doc_id in ids]
+        assert {r.keep_id for r in mine} == {min(ids)} and sum(r.kept for r in mine) == 1
+        assert {r.group_size for r in mine} == {len(mine)}
+        assert {r.text_sha256 for r in mine} == {hashlib.sha256(text.encode()).hexdigest()}
+    assert exact_dedup.exact_groups(empty).count() == 0
+    assert exact_dedup.exact_dedup(docs).count() == len(norm) + 1
+
+
+def test_classes_compare_whole_texts(spark):
+    one_digest = spark.createDataFrame([(1, "d", "a"), (2, "d", "b"), (3, "d", "a")], "doc_id long, text_sha256 string, norm string")
+    assert {(r.norm, r.keep_id, r.group_size) for r in exact_dedup.classes_of(one_digest).collect()} == {("a", 1, 2), ("b", 2, 1)}
+
+
+def test_secret_scan(docs, empty):
+    rows = {r.doc_id: r for r in secret_scan.secret_scan(docs).collect()}
+    assert rows[10].n_assign == 1 and rows[10].spans.startswith("assign:0:20")
+    assert rows[16].n_hex == 1 and rows[16].spans.startswith("hex:60:92")
+    assert rows[0].spans == "" and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert secret_scan.base_findings("secret:token:abcdef") == []  # a failing match is passed over whole
+    assert secret_scan.secret_scan(empty).count() == 0
+
+
+def test_character_network_learns():
+    rng = np.random.default_rng(4)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 30)) for _ in range(200)]
+    others = [".".join(str(n) for n in rng.integers(0, 255, 4)) + ".example" for _ in range(200)]
+    texts = [w for pair in zip(hexes, others) for w in pair]
+    windows = [secret_scan._window(f"see {w} there", 4, 4 + len(w)) for w in texts]
+    known = np.array([True, False] * 200)
+    net = secret_scan.train(windows, known)
+    assert ((secret_scan.probability(net, windows) >= net["threshold"]) == known).mean() > 0.95
+
+
+def test_token_counts(docs, empty, spark, tmp_path):
+    import sentencepiece
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    cache = str(tmp_path / "cache")
+    for _ in range(2):  # cold, then from the cache
+        for r in token_cache.token_counts(docs, path, cache=cache).where("doc_id is not null").collect():
+            t = _texts()[r.doc_id] or ""
+            assert (r.n_bytes, r.n_tokens) == (len(t.encode()), len(model.encode(t)))
+        stored = spark.read.parquet(cache)
+        assert stored.count() == stored.select("digest").distinct().count()
+    assert token_cache.token_counts(empty, path).count() == 0
+
+
+def test_mixing(docs, empty):
+    rows = mixing.source_mix(docs).toPandas()
+    assert len(rows) == len(_rows()) and (rows.taken <= 3 * rows["size"]).all()
+    for _, one in rows.groupby("source_size"):
+        assert abs(one.taken.sum() - one.target.iloc[0]) <= 1 and one.target.iloc[0] <= 3 * one.source_size.iloc[0]
+    again = mixing.source_mix(docs).toPandas()
+    assert sorted(map(str, again.itertuples(index=False))) == sorted(map(str, rows.itertuples(index=False)))
+    assert mixing.source_mix(empty).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_suffix_dedup(docs, empty):
+    seen, want = {}, {}
+    texts = [(i, (t or "").encode()) for i, t in enumerate(_texts())]
+    for i, b in texts:
+        for k in range(len(b) - 49):
+            seen.setdefault(b[k:k + 50], i)
+    for i, b in texts:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if seen[b[k:k + 50]] < i:
+                gone[k:k + 50] = True
+        left = bytes(np.frombuffer(b, np.uint8)[~gone])
+        want[i] = (len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest())
+    for r in suffix_dedup.suffix_dedup(docs).where("doc_id is not null").collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+    assert suffix_dedup.suffix_dedup(empty).count() == 0
+
+
+def test_suffix_array_and_merge():
+    rng = np.random.default_rng(7)
+    buf = rng.integers(97, 99, 600).astype(np.uint8)
+    data = buf.tobytes()
+    assert suffix_dedup.suffix_array(buf).tolist() == sorted(range(600), key=lambda i: data[i:])
+    a, b = suffix_dedup.Shard([data[:200], data[100:300]], np.array([5, 3])), suffix_dedup.Shard([data[150:400]], np.array([1]))
+    assert (a.smallest()[100:151] == 3).all() and (a.merged(b)[150:151] == 1).all() and a.merged(b)[0] > 10
