@@ -161,8 +161,35 @@ def _fullest(left: dict[int, int], capacity: int) -> dict[int, int]:
     return found
 
 
+def _longest_first(left: dict[int, int], capacity: int) -> dict[int, int]:
+    """The configuration that first fit, longest piece first, would open next."""
+    found, room = {}, capacity
+    for length in sorted(left, reverse=True):
+        a = min(left[length], room // length)
+        if a:
+            found[length] = a
+            room -= a * length
+    return found
+
+
+def _completed(left: dict[int, int], capacity: int, fill) -> dict[tuple, int]:
+    """Configurations by ``fill`` until no piece is left."""
+    left = {length: count for length, count in left.items() if count}
+    plan: dict[tuple, int] = {}
+    while left:
+        best = fill(left, capacity)
+        times = min(left[length] // a for length, a in best.items())
+        key = tuple(sorted(best.items()))
+        plan[key] = plan.get(key, 0) + times
+        for length, a in best.items():
+            left[length] -= a * times
+            if not left[length]:
+                del left[length]
+    return plan
+
+
 def configurations(histogram: dict[int, int], capacity: int, step: float = 0.1, rate: float = 1.0,
-                   rounds: int = 2500, rounded: float = 0.7) -> list[tuple[dict[int, int], int]]:
+                   rounds: int = 2500, rounded: float = 0.3) -> list[tuple[dict[int, int], int]]:
     """(configuration, sequences) pairs that hold every piece exactly once.
 
     Prices start convex in the length, as long pieces are the harder ones to
@@ -194,16 +221,10 @@ def configurations(histogram: dict[int, int], capacity: int, step: float = 0.1,
             plan[key] = plan.get(key, 0) + times
             for length, a in key:
                 left[length] -= a * times
-    left = {length: count for length, count in left.items() if count}
-    while left:
-        best = _fullest(left, capacity)
-        times = min(left[length] // a for length, a in best.items())
-        key = tuple(sorted(best.items()))
+    # the rest by the better of two completions, each longest piece first
+    rest = min((_completed(left, capacity, fill) for fill in (_fullest, _longest_first)), key=lambda c: sum(c.values()))
+    for key, times in rest.items():
         plan[key] = plan.get(key, 0) + times
-        for length, a in best.items():
-            left[length] -= a * times
-            if not left[length]:
-                del left[length]
     return [(dict(key), times) for key, times in plan.items()]
 
 
