@@ -3,10 +3,8 @@
 numeric columns -> exact median imputation -> robust scaling -> isolation
 forest on all scaled columns; distance space = PCA(min(10, d)) when d > 10
 (for d <= 10 a full-rank PCA is a rotation, distances are unchanged, so it
-is skipped) -> dynamic eps -> DBSCAN noise -> LOF -> vote.  Above
-``row_limit`` rows the distance models are off and one vote suffices
-(parity with the reference); ``row_limit=None`` runs the distributed
-neighbour joins at any size.
+is skipped) -> dynamic eps -> DBSCAN noise -> LOF -> vote.  All three
+models run and two votes decide, at any number of rows.
 """
 
 from __future__ import annotations
@@ -19,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerscope.operators import iforest
 from ledgerscope.operators.neighbours import collapse
 from ledgerscope.operators.outliers import (
-    EPS_K, ROW_LIMIT, dbscan_noise, dynamic_eps, impute_median, local_outlier_factor, lof_neighbours,
+    EPS_K, dbscan_noise, dynamic_eps, impute_median, local_outlier_factor, lof_neighbours,
     robust_scale, to_vector_points, vote)
 from ledgerscope.operators.pca import fit_pca, project
 from ledgerscope.operators.quantiles import column_quantiles
@@ -63,33 +61,42 @@ def distance_points(scaled: DataFrame, cols: list[str]) -> DataFrame:
     return to_vector_points(scaled, "_rid", cols)
 
 
-def detect_generic(df: DataFrame, id_col: str, exclude=(), row_limit: int | None = ROW_LIMIT,
+def _required(col: str):
+    """The column, or an error for a row that a model gave no value."""
+    return F.when(F.col(col).isNull(), F.raise_error(F.lit(f"a row has no {col}"))).otherwise(F.col(col)).alias(col)
+
+
+def detect_generic(df: DataFrame, id_col: str | None = None, exclude=(),
                    n_trees: int = iforest.N_TREES) -> EnsembleResult:
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    scaled, cols = prepare(df, id_col, exclude)
+    """Every input row once, with the three model flags, votes and verdict.
+
+    ``id_col`` names a unique non-null column, by which the forest draws its
+    samples.  Without one, or where ids may repeat or be NULL, leave it out:
+    rows get numbers of their own (fixed by a checkpoint) and none is lost or
+    doubled.
+    """
+    checkpoint_dir(df.sparkSession)
+    if id_col is None:
+        df = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    key = id_col or "_row"
+    scaled, cols = prepare(df, key, exclude if id_col else (*exclude, "_row"))
     scaled = scaled.checkpoint(eager=True)  # read by the forest and the distance models
     n = scaled.count()
     forest = iforest.isolation_forest(scaled, "_rid", cols, n_trees=n_trees, n=n).select(
         "_rid", "iforest_score", "anomaly_model_iforest")
-    eps = None
-    if row_limit is not None and n > row_limit:
-        res = forest.withColumns({"anomaly_model_dbscan": F.lit(0), "anomaly_model_lof": F.lit(0)})
-    else:
-        pts = distance_points(scaled, cols)
-        g, rowmap = collapse(pts, "_rid")
-        groups = (g, rowmap)
-        # one exact kNN pass serves both models: LOF's 20 neighbours
-        # (self excluded) also give the 5-NN distance (self included) for eps
-        nb = lof_neighbours(g, n) if n > 1 else None
-        eps, _ = dynamic_eps(pts, "_rid", groups=groups,
-                             neighbours=nb if n > EPS_K else None)
-        db = dbscan_noise(pts, "_rid", eps, groups=groups,
-                          neighbours=nb if n > EPS_K else None).select("_rid", "anomaly_model_dbscan")
-        lf = local_outlier_factor(pts, "_rid", groups=groups, neighbours=nb).select(
-            "_rid", "lof", "anomaly_model_lof")
-        res = forest.join(db, "_rid").join(lf, "_rid")
-    res = vote(res, n, row_limit)
-    out = df.join(res.withColumnRenamed("_rid", id_col), id_col)
-    del spark
+    pts = distance_points(scaled, cols)
+    g, rowmap = collapse(pts, "_rid")
+    groups = (g, rowmap)
+    # one exact kNN pass serves both models: LOF's 20 neighbours
+    # (self excluded) also give the 5-NN distance (self included) for eps
+    nb = lof_neighbours(g, n) if n > 1 else None
+    listed = nb if n > EPS_K else None
+    eps, _ = dynamic_eps(pts, "_rid", groups=groups, neighbours=listed)
+    db = dbscan_noise(pts, "_rid", eps, groups=groups, neighbours=listed).select("_rid", "anomaly_model_dbscan")
+    lf = local_outlier_factor(pts, "_rid", groups=groups, neighbours=nb).select("_rid", "lof", "anomaly_model_lof")
+    res = forest.join(db, "_rid", "left").join(lf, "_rid", "left")
+    res = vote(res).withColumnRenamed("_rid", key)
+    out = df.join(res, key, "left")
+    models = ["anomaly_model_iforest", "anomaly_model_dbscan", "anomaly_model_lof"]
+    out = out.select(*[_required(c) if c in models else F.col(f"`{c}`") for c in out.columns if c != "_row"])
     return EnsembleResult(out, cols, eps, n)

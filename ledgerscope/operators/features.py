@@ -1,8 +1,7 @@
 """The twelve model features in one plan.
 
 Shape: one bucketed window stage on ``(user, day)`` (seconds since the
-previous row, trailing one-hour count on whole seconds, at most 49 earlier
-rows), one per-user table (mean, sample std, exact medians of amount / lat /
+previous row, trailing one-hour count on whole seconds), one per-user table (mean, sample std, exact medians of amount / lat /
 lon — a single long-format quantile pass), the category dictionary, and
 key joins back.
 """
@@ -17,6 +16,7 @@ from ledgerscope.functions.guards import safe_ratio_denominator, safe_std
 from ledgerscope.functions.temporal import day_of_week, hour_of, is_night, is_weekend
 from ledgerscope.operators.quantiles import grouped_quantiles
 from ledgerscope.operators.sequence import TrailingCount, user_sequence
+from ledgerscope.session import checkpoint_dir
 
 # fixed values: model feature columns, in order
 FEATURE_COLS = [
@@ -28,24 +28,24 @@ FEATURE_COLS = [
 ]
 
 FEATURE_WINDOW_SECONDS = 3600
-FEATURE_LOOKBACK_ROWS = 49  # earlier rows examined (None = all)
-SMALL_VOCABULARY = 1_000_000
 
 
 def category_codes(df: DataFrame, col: str = "category") -> DataFrame:
-    """code = position of the value among the sorted distinct values.
-
-    Up to ``SMALL_VOCABULARY`` distinct values a single window ranks the
-    (bounded) dictionary; above it, the dictionary is range-partitioned,
-    sorted per partition and indexed with ``zipWithIndex`` (one extra
-    job to size the partitions), so it never sits in one task."""
-    d = df.select(col).where(F.col(col).isNotNull()).distinct()
-    n = d.count()
-    if n <= SMALL_VOCABULARY:
-        return d.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias("category_encoded"))
-    srt = d.repartitionByRange(max(1, n // SMALL_VOCABULARY + 1), col).sortWithinPartitions(col)
-    idx = srt.rdd.zipWithIndex().map(lambda t: (t[0][0], int(t[1])))
-    return df.sparkSession.createDataFrame(idx, f"{col} string, category_encoded int")
+    """code = position of the value among the sorted distinct values
+    (the column keeps its type).
+
+    The distinct values are range-partitioned, sorted within partitions and
+    checkpointed (eager: the ranges must not be drawn again); a value's code is
+    its place in its partition plus the sizes of the partitions before, so only
+    one number per partition meets in one task."""
+    checkpoint_dir(df.sparkSession)
+    d = (df.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col).sortWithinPartitions(col)
+         .withColumn("_m", F.monotonically_increasing_id()).checkpoint(eager=True)
+         .select(col, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_i")))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return d.join(starts, "_p").select(col, (F.col("_start") + F.col("_i")).cast("int").alias("category_encoded"))
 
 
 def encode_category(df: DataFrame, col: str = "category") -> DataFrame:
@@ -55,7 +55,7 @@ def encode_category(df: DataFrame, col: str = "category") -> DataFrame:
 
 
 def engineer_features(df: DataFrame, window_seconds: int = FEATURE_WINDOW_SECONDS,
-                      lookback_rows: int | None = FEATURE_LOOKBACK_ROWS) -> DataFrame:
+                      lookback_rows: int | None = None) -> DataFrame:
     """Input columns plus the twelve features (absent inputs give the
     documented constants: hour etc. 0, time gap -1, count 1, z 0, ratio 1,
     distances 0, code 0)."""

@@ -1,4 +1,4 @@
-"""Preprocessing and the distance-based outlier
+"""Preprocessing and the distance-based outlier
 models on top of the exact neighbour joins."""
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ MIN_SAMPLES = 5
 LOF_K = 20
 LOF_CUTOFF = 1.5
 LOF_EPS = 1e-10
-ROW_LIMIT = 50_000
+MIN_VOTES = 2
 
 
 def impute_median(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
@@ -144,11 +144,10 @@ def local_outlier_factor(points: DataFrame, id_col: str, k: int = LOF_K, cutoff:
     return _row_values(rowmap, lof, id_col)
 
 
-def vote(df: DataFrame, n_rows: int | None = None, row_limit: int | None = ROW_LIMIT,
-         flags=("anomaly_model_iforest", "anomaly_model_dbscan", "anomaly_model_lof")) -> DataFrame:
-    """votes = sum of the model flags; ensemble = votes >= 2, or >= 1
-    when the row gate switched the distance models off."""
-    thr = 1 if (row_limit is not None and n_rows is not None and n_rows > row_limit) else 2
+def vote(df: DataFrame, flags=("anomaly_model_iforest", "anomaly_model_dbscan", "anomaly_model_lof"),
+         min_votes: int = MIN_VOTES) -> DataFrame:
+    """votes = sum of the model flags; ensemble = at least ``min_votes``,
+    whatever the number of rows."""
     votes = sum((F.col(f) for f in flags), F.lit(0)).cast("int")
     return df.withColumn("anomaly_votes", votes).withColumn(
-        "is_anomaly_ensemble", (F.col("anomaly_votes") >= F.lit(thr)).cast("int"))
+        "is_anomaly_ensemble", (F.col("anomaly_votes") >= F.lit(min_votes)).cast("int"))

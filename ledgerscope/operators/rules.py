@@ -36,7 +36,6 @@ WINDOW_MINUTES = 60
 MAX_TXN = 5
 CATEGORY_SHARE = 0.05
 MAX_SPEED_KMH = 900.0
-LOOKBACK_ROWS = 20  # earlier rows examined by the velocity rule (None = all)
 
 
 @dataclass
@@ -129,9 +128,10 @@ def detect_temporal_anomaly(df: DataFrame, unusual_pct_threshold: float = HOUR_S
 
 
 def detect_velocity(df: DataFrame, window_minutes: int = WINDOW_MINUTES, max_transactions: int = MAX_TXN,
-                    lookback_rows: int | None = LOOKBACK_ROWS):
-    """Rows in the trailing window (inclusive, own row included, at most
-    ``lookback_rows`` earlier rows examined) > max_transactions."""
+                    lookback_rows: int | None = None):
+    """Rows in the trailing window (inclusive, own row included) >
+    max_transactions.  ``lookback_rows`` stops the count at so many earlier
+    rows; the default counts all."""
     if not can_run(df)["velocity"]:
         return _zero(df, {"txn_count_in_window": 0, "flag_velocity": 0}), False
     cap = None if lookback_rows is None else lookback_rows + 1
@@ -178,7 +178,7 @@ def composite_score(df: DataFrame, threshold: int | None = 2) -> DataFrame:
 
 def run_rules(df: DataFrame, *, z_threshold: float = Z_THRESHOLD, distance_threshold_km: float = DISTANCE_KM,
               unusual_pct_threshold: float = HOUR_SHARE, window_minutes: int = WINDOW_MINUTES,
-              max_transactions: int = MAX_TXN, lookback_rows: int | None = LOOKBACK_ROWS,
+              max_transactions: int = MAX_TXN, lookback_rows: int | None = None,
               rare_threshold: float = CATEGORY_SHARE, max_speed_kmh: float = MAX_SPEED_KMH,
               threshold: int | str | None = "dynamic") -> RuleResult:
     """All six rules and the score in one logical plan.

@@ -47,6 +47,13 @@ class TrailingCount:
     whole_seconds: bool = False
 
 
+def row_hash(df: DataFrame):
+    """A hash of all columns.  Only rows alike in every column share it for
+    certain, and for those any order gives the same rows of results."""
+    return F.xxhash64(*[F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+                        for f in df.schema.fields])
+
+
 def user_sequence(df: DataFrame, *, user: str = "user_id", ts: str = "timestamp",
                   tid: str = "transaction_id", counts: tuple[TrailingCount, ...] = (),
                   previous: tuple[str, ...] = (), bucket_us: int = DAY_US,
@@ -56,12 +63,16 @@ def user_sequence(df: DataFrame, *, user: str = "user_id", ts: str = "timestamp"
     Adds one column per ``TrailingCount`` (0 for a NULL user or time) and,
     if ``previous`` is given, ``_prev_us`` (previous row's time in
     microseconds, NULL for the first row) plus ``_prev_<col>`` per column.
+    Without a ``tid`` column, equal times are ordered by a hash of the row.
     """
     cols = df.columns
     us = "_us"
     max_ctx = max([c.window_us + (SECOND_US if c.whole_seconds else 0) for c in counts] or [0])
     bucket_us = max(int(bucket_us), max_ctx + 1)
     base = df.withColumn(us, epoch_micros(ts))
+    if tid not in cols:
+        tid = "_tie"
+        base = base.withColumn(tid, row_hash(df))
     b = F.floor(F.col(us) / F.lit(bucket_us)).cast("long")
     base = base.withColumn("_b", b)
 

@@ -10,10 +10,11 @@ from ledgerscope.operators.ensemble import detect_generic, distance_points, prep
 from ledgerscope.operators.evaluate import classification_report
 from ledgerscope.operators.neighbours import collapse, knn, kth_distance, radius_counts
 from ledgerscope.operators.outliers import (
-    ROW_LIMIT, dbscan_noise, dynamic_eps, impute_median, local_outlier_factor, lof_neighbours, vote)
+    dbscan_noise, dynamic_eps, impute_median, local_outlier_factor, lof_neighbours, vote)
 from ledgerscope.operators.pca import pca_projection
 from ledgerscope.plans.common import table, txn
 from ledgerscope.session import checkpoint_dir
+from ledgerscope.sources.adapters import TXN_SQL
 from ledgerscope.sources.transactions import detect_label_column
 
 Q: dict = {}
@@ -157,12 +158,21 @@ def q_iforest(spark, sf):
                     "anomaly_model_iforest")
 
 
+def _wide_embeddings(spark, sf):
+    """One column per vector element; the length is the data's own and has to
+    be the same on every row."""
+    e = table(spark, sf, "embeddings")
+    size = F.size("embedding")
+    lo, hi = e.agg(F.min(size), F.max(size)).first()
+    if lo != hi:
+        raise ValueError(f"vectors of {lo} to {hi} elements in one table")
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(hi or 0)])
+
+
 @register("pca_distances")
 def q_pca_distances(spark, sf):
-    # 64-dimensional embeddings -> PCA(10) distance space -> LOF
-    e = table(spark, sf, "embeddings")
-    wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
-    scaled, cols = prepare(wide, "vec_id")
+    # embeddings -> PCA(10) distance space -> LOF
+    scaled, cols = prepare(_wide_embeddings(spark, sf), "vec_id")
     pts = distance_points(scaled, cols)
     r = local_outlier_factor(pts, "_rid")
     return r.select(F.col("_rid").alias("vec_id"), F.round("lof", 6).alias("lof"), "anomaly_model_lof")
@@ -170,9 +180,7 @@ def q_pca_distances(spark, sf):
 
 @register("pca_projection")
 def q_pca_projection(spark, sf):
-    e = table(spark, sf, "embeddings")
-    wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
-    scaled, cols = prepare(wide, "vec_id")
+    scaled, cols = prepare(_wide_embeddings(spark, sf), "vec_id")
     proj, evr = pca_projection(scaled, "_rid", cols, 2)
     return proj.select(F.col("_rid").alias("vec_id"), F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"),
                        F.lit(round(float(evr[0]), 6)).alias("evr1"), F.lit(round(float(evr[1]), 6)).alias("evr2"))
@@ -185,9 +193,9 @@ def q_generic(spark, sf):
                        "anomaly_votes", "is_anomaly_ensemble")
 
 
-# ---- U8 / U9 / E10 with SQL-expressible members ----------------------------------
+# ---- U9 / E10 with SQL-expressible members ----------------------------------
 # The forest has no SQL form; in these oracle keys its vote is held at 0 so the
-# gate, the vote and the evaluation are checked exactly.
+# vote and the evaluation are checked exactly.
 
 @register("ensemble_vote", PART_SQL + """
 SELECT db.id AS p_partkey, 0 AS anomaly_model_iforest, anomaly_model_dbscan,
@@ -209,14 +217,14 @@ def _distance_members(pts):
     eps, _ = dynamic_eps(pts, "_rid", groups=(g, rowmap), neighbours=nb)
     db = dbscan_noise(pts, "_rid", eps, groups=(g, rowmap), neighbours=nb).select("_rid", "anomaly_model_dbscan")
     lf = local_outlier_factor(pts, "_rid", groups=(g, rowmap), neighbours=nb).select("_rid", "anomaly_model_lof")
-    return db, lf, n
+    return db, lf
 
 
 def _vote_part(spark, sf):
     pts = _part_points(spark, sf)
-    db, lf, n = _distance_members(pts)
+    db, lf = _distance_members(pts)
     res = db.join(lf, "_rid").withColumn("anomaly_model_iforest", F.lit(0))
-    return vote(res, n, ROW_LIMIT).select(F.col("_rid").alias("p_partkey"), "anomaly_model_iforest",
+    return vote(res).select(F.col("_rid").alias("p_partkey"), "anomaly_model_iforest",
                                           "anomaly_model_dbscan", "anomaly_model_lof", "anomaly_votes",
                                           "is_anomaly_ensemble")
 
@@ -228,30 +236,10 @@ def q_vote_dist(spark, sf):
     return value_counts(_vote_part(spark, sf), "anomaly_votes", descending=True)
 
 
-@register("ensemble_row_limit", """
-SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, 0 AS anomaly_model_dbscan, 0 AS anomaly_model_lof,
-       CAST((SELECT count(*) FROM lineitem) > 50000 AS INTEGER) AS gate_closed,
-       CASE WHEN (SELECT count(*) FROM lineitem) > 50000 THEN 1 ELSE 2 END AS vote_threshold
-FROM lineitem""")
-def q_row_limit(spark, sf):
-    li = table(spark, sf, "lineitem")
-    n = li.count()
-    gated = n > ROW_LIMIT
-    base = li.select("l_orderkey", "l_linenumber")
-    if gated:
-        base = base.withColumns({"anomaly_model_dbscan": F.lit(0), "anomaly_model_lof": F.lit(0)})
-    else:
-        raise RuntimeError("expected the row gate to close for lineitem")
-    return base.withColumns({"gate_closed": F.lit(int(gated)), "vote_threshold": F.lit(1 if gated else 2)})
-
-
 TXN3 = ["amount", "lat", "lon"]
 
 
-@register("evaluate_ensemble", "WITH " + __import__("ledgerscope.sources.adapters", fromlist=["TXN_SQL"]).TXN_SQL
-          + ", " + _scaled_sql("txn", "transaction_id", TXN3) + _neigh_sql(3).replace(
-              "pairs AS (SELECT s.id AS qid, t.id AS nid, sqrt(",
-              "pairs AS (SELECT s.id AS qid, t.id AS nid, sqrt(") + """,
+@register("evaluate_ensemble", "WITH " + TXN_SQL + ", " + _scaled_sql("txn", "transaction_id", TXN3) + _neigh_sql(3) + """,
 pred AS (SELECT db.id, CAST(anomaly_model_dbscan + CAST(lof > 1.5 AS INTEGER) >= 2 AS INTEGER) AS p
          FROM db JOIN lofs USING (id)),
 lab AS (SELECT transaction_id AS id, is_fraud FROM txn),
@@ -266,8 +254,8 @@ def q_eval_ensemble(spark, sf):
     t, _ = detect_label_column(txn(spark, sf).select("transaction_id", *TXN3, "is_fraud"))
     scaled, cols = prepare(t.drop("is_fraud"), "transaction_id", exclude=("transaction_id",))
     pts = distance_points(scaled, cols)
-    db, lf, n = _distance_members(pts)
-    res = vote(db.join(lf, "_rid").withColumn("anomaly_model_iforest", F.lit(0)), n, ROW_LIMIT)
+    db, lf = _distance_members(pts)
+    res = vote(db.join(lf, "_rid").withColumn("anomaly_model_iforest", F.lit(0)))
     j = t.join(res.withColumnRenamed("_rid", "transaction_id"), "transaction_id")
     cells = j.agg(*[F.count(F.when((F.col("is_fraud") == a) & (F.col("is_anomaly_ensemble") == p), 1)).alias(n)
                     for n, a, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))])

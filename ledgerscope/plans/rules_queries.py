@@ -191,7 +191,7 @@ def q_join_user_stats(spark, sf):
 
 @register("velocity_count", with_rules("SELECT transaction_id, user_id, txn_count_in_window FROM scored"))
 def q_velocity_count(spark, sf):
-    s = user_sequence(txn(spark, sf), counts=(TrailingCount("txn_count_in_window", 3_600_000_000, 21),))
+    s = user_sequence(txn(spark, sf), counts=(TrailingCount("txn_count_in_window", 3_600_000_000),))
     return s.select("transaction_id", "user_id", "txn_count_in_window")
 
 
@@ -247,7 +247,7 @@ seq AS (
 ),
 vel AS (
   SELECT a.transaction_id, count(*) AS cnt
-  FROM seq a JOIN seq b ON a.user_id = b.user_id AND b.rn BETWEEN a.rn - 20 AND a.rn AND a.us - b.us <= 3600000000
+  FROM seq a JOIN seq b ON a.user_id = b.user_id AND b.rn <= a.rn AND a.us - b.us <= 3600000000
   GROUP BY a.transaction_id
 ),
 u AS (SELECT user_id, avg(amount) AS m, stddev_samp(amount) AS s, count(*) AS total FROM txn GROUP BY 1),
@@ -256,7 +256,7 @@ f AS (
   SELECT s.transaction_id, s.user_id,
     CAST(abs(COALESCE((s.amount - u.m) / COALESCE(NULLIF(u.s, 0), 1.0), 0.0)) > 3.0 AS INTEGER) AS flag_amount_anomaly,
     CAST(COALESCE(h.cnt / u.total, 0.0) < 0.05 AS INTEGER) AS flag_temporal_anomaly,
-    CAST(LEAST(21, v.cnt) > 5 AS INTEGER) AS flag_velocity
+    CAST(COALESCE(v.cnt, 0) > 5 AS INTEGER) AS flag_velocity
   FROM seq s LEFT JOIN u USING (user_id)
   LEFT JOIN h ON s.user_id = h.user_id AND hour(s."timestamp") = h.hr
   LEFT JOIN vel v ON s.transaction_id = v.transaction_id
@@ -292,6 +292,35 @@ def q_fraud_score_amount_only(spark, sf):
                        F.lit(r.rules_run).cast("int").alias("rules_run"))
 
 
+@register("mapped_fraud_score", """
+WITH e AS (SELECT event_id, ts, epoch_us(ts) AS us, user_id, event_type AS category, value AS amount FROM events),
+u AS (SELECT user_id, avg(amount) AS m, stddev_samp(amount) AS s, count(*) AS total FROM e GROUP BY 1),
+h AS (SELECT user_id, hour(ts) AS hr, count(*) AS cnt FROM e GROUP BY 1, 2),
+c AS (SELECT user_id, category, count(*) AS cnt FROM e GROUP BY 1, 2),
+v AS (SELECT a.event_id, count(*) AS cnt FROM e a JOIN e b ON a.user_id = b.user_id AND b.us <= a.us
+      AND a.us - b.us <= 3600000000 GROUP BY 1),
+f AS (
+  SELECT e.event_id, e.user_id, CAST(v.cnt AS INTEGER) AS txn_count_in_window,
+    CAST(abs(COALESCE((e.amount - u.m) / COALESCE(NULLIF(u.s, 0), 1.0), 0.0)) > 3.0 AS INTEGER) AS flag_amount_anomaly,
+    CAST(COALESCE(h.cnt / u.total, 0.0) < 0.05 AS INTEGER) AS flag_temporal_anomaly,
+    CAST(v.cnt > 5 AS INTEGER) AS flag_velocity,
+    CAST(COALESCE(c.cnt / u.total, 0.0) < 0.05 AS INTEGER) AS flag_category_deviation
+  FROM e LEFT JOIN u USING (user_id)
+  LEFT JOIN h ON e.user_id = h.user_id AND hour(e.ts) = h.hr
+  LEFT JOIN c ON e.user_id = c.user_id AND e.category = c.category
+  LEFT JOIN v ON e.event_id = v.event_id
+)
+SELECT *, CAST(flag_amount_anomaly + flag_temporal_anomaly + flag_velocity + flag_category_deviation AS INTEGER) AS fraud_score,
+       CAST(4 AS INTEGER) AS rules_run FROM f""")
+def q_mapped_fraud_score(spark, sf):
+    # a feed without transaction_id: columns mapped by name, then the rules
+    df, _ = S.map_generic_columns(table(spark, sf, "events"))
+    r = R.run_rules(df)
+    return r.df.select("event_id", "user_id", "txn_count_in_window", "flag_amount_anomaly", "flag_temporal_anomaly",
+                       "flag_velocity", "flag_category_deviation", "fraud_score",
+                       F.lit(r.rules_run).cast("int").alias("rules_run"))
+
+
 @register("rules_run_report", with_rules("""
 SELECT rule, CAST(rule_order AS INTEGER) AS rule_order, ran, flagged FROM (
   SELECT 'amount' AS rule, 1 AS rule_order, TRUE AS ran, sum(flag_amount_anomaly) AS flagged FROM scored

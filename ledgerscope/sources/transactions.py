@@ -6,6 +6,8 @@ scan); the data itself is touched by a single lazy projection.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,34 +56,39 @@ def clean_numeric(df: DataFrame) -> DataFrame:
     return df.select(*exprs)
 
 
+#: types a CSV column may turn out to have, narrowest first
+_CSV_TYPES = ["int", "bigint", "double", "boolean", "timestamp"]
+
+
+def _inferred(df: DataFrame) -> DataFrame:
+    """Text columns as the narrowest type that every value present converts
+    to (one aggregate pass over all rows); text where none fits."""
+    cols = [f"`{f.name}`" for f in df.schema.fields]
+    tried = [F.count(F.col(c).try_cast(t)).alias(f"c{i}_{t}") for i, c in enumerate(cols) for t in _CSV_TYPES]
+    n = df.agg(*[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)], *tried).first()
+    types = [next((t for t in _CSV_TYPES if n[f"c{i}"] and n[f"c{i}_{t}"] == n[f"c{i}"]), "string") for i in range(len(cols))]
+    return df.select(*[F.col(c).try_cast(t).alias(f.name) for c, t, f in zip(cols, types, df.schema.fields)])
+
+
 def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet",
                       schema: T.StructType | str | None = None) -> DataFrame:
     """Lazy scan of a transaction table (parquet, csv, json, orc).
 
-    CSV: header row, the common missing-value tokens, and type inference
-    only when no schema is given (inference costs a full extra pass —
-    pass a schema for production feeds)."""
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    if fmt == "csv":
-        df = (reader.option("header", True)
-              .option("inferSchema", schema is None)
-              .option("nullValue", "")
-              .option("nanValue", "NaN")
-              .option("mode", "PERMISSIVE")
-              .csv(path))
-        # the CSV reader knows a single null token; map the rest here
-        exprs = []
-        for f in df.schema.fields:
-            c = F.col(f"`{f.name}`")
-            if isinstance(f.dataType, T.StringType):
-                c = F.when(F.trim(c).isin(NULL_TOKENS), F.lit(None)).otherwise(c)
-            exprs.append(c.alias(f.name))
-        df = df.select(*exprs)
-    else:
-        df = reader.format(fmt).load(path)
-    return clean_numeric(df)
+    CSV: header row; the missing-value tokens become NULL before types are
+    found or applied, so a token never turns a numeric column into text.
+    Without a schema the types take an extra pass over the data — pass one
+    for production feeds."""
+    if fmt != "csv":
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return clean_numeric(reader.format(fmt).load(path))
+    text = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    text = text.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin(NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in text.columns])
+    if schema is None:
+        return clean_numeric(_inferred(text))
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    # as Spark's reader does, a schema's fields take the file's columns in order
+    columns = [F.col(f"`{c}`") for c in text.columns] + [F.lit(None)] * len(fields)
+    return clean_numeric(text.select(*[c.try_cast(f.dataType).alias(f.name) for c, f in zip(columns, fields)]))
 
 
 def _to_timestamp(c, dt: T.DataType):
@@ -119,84 +126,79 @@ def standardise_columns(df: DataFrame) -> DataFrame:
     return out
 
 
-def _has(name: str, *tokens: str) -> bool:
-    return any(t in name for t in tokens)
+@dataclass(frozen=True)
+class NameRule:
+    """A canonical column and what a source column needs to become it: one of
+    the tokens in its lower-cased name (and a number type, if asked for), or
+    one of the types by itself."""
+    target: str
+    tokens: tuple[str, ...]
+    numeric: bool = False
+    types: tuple = ()
 
+    def fits(self, name: str, dtype: T.DataType) -> bool:
+        named = any(t in name.lower() for t in self.tokens)
+        return (named and (is_numeric(dtype) or not self.numeric)) or isinstance(dtype, self.types)
 
-def map_generic_columns(df: DataFrame) -> tuple[DataFrame, dict]:
-    """Heuristic mapping of arbitrary column names to canonical ones.
-
-    Exact canonical names and the fixed map bind first; then, per column in
-    file order: timestamp (name has time/date, or a datetime type), amount
-    (name has amt/amount/val/price and numeric), user (id/user/num/account/
-    cc), then lat / lon|lng, then cat|type -> category (may overwrite a lat/lon
-    choice for the same column).  No target is assigned twice and no
-    duplicate column is created (a deliberate divergence from a plain
-    substring scan, where ``transaction_id`` would shadow the real user key).
-    Fallbacks: amount = first unmapped numeric column; user = the literal
-    ``'GlobalUser'``.  The label column is renamed to ``is_fraud``.
+
+# fixed values: name tokens per canonical column, by priority
+NAME_RULES = (
+    NameRule("timestamp", ("time", "date"), types=_DATETIME),
+    NameRule("amount", ("amt", "amount", "val", "price"), numeric=True),
+    NameRule("user_id", ("id", "user", "num", "account", "cc")),
+    NameRule("category", ("cat", "type")),
+    NameRule("lat", ("lat",)),
+    NameRule("lon", ("lon", "lng")),
+)
+CANONICAL = {r.target for r in NAME_RULES} | {"merch_lat", "merch_lon", "transaction_id"}
+
+
+def choose_targets(schema: T.StructType) -> dict[str, str]:
+    """Source column -> canonical column; each canonical column at most once.
+
+    Canonical names keep themselves, the known feed's names come next, then
+    every other column, in file order, takes the first free target whose rule
+    it fits.  With no amount among them, the first unmapped number is it.
     """
-    schema = {f.name: f.dataType for f in df.schema.fields}
-    mapping: dict[str, str] = {}
-    canon = {"timestamp", "amount", "user_id", "lat", "lon", "category",
-             "merch_lat", "merch_lon", "transaction_id"}
-    for c in df.columns:
-        if c in canon:
-            mapping[c] = c
-    for c in df.columns:
+    names = set(schema.names)
+    chosen = {c: c for c in schema.names if c in CANONICAL}
+    for c in schema.names:
         t = CANONICAL_MAP.get(c)
-        if c not in mapping and t and t not in mapping.values() and t not in df.columns:
-            mapping[c] = t
-    label_like = {x.lower() for x in LABEL_NAMES}
-    for c in df.columns:
-        if c in mapping or c.lower() in label_like:
-            continue
-        low = c.lower()
-        dt = schema[c]
-        targets = set(mapping.values())
-        if "timestamp" not in targets:
-            if _has(low, "time", "date") or isinstance(dt, _DATETIME):
-                mapping[c] = "timestamp"
-                continue
-        if "amount" not in targets:
-            if _has(low, "amt", "amount", "val", "price") and is_numeric(dt):
-                mapping[c] = "amount"
-                continue
-        if "user_id" not in targets:
-            if _has(low, "id", "user", "num", "account", "cc"):
-                mapping[c] = "user_id"
-                continue
-        if "lat" not in targets and "lat" in low:
-            mapping[c] = "lat"
-        elif "lon" not in targets and _has(low, "lon", "lng"):
-            mapping[c] = "lon"
-        targets = set(mapping.values()) - ({mapping[c]} if c in mapping else set())
-        if "category" not in targets and _has(low, "cat", "type"):
-            mapping[c] = "category"
-    if "amount" not in mapping.values():
-        for c in df.columns:
-            if c not in mapping and is_numeric(schema[c]) and c.lower() not in label_like:
-                mapping[c] = "amount"
-                break
-    exprs = []
-    for c in df.columns:
-        tgt = mapping.get(c, c)
-        if tgt != c and tgt in df.columns and mapping.get(tgt, tgt) == tgt:
-            tgt = c
-            mapping.pop(c, None)
-        exprs.append(F.col(f"`{c}`").alias(tgt))
-    out = df.select(*exprs)
+        if t and t not in names and t not in chosen.values():
+            chosen[c] = t
+    labels = {x.lower() for x in LABEL_NAMES}
+    rest = [f for f in schema.fields if f.name not in chosen and f.name.lower() not in labels]
+    for f in rest:
+        free = (r.target for r in NAME_RULES if r.target not in chosen.values() and r.fits(f.name, f.dataType))
+        if target := next(free, None):
+            chosen[f.name] = target
+    if "amount" not in chosen.values():
+        chosen |= {f.name: "amount" for f in [f for f in rest if f.name not in chosen and is_numeric(f.dataType)][:1]}
+    return chosen
+
+
+def map_generic_columns(df: DataFrame) -> tuple[DataFrame, dict]:
+    """Any table's columns under canonical names.
+
+    Targets by ``choose_targets``; a table without a user column has the one
+    user ``'GlobalUser'``; the label column becomes ``is_fraud``.  No column is
+    created twice (a deliberate divergence from a plain substring scan, where
+    ``transaction_id`` would shadow the real user key).  Returns the table and
+    the renames made."""
+    chosen = choose_targets(df.schema)
+    out = df.select(*[F.col(f"`{c}`").alias(chosen.get(c, c)) for c in df.columns])
+    renames = {c: t for c, t in chosen.items() if c != t}
     if "user_id" not in out.columns:
         out = out.withColumn("user_id", F.lit("GlobalUser"))
-        mapping["<constant>"] = "user_id"
+        renames["<constant>"] = "user_id"
     if "timestamp" in out.columns:
         ts = _to_timestamp(F.col("timestamp"), out.schema["timestamp"].dataType)
         if ts is not None:
             out = out.withColumn("timestamp", ts)
     out, label = detect_label_column(out)
-    if label:
-        mapping[label] = "is_fraud"
-    return out, {k: v for k, v in mapping.items() if k != v or k == "<constant>"}
+    if label and label != "is_fraud":
+        renames[label] = "is_fraud"
+    return out, renames
 
 
 def detect_label_column(df: DataFrame) -> tuple[DataFrame, str | None]:
@@ -219,12 +221,12 @@ def select_numeric_features(df: DataFrame, exclude=(), with_counts: bool = False
     cand = [f.name for f in df.schema.fields
             if is_numeric(f.dataType) and f.name not in set(exclude)]
     if not cand:
-        raise ValueError("No numeric data found to process.")
+        raise ValueError("the table has no number column with a value")
     counts = df.agg(F.count(F.lit(1)).alias("_n"),
                     *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cand)]).first()
     keep = [c for i, c in enumerate(cand) if counts[f"c{i}"] > 0]
     if not keep:
-        raise ValueError("No numeric data found to process.")
+        raise ValueError("the table has no number column with a value")
     out = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in keep])
     if with_counts:
         return out, keep, (counts["_n"], {c: counts[f"c{i}"] for i, c in enumerate(cand) if c in keep})
@@ -232,8 +234,8 @@ def select_numeric_features(df: DataFrame, exclude=(), with_counts: bool = False
 
 
 def profile(df: DataFrame, user_col: str = "user_id") -> DataFrame:
-    """Row count, column count and distinct users, as one row.
-    ``approx=False``: exact distinct count (a partial aggregate per user)."""
+    """Row count, column count and distinct users, as one row
+    (the distinct count is exact: a partial aggregate per user)."""
     aggs = [F.count(F.lit(1)).cast("long").alias("n_rows"),
             F.lit(len(df.columns)).cast("long").alias("n_columns")]
     if user_col in df.columns:

@@ -66,3 +66,33 @@ def test_small_n_eps(spark):
     from ledgerscope.operators.outliers import dynamic_eps
     df = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "id long, v array<double>")
     assert dynamic_eps(df, "id")[0] == 0.5
+
+
+def test_split_of_any_id(spark):
+    from ledgerscope.operators.supervised import stratified_split
+    ids = [f"TXN_{i:06d}" for i in range(400)]
+    df = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "transaction_id string, label int")
+    s = stratified_split(df)
+    assert {(r["label"], r["is_test"]): r["count"] for r in s.groupBy("label", "is_test").count().collect()} == {
+        (0, 1): 50, (0, 0): 150, (1, 1): 50, (1, 0): 150}
+    big = spark.range(1 << 40, (1 << 40) + 100).select(F.col("id").alias("transaction_id"), F.lit(1).alias("label"))
+    assert stratified_split(big).where("is_test = 1").count() == 25
+
+
+def test_category_codes_keep_type_and_order(spark):
+    from ledgerscope.operators.features import category_codes
+    df = spark.range(3000).select((F.col("id") % 1000).cast("int").alias("k"))
+    assert category_codes(df, "k").schema["k"].dataType.simpleString() == "int"
+    assert sorted((r["k"], r["category_encoded"]) for r in category_codes(df, "k").collect()) == [(i, i) for i in range(1000)]
+
+
+def test_ensemble_without_an_id(spark):
+    from ledgerscope.operators.ensemble import detect_generic
+    rng = np.random.default_rng(3)
+    rows = [(1 if i % 3 else None, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
+    rows += [(1, 50.0, 50.0)] + rows[:5]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    out = detect_generic(df, exclude=("k",), n_trees=20).df
+    got = out.collect()
+    assert len(got) == 306 and "_row" not in out.columns
+    assert [r["is_anomaly_ensemble"] for r in got if r["a"] == 50.0] == [1]

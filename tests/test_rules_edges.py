@@ -80,12 +80,14 @@ def test_equal_times_and_caps(spark):
     rows = [(i, 1, T0 + dt.timedelta(seconds=i), 1.0, 0.0, 0.0, "a") for i in range(1, 31)]
     df = frame(spark, rows)
     rule, _ = R.detect_velocity(df)
-    assert max(v[0] for v in by_id(rule, "txn_count_in_window").values()) == 21
+    assert max(v[0] for v in by_id(rule, "txn_count_in_window").values()) == 30
+    capped, _ = R.detect_velocity(df, lookback_rows=20)
+    assert max(v[0] for v in by_id(capped, "txn_count_in_window").values()) == 21
     feat = engineer_features(df)
     assert max(v[0] for v in by_id(feat, "txn_count_1h").values()) == 30
     rows = [(i, 1, T0 + dt.timedelta(seconds=i // 2), 1.0, 0.0, 0.0, "a") for i in range(1, 61)]
     feat = engineer_features(frame(spark, rows))
-    assert max(v[0] for v in by_id(feat, "txn_count_1h").values()) == 50
+    assert max(v[0] for v in by_id(feat, "txn_count_1h").values()) == 60
 
 
 def test_share_threshold_not_flagged(spark):
@@ -128,3 +130,11 @@ def test_global_user_fallback(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k long, q double")
     out, mapping = map_generic_columns(df)
     assert {r["user_id"] for r in out.collect()} == {"GlobalUser"}
+
+
+def test_feed_without_transaction_id(spark):
+    rows = [row(i, 1, 0) for i in range(1, 4)] + [row(4, 1, 30), row(5, 1, 30), row(6, 1, 30, amount=11.0)]
+    df = frame(spark, rows).drop("transaction_id").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    r = R.run_rules(df)
+    assert r.rules_run == 6
+    assert sorted(x["txn_count_in_window"] for x in r.df.collect()) == [1, 2, 3, 4, 5, 6]

@@ -45,3 +45,22 @@ def test_sinks(spark):
     write_results(df, os.path.join(d, "full"), partition_by=["f"])
     assert spark.read.parquet(os.path.join(d, "full")).count() == 3
     assert [r["transaction_id"] for r in flagged(df, "f", "s").collect()] == [1, 3]
+
+
+def test_csv_missing_tokens_keep_numbers(spark, tmp_path):
+    from ledgerscope.sources.transactions import read_transactions
+    (tmp_path / "t.csv").write_text("k,amt,when,who\n1,NA,2024-01-01 10:00:00,a\n2,#N/A,None,NA\n3,2.5,2024-01-02 11:00:00,\n")
+    df = read_transactions(spark, str(tmp_path / "t.csv"), "csv")
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["int", "double", "timestamp", "string"]
+    assert [r["amt"] for r in df.orderBy("k").collect()] == [None, None, 2.5]
+    assert [r["who"] for r in df.orderBy("k").collect()] == ["a", None, None]
+    given = read_transactions(spark, str(tmp_path / "t.csv"), "csv", "k long, amt double, when string, who string")
+    assert [r["amt"] for r in given.orderBy("k").collect()] == [None, None, 2.5]
+
+
+def test_mapping_by_rules(spark):
+    from ledgerscope.sources.transactions import choose_targets
+    from pyspark.sql import types as T
+    s = T.StructType.fromDDL("latitude_type string, lat_deg double, lng double, account string, price string, unit_val int, day date")
+    assert choose_targets(s) == {"latitude_type": "category", "lat_deg": "lat", "lng": "lon", "account": "user_id",
+                                 "unit_val": "amount", "day": "timestamp"}
