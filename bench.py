@@ -26,7 +26,7 @@ HEADLINE = [
     "roc_auc",
     "describe_features",      # exact quartiles of twelve features
     "generic_pipeline",       # forest + exact kNN / DBSCAN noise / LOF + vote on `part`
-    "boosted_trees_scores",   # weighted GBT, 20 rounds, fit + score
+    "boosted_trees_scores",   # weighted GBT, 200 rounds, fit + score
 ]
 
 
