@@ -27,8 +27,3 @@ def safe_std(std: Column) -> Column:
 def safe_ratio_denominator(x: Column) -> Column:
     """Denominator with 0 (or NULL) replaced by 1."""
     return F.coalesce(F.nullif(x, F.lit(0.0)), F.lit(1.0))
-
-
-def round_half(c: Column, digits: int) -> Column:
-    """Rounding used only for engine-to-engine comparison of reports."""
-    return F.round(c, digits)

@@ -186,7 +186,3 @@ def kth_smallest(df: DataFrame, group: str, value: str, ks: dict) -> dict:
     want = {str(g): k - 1 for g, k in ks.items() if k > 0}
     at, _ = select_ranks(vc, lambda name, n: [want[name]] if name in want else [])
     return {g: at.get((str(g), k - 1)) for g, k in ks.items()}
-
-
-def global_quantiles(df: DataFrame, col: str, ps: list[float]) -> list:
-    return column_quantiles(df, [col], ps)[col]

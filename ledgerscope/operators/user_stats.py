@@ -63,12 +63,6 @@ def share_lookup(df: DataFrame, share: DataFrame, key: str, name: str, user: str
     return j.withColumn(name, val).drop("_share")
 
 
-def hour_map_table(df: DataFrame, user: str = "user_id", hour: str = "hour") -> DataFrame:
-    """Per user: map hour -> row count (at most 24 entries, so bounded)."""
-    c = df.where(F.col(hour).isNotNull()).groupBy(user, hour).agg(F.count(F.lit(1)).alias("_c"))
-    return c.groupBy(user).agg(F.map_from_entries(F.collect_list(F.struct(hour, "_c"))).alias("_hour_counts"))
-
-
 def user_profile(df: DataFrame, keys: list[str], amount: str | None, user: str = "user_id") -> dict:
     """All count / moment statistics of the rules from ONE scan.
 
