@@ -118,8 +118,12 @@ def _cut(path: str, capacity: int):
 
 # --- the plan, over the length histogram -----------------------------------
 
-def _best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: the configuration of the highest total price."""
+def _priced_configurations(price: np.ndarray, capacity: int, near: float) -> list[dict[int, int]]:
+    """Unbounded knapsack: the configuration of the highest total price, and
+    those above ``near`` of it that share no length with one before them.
+
+    One table gives the best configuration with any given length in it, so a
+    run prices many lengths; as they share none, their prices stay right."""
     value = np.zeros(capacity + 1)
     back = np.zeros(capacity + 1, dtype=np.int64)
     for c in range(1, capacity + 1):
@@ -129,14 +133,23 @@ def _best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
             value[c], back[c] = gain[best], best + 1
         else:
             value[c] = value[c - 1]
-    found: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if back[c]:
-            found[int(back[c])] = found.get(int(back[c]), 0) + 1
-            c -= int(back[c])
-        else:
-            c -= 1
+    total = value[::-1] + price  # of the best configuration with a length
+    total[0] = -np.inf
+    wanted = np.flatnonzero(total >= near * value[capacity])
+    found: list[dict[int, int]] = []
+    used: set[int] = set()
+    for length in wanted[np.argsort(-total[wanted], kind="stable")].tolist():
+        if length in used:
+            continue
+        one, c = {length: 1}, capacity - length
+        while c > 0:
+            n = int(back[c])
+            if n:
+                one[n] = one.get(n, 0) + 1
+            c -= n or 1
+        if used.isdisjoint(one):
+            used.update(one)
+            found.append(one)
     return found
 
 
@@ -189,7 +202,7 @@ def _completed(left: dict[int, int], capacity: int, fill) -> dict[tuple, int]:
 
 
 def configurations(histogram: dict[int, int], capacity: int, step: float = 0.1, rate: float = 1.0,
-                   rounds: int = 2500, rounded: float = 0.3) -> list[tuple[dict[int, int], int]]:
+                   rounds: int = 300, rounded: float = 0.3, near: float = 0.97) -> list[tuple[dict[int, int], int]]:
     """(configuration, sequences) pairs that hold every piece exactly once.
 
     Prices start convex in the length, as long pieces are the harder ones to
@@ -206,12 +219,12 @@ def configurations(histogram: dict[int, int], capacity: int, step: float = 0.1,
     for _ in range(rounds):
         if not (price > 0).any():
             break
-        best = _best_configuration(price, capacity)
-        amount = step * min(n[length] / a for length, a in best.items())
-        solution[key] = solution.get(key := tuple(sorted(best.items())), 0.0) + amount
-        for length, a in best.items():
-            covered[length] += amount * a / n[length]
-            price[length] = size[length] * math.exp(-rate * covered[length]) if covered[length] < 1 - 1e-9 else -np.inf
+        for best in _priced_configurations(price, capacity, near):
+            amount = step * min(n[length] / a for length, a in best.items())
+            solution[key] = solution.get(key := tuple(sorted(best.items())), 0.0) + amount
+            for length, a in best.items():
+                covered[length] += amount * a / n[length]
+                price[length] = size[length] * math.exp(-rate * covered[length]) if covered[length] < 1 - 1e-9 else -np.inf
     left = {length: int(count) for length, count in histogram.items() if count}
     plan: dict[tuple, int] = {}
     # whole sequences of the solution, those of the largest amounts first
