@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import keep, map_arrow, pieces_of
 
-MEMO_WORDS, MEMO_LENGTH = 400_000, 48
 BUCKET_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,12 +39,17 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class ByteIds:
     """Token ids as little-endian 32-bit bytes by a ``tokenizers`` file.
 
-    A byte-level model that splits words by the GPT-2 pattern splits at any
-    single space before a visible character, so such texts are encoded word by
-    word and the words' ids are remembered.  Texts with other runs of white
-    space, or with the string of an added token, go to the library whole.
+    A plain byte-level model (words by the GPT-2 pattern, then merges) whose
+    merges give every token once, with rising ids, splits a word alike whether
+    pairs are ranked by merge or by the id they give: so ``tiktoken`` finds the
+    same ids, in about a quarter of the time.  Texts with characters from
+    U+0530 on (the libraries' Unicode versions may differ there), with the
+    string of an added token or of over ``LONG`` characters, and all texts of
+    other models, go to ``tokenizers``.
     """
 
+    LONG = 200_000
+
     def __init__(self, path: str):
         import json
         import os
@@ -59,41 +63,49 @@ class ByteIds:
         self.tokenizer.no_padding()
         with open(path) as f:
             spec = json.load(f)
-        steps = spec.get("pre_tokenizer") or {}
-        self.by_word = (steps.get("type") == "ByteLevel" and steps.get("use_regex", True)
-                        and not steps.get("add_prefix_space") and spec.get("normalizer") is None)
-        self.odd = re.compile("|".join([r" (?=\s)", " $", *(re.escape(t["content"]) for t in spec.get("added_tokens", []))]))
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.later = re.compile("[^\x00-\u052f]")
+        self.plain = _plain_model(spec)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            if not self.by_word or not t or self.odd.search(t):
-                split.append(None)
-            else:
-                first, *rest = t.split(" ")
-                split.append([first, *rest])
-        whole = iter(self._encode([t for t, s in zip(texts, split) if s is None]))
-        heads = iter(self._encode([s[0] for s in split if s is not None]))
-        seen = set().union(*(s[1:] for s in split if s is not None))
-        if len(self.memo) + len(seen) > MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
-        new = [w for w in seen if w not in memo]
-        memo.update(zip(new, self._encode([" " + w for w in new])))
-        out = [next(whole) if s is None else next(heads) + b"".join(map(memo.__getitem__, s[1:])) for s in split]
-        for w in new:
-            if len(w) > MEMO_LENGTH:
-                del memo[w]
-        return out
+        def quick(t):
+            return (self.plain is not None and len(t) <= self.LONG and not self.later.search(t)
+                    and not any(a in t for a in self.added))
+
+        rest = [i for i, t in enumerate(texts) if not quick(t)]
+        by_library = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        ids = {i: e.ids for i, e in zip(rest, by_library)}
+        return [np.array(ids[i] if i in ids else self.plain.encode_ordinary(t), dtype="<u4").tobytes() for i, t in enumerate(texts)]
+
+
+def _plain_model(spec: dict):
+    """The ``tiktoken`` encoding of a model that ``ByteIds`` calls plain, or None."""
+    import tiktoken
+
+    steps, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if not (model["type"] == "BPE" and steps.get("type") == "ByteLevel" and steps.get("use_regex", True)
+            and not steps.get("add_prefix_space") and spec.get("normalizer") is None
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix",
+                                               "end_of_word_suffix", "byte_fallback", "ignore_merges"))):
+        return None
+    # byte-level models spell printable Latin-1 bytes as themselves, the others from U+0100 on
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)) - set(shown))
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ids = model["vocab"]
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    order = [ids[t] for t in merged]
+    if any(a >= b for a, b in zip(order, order[1:])) or not ids.keys() >= byte.keys():
+        return None
+    ranks = {bytes(byte[c] for c in t): ids[t] for t in [*byte, *merged]}
+    # fixed value: the GPT-2 pattern
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> ByteIds:
-    """One per worker process: its memory of words outlives the task."""
+    """One per worker process; it outlives the task."""
     return ByteIds(path)
 
 

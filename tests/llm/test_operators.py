@@ -100,6 +100,21 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_ids_are_those_of_the_library():
+    import random
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.ByteIds(path)
+    assert encode.plain is not None
+    vocabulary = {i: tokenizer.decode([i]) for i in tokenizer.get_vocab().values()}
+    whole = {i: t for i, t in vocabulary.items() if "\ufffd" not in t and t not in encode.added and t}
+    assert encode(list(whole.values())) == [np.array([i], "<u4").tobytes() for i in whole]  # each token is reached
+    draw = random.Random(0)
+    texts = ["".join(draw.choices("ab ,.'\n\tZ1\u00e9\u65e5\u0120\u00aa\u00b2\u0301\u00a0\x1c  ", k=draw.randint(0, 30))) for _ in range(5000)]
+    texts += [t for t in _texts() if t] + ["don't we'll 'tis", " " * 300_000 + "a", "a" * 199_999, "<|endoftext|>"]
+    assert encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_configurations_no_worse_than_first_fit():
     rng = np.random.default_rng(3)
     for _ in range(3):
