@@ -263,6 +263,16 @@ def test_secrets_outside_the_patterns(spark, monkeypatch):
     assert rows == {0: f"model:4:{4 + len(far)}", 1: "model:5:10", 2: "model:0:6,access:6:26", 3: "model:0:1205", 4: "assign:0:16", 5: ""}
 
 
+def test_threshold_keeps_the_recall():
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdef0123456789"), 20)) for _ in range(400)]
+    known = rng.random(400) < 0.2  # nothing to learn: every probability is near the share
+    windows = [secret_scan._window(t, 0, 20) for t in texts]
+    net = secret_scan.train(windows, known, epochs=1)
+    aside = (np.arange(400) % 5 == 4) & known
+    assert (secret_scan.probability(net, windows)[aside] >= net["threshold"]).mean() >= secret_scan.RECALL
+
+
 def test_token_counts(docs, empty, spark, tmp_path):
     import sentencepiece
     path = public_tokenizers.path("piece_bpe_32k.model")
