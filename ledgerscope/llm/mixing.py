@@ -137,19 +137,14 @@ def source_mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs`` with all their columns, once per
-    copy taken, range-sorted by training position.  Of a last partial copy
-    only its first words are in the text (and in ``n_chars``)."""
-    plan = mix_plan(docs, **options).where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"),
-        F.col("passes").alias("__passes"), F.col("cut").alias("__cut"), F.posexplode("positions").alias("__copy", "__at"))
-    whole = (F.col("__copy") < F.col("__passes")) | (F.col("__cut") >= F.col("__size"))
-    first_words = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)),
-                                       F.lit(1), F.col("__cut").cast("int")), "")
+    """The mix itself: the rows of ``docs`` with all their columns unchanged,
+    once per copy, range-sorted by training position.  A last partial copy is
+    taken whole where that comes nearer to the source's target than leaving it."""
+    plan = mix_plan(docs, **options).withColumn("copies", F.col("passes") + (2 * F.col("cut") > F.col("size")).cast("long"))
+    plan = plan.where("taken > 0 and copies > 0").select(
+        F.col("doc_id").alias("__id"), F.col("key").alias("__key"),
+        F.explode(F.slice("positions", F.lit(1), F.col("copies").cast("int"))).alias("__at"))
     keyed = docs.withColumn("__text_key", F.xxhash64("text"))
-    mixed = (keyed.join(plan, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")))
-             .withColumn("text", F.when(whole, F.col("text")).otherwise(first_words)))
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")))
+    mixed = keyed.join(plan, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")))
     order = [F.col("__at"), F.col("__id")]
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

@@ -297,6 +297,18 @@ def test_mixing(docs, empty):
     assert mixing.source_mix(empty).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixed_texts_are_whole(spark):
+    sizes = [1, 7, 50, 400, 3, 90, 12, 2000, 5, 31, 8, 64]
+    texts = [" ".join(f"d{i}w{k}" for k in range(n)) for i, n in enumerate(sizes)]
+    rows = [(i, t, "en", f"s{i % 4}", len(t), "x", "y") for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    out = Counter(tuple(r) for r in mixing.mixed_documents(table).collect())
+    assert set(out) <= set(rows) and max(out.values()) <= 3  # every text and n_chars as it came
+    for r in mixing.mix_plan(table).join(table.select("doc_id", "source"), "doc_id").groupBy("source").agg({"target": "max"}).collect():
+        words = {row: sizes[row[0]] for row in rows if row[3] == r.source}
+        assert abs(sum(n * out[row] for row, n in words.items()) - r["max(target)"]) <= max(words.values()) / 2 + 1
+
+
 def test_suffix_dedup(docs, empty):
     seen, want = {}, {}
     texts = [(i, (t or "").encode()) for i, t in enumerate(_texts())]
