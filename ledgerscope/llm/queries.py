@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import (exact_dedup, minhash, mixing, packing, quality_classifier, quality_rules, secret_scan,
-                             suffix_dedup, token_cache, toxicity)
+from ledgerscope.llm import (exact_dedup, hard_negatives, minhash, mixing, packing, quality_classifier, quality_rules,
+                             secret_scan, sharding, spelling, suffix_dedup, token_cache, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 Q = {f.__name__: f for f in (
     op1_minhash_dedup, op2_best_fit_packing, op3_quality_rules, op4_quality_classifier, op5_toxicity, op6_exact_dedup,
-    op7_secret_scan, op8_token_counts, op9_source_mixing, op10_suffix_dedup)}
-SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
+    op7_secret_scan, op8_token_counts, op9_source_mixing, op10_suffix_dedup, op11_sharding, op12_spelling_variants,
+    op13_hard_negatives)}
+SQL = {"op6_exact_dedup": exact_dedup.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
