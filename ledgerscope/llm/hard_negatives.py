@@ -180,10 +180,10 @@ def hard_negatives(rows: DataFrame, label_rule: bool = True, anchor_tile: int =
 
 ORACLE = f"""
 WITH t AS (SELECT vec_id, CASE WHEN vec_id % {RELABEL_EVERY} = 0 THEN (label + 1) % {LABELS} ELSE label END AS label,
-                  list_transform(embedding, x -> floor(CAST(x AS DOUBLE) * {SCALE})) AS v
+                  list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * {SCALE})) AS v
            FROM embeddings
            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
              CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
       FROM t a JOIN t c ON a.vec_id % {ANCHOR_EVERY} = 0 AND a.vec_id <> c.vec_id),
