@@ -3,25 +3,28 @@
 The words (distinct, with their counts) form a trie that exists only as a
 table: a prefix that goes on in two or more ways is a node, and each stretch
 of letters from one node to the next is an edge (node, label, child); the last
-label of a word ends with ``END``.  All words start at the root with no edit.
-Level by level the states (word, position, node, edits) are joined with the
-edges of their node:
+label of a word ends with ``END``.  Level by level the states (word, position,
+node, edits) are joined with the edges of their node:
 
 * without an edit so far, a label that agrees is passed; one that differs at some
   place uses the edit there, by another letter or by leaving the word's letter out,
   if the rest of the label agrees;
 * with the edit used, only the label that agrees is passed.
 
-A state that ends a word with one edit has found a neighbour.  Leaving a
-letter out finds the shorter word from the longer one, another letter finds
-the word with the larger letter from that with the smaller, each in one way
-only, so every pair of neighbours is found once.  A state is dropped early
-when its new node doesn't go on with its next letter, or when fewer letters are
+A state that ends a word with one edit has found a neighbour.  A state is dropped
+early when its new node doesn't go on with its next letter, or when fewer letters are
 left than any word below the node has, or more.
 
-Skew: all words meet at the root and many at the first nodes.  An edge table
-row of a node with many words below is copied once for every ``PER_COPY`` of
-them, and states are dealt over the copies by word.
+An edit near the front would lead through the trie's fullest levels.  So there are two
+tries, of the words and of the words reversed, and each is asked for edits in the
+second half of what it reads: a word's states start at its own node in the middle.
+Leaving a letter out finds the shorter word from the longer one, another letter finds
+the word with the larger letter from that with the smaller, each in one place
+only (in a run of equal letters the last), so every pair of neighbours is found once.
+
+Skew: the states of a node of many words meet many edges' rows: these are copied once for every ``PER_COPY`` of
+the words, and states are dealt over the copies by word.  Nodes begin at ``DEPTH``
+letters, so there is no root that all words share.
 
 A word's form is its neighbour with the largest count, if that is twice its own
 at least; forms are followed to the root by pointer doubling.
@@ -44,8 +47,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_LENGTH, LEAST_COUNT, CUT_EVERY, FORM_RATIO = 5, 3, 97, 2
 #: ends every word in the trie; smaller than any letter
 END = "\n"
-#: words below a node that one copy of its edges serves
-PER_COPY = 20_000
+#: words below a node that one copy of its edges serves; letters of the shortest prefix that is a node
+PER_COPY, DEPTH = 20_000, 2
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -65,29 +68,34 @@ def _node(prefix: Column | str) -> tuple[Column, Column]:
     return F.xxhash64(prefix), F.xxhash64(F.lit(12), prefix)
 
 
-def _at_root() -> Column:
-    a, b = _node(F.lit(""))
-    return (F.col("a") == a) & (F.col("b") == b)
+def _middle(backward: bool) -> Column:
+    """Where the half of ``w`` begins in which an edit is looked for."""
+    half = F.floor((F.length("w") - 1) / 2).cast("int")
+    return F.length("w") - 1 - half if backward else half
 
 
-def trie_edges(words: DataFrame, per_copy: int = PER_COPY) -> DataFrame:
-    """(a, b, copy, label, first, size, child_a, child_b, child_copies, leaf,
-    nexts, least, most) per edge of the trie of ``words`` (word).
+def trie_nodes(words: DataFrame, per_copy: int) -> DataFrame:
+    """(w, nodes): per word the nodes on its path, with what lies below them.
 
-    ``nexts``: letters that the child goes on with; ``least``, ``most``:
-    letters from the child to the ends of words, ``END`` included."""
-    marked = words.select(F.concat("word", F.lit(END)).alias("w"))
-    places = marked.select("w", F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("at"))
+    ``nexts``: letters that a node goes on with; ``least``, ``most``: letters
+    from there to the ends of words, ``END`` included."""
+    places = words.select("w", F.explode(F.sequence(F.lit(DEPTH), F.length("w") - 1)).alias("at"))
     places = places.withColumn("prefix", F.substring("w", F.lit(1), F.col("at")))
     a, b = _node("prefix")
-    places = places.select("w", "at", a.alias("a"), b.alias("b"), F.substring("w", F.col("at") + 1, F.lit(1)).alias("c"),
-                           (F.length("w") - F.col("at")).alias("left"))
-    nodes = (places.groupBy("a", "b").agg(F.collect_set("c").alias("cs"), F.count("*").alias("n"), F.min("left").alias("least"), F.max("left").alias("most"))
-             .where((F.size("cs") > 1) | _at_root()))
+    places = places.select("w", "at", a.alias("a"), b.alias("b"))
+    left, letter = F.length("w") - F.col("at"), F.substring("w", F.col("at") + 1, F.lit(1))
+    nodes = (places.groupBy("a", "b").agg(F.collect_set(letter).alias("cs"), F.count("*").alias("n"), F.min(left).alias("least"),
+                                          F.max(left).alias("most"), F.min("at").alias("depth"))
+             .where((F.size("cs") > 1) | (F.col("depth") == DEPTH)))
     nodes = nodes.select("a", "b", F.array_join("cs", "").alias("nexts"), "least", "most", F.ceil(F.col("n") / per_copy).cast("int").alias("copies"))
-    stops = (places.select("w", "at", "a", "b").join(nodes, ["a", "b"]).groupBy("w")
-             .agg(F.array_sort(F.collect_list(F.struct("at", "a", "b", "copies", "nexts", "least", "most"))).alias("s")))
-    spans = stops.select("w", F.posexplode("s").alias("i", "up"), "s").select("w", "up", F.get("s", F.col("i") + 1).alias("down"))
+    return (places.join(nodes, ["a", "b"]).groupBy("w")
+            .agg(F.array_sort(F.collect_list(F.struct("at", "a", "b", "copies", "nexts", "least", "most"))).alias("nodes")))
+
+
+def trie_edges(paths: DataFrame) -> DataFrame:
+    """(a, b, copy, label, first, size, child_a, child_b, child_copies, leaf,
+    nexts, least, most) per edge, from the paths of ``trie_nodes``."""
+    spans = paths.select("w", F.posexplode("nodes").alias("i", "up"), "nodes").select("w", "up", F.get("nodes", F.col("i") + 1).alias("down"))
     leaf = F.col("down").isNull()
     end_a, end_b = _node("w")
     edges = spans.select(
@@ -102,13 +110,14 @@ def trie_edges(words: DataFrame, per_copy: int = PER_COPY) -> DataFrame:
                        "nexts", "least", "most")
 
 
-def _steps(states: DataFrame, edges: DataFrame) -> DataFrame:
+def _steps(states: DataFrame, edges: DataFrame, backward: bool) -> DataFrame:
     """One level: every state through the edges of its node."""
-    pos, size, label = F.col("pos"), F.col("size"), F.col("label")
+    pos, size, label, middle = F.col("pos"), F.col("size"), F.col("label"), _middle(backward)
     word = lambda start, n: F.substring("w", start + 1, n)
     at_node = [states["at_a"] == edges["a"], states["at_b"] == edges["b"], states["at_copy"] == edges["copy"]]
     own = F.substring("w", pos + 1, F.lit(1))
-    free = states.join(edges, [*at_node, states["edits"] == 0])
+    # before the middle and with the edit used, only the own letter goes on
+    free = states.join(edges, [*at_node, states["edits"] == 0, (own == edges["first"]) | (pos >= middle)])
     used = states.join(edges, [*at_node, states["edits"] == 1, own == edges["first"]])
     # without an edit so far: the first place where label and word differ (most differ at their first letter)
     differ = F.array_position(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(label, i, F.lit(1)) == F.substring("w", pos + i, F.lit(1))),
@@ -117,8 +126,11 @@ def _steps(states: DataFrame, edges: DataFrame) -> DataFrame:
     free = free.withColumn("at", F.when(own != F.col("first"), 0).when(~F.col("exact"), differ))
     at = F.col("at")
     mine, its = F.substring("w", pos + at + 1, F.lit(1)), F.substring(label, at + 1, F.lit(1))
-    other = (mine < its) & (mine != END) & (F.substring(label, at + 2, size) == word(pos + at + 1, size - at - 1))
-    without = (mine != END) & (F.substring(label, at + 1, size) == word(pos + at + 1, size - at))
+    here = (mine != END) & (pos + at >= middle)
+    other = here & (mine < its) & (F.substring(label, at + 2, size) == word(pos + at + 1, size - at - 1))
+    without = here & (F.substring(label, at + 1, size) == word(pos + at + 1, size - at))
+    if backward:  # a run of equal letters that reaches over the middle is the forward trie's
+        without = without & (F.replace(word(middle - 1, pos + at - middle + 2), mine, F.lit("")) != "")
     free = (free.withColumn("straight", F.col("exact") | other).withColumn("without", ~F.col("exact") & without)
             .where("straight or without").withColumn("skips", F.explode(F.array(F.lit(0), F.lit(1))))
             .where((F.col("skips") == 0) & F.col("straight") | (F.col("skips") == 1) & F.col("without")))
@@ -134,26 +146,37 @@ def _steps(states: DataFrame, edges: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64("w"), F.col("child_copies")).cast("int").alias("at_copy"), "edits", F.col("leaf").alias("found"))
 
 
+def _found(words: DataFrame, backward: bool, per_copy: int) -> list[DataFrame]:
+    """The pairs of neighbours whose edit one of the tries is asked for."""
+    text = F.reverse("word") if backward else F.col("word")
+    paths = keep(trie_nodes(words.select(F.concat(text, F.lit(END)).alias("w")), per_copy), "trie-paths")
+    edges = keep(trie_edges(paths), "trie-edges")
+    middle = _middle(backward)
+    start = F.element_at(F.filter("nodes", lambda x: x["at"] <= middle), -1)
+    states = paths.select("w", start.alias("s")).select(
+        "w", F.col("s.at").alias("pos"), F.col("s.a").alias("at_a"), F.col("s.b").alias("at_b"), F.lit(0).alias("edits"),
+        F.pmod(F.xxhash64("w"), F.col("s.copies")).cast("int").alias("at_copy"))
+    out = lambda c: F.reverse(c) if backward else c
+    pairs, before = [], paths
+    while not states.isEmpty():
+        level = keep(_steps(states, edges, backward), "frontier")
+        drop_kept(before)
+        pairs.append(keep(level.where("found is not null").select(out(F.expr("left(w, length(w) - 1)")).alias("a"), out(F.col("found")).alias("b")), "pairs"))
+        states, before = level.where("found is null"), level
+    drop_kept(edges)
+    drop_kept(before)
+    return pairs
+
+
 def neighbours(words: DataFrame, per_copy: int = PER_COPY) -> DataFrame:
     """(a, b): each pair of ``words`` (word) that are one edit apart, once."""
-    edges = keep(trie_edges(words, per_copy), "trie-edges")
-    root_a, root_b = _node(F.lit(""))
-    copies = (edges.where(_at_root()).agg(F.max("copy")).first()[0] or 0) + 1
-    states = words.select(F.concat("word", F.lit(END)).alias("w"), F.lit(0).alias("pos"), root_a.alias("at_a"), root_b.alias("at_b"),
-                          F.lit(0).alias("edits"))
-    states = states.withColumn("at_copy", F.pmod(F.xxhash64("w"), F.lit(copies)).cast("int"))
-    pairs, before = None, None
-    while True:
-        level = keep(_steps(states, edges), "frontier")
-        if before is not None:
-            drop_kept(before)
-        found = keep(level.where("found is not null").select(F.expr("left(w, length(w) - 1)").alias("a"), F.col("found").alias("b")), "pairs")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        states, before = level.where("found is null"), level
-        if states.isEmpty():
-            drop_kept(edges)
-            drop_kept(level)
-            return pairs
+    pairs = _found(words, False, per_copy) + _found(words, True, per_copy)
+    if not pairs:
+        return words.select(F.col("word").alias("a"), F.col("word").alias("b")).where(F.lit(False))
+    all_pairs = pairs[0]
+    for p in pairs[1:]:
+        all_pairs = all_pairs.unionByName(p)
+    return all_pairs
 
 
 def _roots(forms: DataFrame) -> DataFrame:
