@@ -7,9 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import math
-
-from ledgerscope.operators.quantiles import _interp_ranks, _stack_long, column_quantiles, select_ranks
+from ledgerscope.operators.quantiles import column_quantiles
 from ledgerscope.operators.rules import FLAG_COLS, RULE_NAMES
 
 
@@ -68,43 +66,25 @@ def describe_features(df: DataFrame, cols: list[str], digits: int = 6) -> DataFr
     """Count, mean, std, min, 25 %, 50 %, 75 %, max per feature (exact
     interpolated quartiles), one row per feature.
 
-    Everything comes from one persisted ``(feature, value, count)`` table:
-    the input plan runs once, moments are two-pass sums over distinct
-    values, quartiles are located by range totals."""
-    long = _stack_long(df, [], cols).where(F.col("_v").isNotNull())
-    vc = long.groupBy("_name", "_v").agg(F.count(F.lit(1)).alias("_c")).persist()
+    The features are kept once; one aggregate gives the moments and a few
+    counting passes the quartiles."""
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist()
     try:
-        at, ns = select_ranks(vc, _interp_ranks([0.25, 0.5, 0.75]))
-        q = {}
-        for name, n in ns.items():
-            vals = []
-            for p in (0.25, 0.5, 0.75):
-                h = p * (n - 1)
-                lo, hi = math.floor(h), math.ceil(h)
-                vals.append(at[(name, lo)] + (h - lo) * (at[(name, hi)] - at[(name, lo)]))
-            q[name] = vals
-        m = vc.groupBy("_name").agg(F.sum("_c").alias("count"),
-                                    (F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")).alias("mean"),
-                                    F.min("_v").alias("min"), F.max("_v").alias("max"))
-        dev = vc.join(m.select("_name", "mean"), "_name").groupBy("_name").agg(
-            F.sum(F.col("_c") * (F.col("_v") - F.col("mean")) * (F.col("_v") - F.col("mean"))).alias("_ss"))
-        res = m.join(dev, "_name").select(
-            "_name", "count", "mean", F.sqrt(F.col("_ss") / F.nullif(F.col("count") - 1, F.lit(0))).alias("std"),
-            "min", "max").collect()
+        aggs = [f(c).alias(f"{n}_{i}") for i, c in enumerate(cols)
+                for n, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+        m = values.agg(*aggs).first()
+        quartiles = column_quantiles(values, cols, [0.25, 0.5, 0.75])
     finally:
-        vc.unpersist()
-    spark = df.sparkSession
+        values.unpersist()
     rows = []
-    for r in res:
-        q25, q50, q75 = q[r["_name"]]
-        rows.append((r["_name"], int(r["count"]), *[None if v is None else round(float(v), digits) for v in (
-            r["mean"], r["std"], r["min"], q25, q50, q75, r["max"])]))
-    order = {c: i for i, c in enumerate(cols)}
-    rows.sort(key=lambda t: order[t[0]])
+    for i, c in enumerate(cols):
+        if m[f"n_{i}"]:
+            rows.append((c, int(m[f"n_{i}"]), *[None if v is None else round(float(v), digits) for v in (
+                m[f"mean_{i}"], m[f"std_{i}"], m[f"min_{i}"], *quartiles[c], m[f"max_{i}"])]))
     schema = ("feature string, count long, mean double, std double, min double, p25 double, p50 double, "
               "p75 double, max double")
     # one row per feature: a small report computed from the data above
-    return spark.createDataFrame(rows, schema)
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def quantile_threshold(df: DataFrame, col: str, p: float = 0.95) -> float | None:

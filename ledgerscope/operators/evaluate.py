@@ -5,12 +5,10 @@ cumulative count, so no step sorts the whole column in one task."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.operators.quantiles import RANGE_TARGET
+from ledgerscope.session import checkpoint_dir
 
 _D = 6
 
@@ -88,35 +86,24 @@ def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
               .agg(F.sum(y).cast("long").alias("n_pos"), F.sum(1 - y).cast("long").alias("n_neg")))
 
 
-def _cumulative(st: DataFrame, descending: bool, range_target: int = RANGE_TARGET) -> DataFrame:
+def _cumulative(st: DataFrame, descending: bool) -> DataFrame:
     """Cumulative positives / negatives over distinct scores, in score order
-    (inclusive of the current score).
-
-    Two-level prefix sum: the distinct scores are cut into
-    ``ceil(distinct / range_target)`` value ranges at approximate quantiles
-    (that many numbers reach the driver), a window over the small per-range
-    totals gives each range's offset, and a window inside each range
-    finishes the sum.  No window sees more than about ``range_target``
-    scores."""
-    nd = st.count()
-    n_ranges = max(1, math.ceil(nd / range_target))
-    if n_ranges > 1:
-        probs = [i / n_ranges for i in range(1, n_ranges)]
-        bounds = sorted(set(st.agg(F.percentile_approx("score", probs, max(10000, 20 * n_ranges)).alias("b"))
-                            .first()["b"] or []))
-    else:
-        bounds = []
-    arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    if descending:
-        rid = F.size(F.filter(arr, lambda z: z > F.col("score")))
-    else:
-        rid = F.size(F.filter(arr, lambda z: z <= F.col("score")))
-    ranged = st.withColumn("_r", rid)
-    tot = ranged.groupBy("_r").agg(F.sum("n_pos").alias("_rp"), F.sum("n_neg").alias("_rn"))
-    wr = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    off = tot.select("_r", F.coalesce(F.sum("_rp").over(wr), F.lit(0)).alias("_op"),
-                     F.coalesce(F.sum("_rn").over(wr), F.lit(0)).alias("_on"))
+    (inclusive of the current score), with the totals P and N.
+
+    The score table is kept once, dealt into sorted ranges and kept again; the
+    sums of a range's predecessors (one row per range) are added to the
+    running sum inside it.  So the scoring plan runs once and no window sees
+    more than a range."""
+    checkpoint_dir(st.sparkSession)
     order = F.col("score").desc() if descending else F.col("score").asc()
+    ranged = (st.checkpoint(eager=True).repartitionByRange(order).sortWithinPartitions(order)
+              .withColumn("_r", F.shiftright(F.monotonically_increasing_id(), 33)).checkpoint(eager=True))
+    tot = ranged.groupBy("_r").agg(F.sum("n_pos").alias("_rp"), F.sum("n_neg").alias("_rn"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    all_of = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    off = tot.select("_r", F.coalesce(F.sum("_rp").over(before), F.lit(0)).alias("_op"),
+                     F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_on"),
+                     F.sum("_rp").over(all_of).alias("P"), F.sum("_rn").over(all_of).alias("N"))
     w = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (ranged.join(off, "_r")
                   .withColumn("cum_pos", F.col("_op") + F.sum("n_pos").over(w))
@@ -126,20 +113,16 @@ def _cumulative(st: DataFrame, descending: bool, range_target: int = RANGE_TARGE
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """E5: (threshold, fpr, tpr) at each distinct score."""
-    st = score_table(df, label, score)
-    t = st.agg(F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N")).first()
-    P, N = t["P"] or 0, t["N"] or 0
-    c = _cumulative(st, descending=True)
+    c = _cumulative(score_table(df, label, score), descending=True)
     return c.select(F.col("score").alias("threshold"),
-                    F.round(_div(F.col("cum_neg"), F.lit(N)), _D).alias("fpr"),
-                    F.round(_div(F.col("cum_pos"), F.lit(P)), _D).alias("tpr"))
+                    F.round(_div(F.col("cum_neg"), F.col("N")), _D).alias("fpr"),
+                    F.round(_div(F.col("cum_pos"), F.col("P")), _D).alias("tpr"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Exact tie-averaged AUC = P(score_pos > score_neg) + P(=)/2,
     NULL when only one class is present."""
-    st = score_table(df, label, score)
-    c = _cumulative(st, descending=False)
+    c = _cumulative(score_table(df, label, score), descending=False)
     below = F.col("cum_neg") - F.col("n_neg")  # negatives strictly below
     contrib = F.col("n_pos").cast("double") * (below + 0.5 * F.col("n_neg"))
     r = c.agg(F.sum(contrib).alias("_s"), F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))

@@ -1,31 +1,152 @@
 """Exact interpolated quantiles (``percentile`` / DuckDB ``quantile_cont``
 semantics: h = p * (n - 1), linear between the order statistics at
-floor(h) and ceil(h)).
-
-Per group: values are first collapsed to ``(group, value, count)`` with a
-partial aggregate (duplicates, however many, become one row), then a
-cumulative count per group locates the two order statistics.  The
-cumulative step is a sort-based window, so a hot group spills instead of
-holding a value map in memory.
-
-Global (one quantile over a whole column): the distinct-value table is
-range-split by approximate quantile boundaries; per-range totals (a few
-hundred numbers) give each range's first rank; only the ranges that hold
-the wanted ranks are sorted.  No step puts the column in one task.
+floor(h) and ceil(h)), by radix selection.
+
+A double's IEEE bits, sign folded in, are an integer in the same order
+(``order_key``).  A pass counts rows by the next ``DIGIT`` bits of that integer
+among the rows that agree with a wanted rank so far; the counts tell in which
+of these buckets the rank lies.  After four passes at most a rank's value is
+known bit by bit; a bucket that holds few rows is counted by whole values at once.  Nothing is
+shuffled but counts, and no boundaries are drawn from the data.
+
+Whole columns: the counts of a pass (at most 2**DIGIT per column) come to the driver.
+
+Groups: one aggregate for all ordinary groups.  Groups above ``range_target``
+rows go through the same passes together, their counts staying in a table;
+groups whose wanted buckets have become small drop out of the passes.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.session import checkpoint_dir
+
+DIGIT, KEY_BITS = 16, 64
+#: rows of a group that one aggregation buffer holds, and of a bucket that is counted by value
+RANGE_TARGET = 200_000
+_INF = 2047 << 52
+
+
+def order_key(v: Column) -> Column:
+    """The double ``v`` as a long in the same order: its IEEE bits, negated for
+    negative values; NaN after all others, both zeros alike, NULL as NULL."""
+    v = v.cast("double")
+    a = F.abs(v)
+    near = F.floor(F.log2(a))
+    # the logarithm may be off by one next to a power of two
+    low = F.greatest(F.lit(-1022.0), near - 1)
+    e = low + (a >= F.pow(F.lit(2.0), low + 1)).cast("int") + (a >= F.pow(F.lit(2.0), F.least(low + 2, F.lit(1023.0)))).cast("int")
+    e = F.least(e, F.lit(1023.0))
+    parts = a / F.pow(F.lit(2.0), e) * F.lit(float(1 << 52))  # exact: powers of two
+    bits = (e + 1022).cast("long") * F.lit(1 << 52) + parts.cast("long")
+    bits = F.when(a == 0, F.lit(0)).when(a == float("inf"), F.lit(_INF)).otherwise(bits).cast("long")
+    return F.when(v.isNull(), F.lit(None).cast("long")).when(F.isnan(v), F.lit(_INF + 1)).when(v < 0, -bits).otherwise(bits)
+
+
+def value_of(key: int) -> float:
+    """The double whose ``order_key`` is ``key``."""
+    if key > _INF:
+        return math.nan
+    return math.copysign(struct.unpack("<d", struct.pack("<q", abs(key)))[0], key or 1)
+
+
+def interpolated(at: dict, n: int, p: float) -> float:
+    """The p-quantile from the order statistics ``at`` {rank: value}."""
+    h = p * (n - 1)
+    lo, hi = math.floor(h), math.ceil(h)
+    return at[lo] if lo == hi else at[lo] + (h - lo) * (at[hi] - at[lo])
+
+
+def interpolation_ranks(n: int, ps) -> set[int]:
+    return {r for p in ps for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
+
+
+def select_ranks(df: DataFrame, columns: dict[str, Column], ranks_for, range_target: int = RANGE_TARGET) -> tuple[dict, dict]:
+    """Order statistics of several columns (NULLs left out).
+
+    ``ranks_for(name, n)`` gives the 0-based ranks wanted of a column with
+    ``n`` values.  Returns ``({(name, rank): value}, {name: n})``.  Each pass reads
+    ``df`` once: two passes as a rule, four at most."""
+    names = list(columns)
+    keyed = df.select(*[order_key(c).alias(f"_k{i}") for i, c in enumerate(columns.values())])
+    bits = KEY_BITS - DIGIT
+    # wanted[i]: the prefixes (keys without their last ``bits`` bits) to go into; None: all
+    wanted: list = [None] * len(names)
+    open_ranks: dict = {}  # (i, rank) -> (prefix, values before it)
+    ns: dict = {}
+    done: dict = {}
+    shift = KEY_BITS  # bits below the prefixes in ``wanted``
+    while True:
+        part = []
+        for i in range(len(names)):
+            k = F.col(f"_k{i}")
+            if wanted[i] is not None:
+                if not wanted[i]:
+                    continue
+                k = F.when(F.shiftright(k, shift).isin(sorted(wanted[i])), k)
+            part.append(F.struct(F.lit(i).alias("i"), F.shiftright(k, bits).alias("b") if bits else k.alias("b")))
+        counts = (keyed.select(F.explode(F.array(*part)).alias("x")).select("x.i", "x.b").where(F.col("b").isNotNull())
+                  .groupBy("i", "b").agg(F.count(F.lit(1)).alias("n")).collect())
+        by: dict = {}
+        for r in counts:
+            by.setdefault(r["i"], []).append((r["b"], r["n"]))
+        if wanted[0] is None and not ns:
+            ns = {names[i]: sum(n for _, n in bins) for i, bins in by.items()}
+            open_ranks = {(i, int(r)): (None, 0) for i in by for r in ranks_for(names[i], ns[names[i]])}
+        fuller = 0
+        nxt: dict = {}
+        for (i, rank), (prefix, before) in open_ranks.items():
+            for b, n in sorted(by[i]):
+                if prefix is not None and b >> (shift - bits) != prefix:
+                    continue
+                if rank < before + n:
+                    if bits:
+                        nxt[(i, rank)] = (b, before)
+                        fuller = max(fuller, n)
+                    else:
+                        done[(names[i], rank)] = value_of(b)
+                    break
+                before += n
+        if not bits or not nxt:
+            return done, ns
+        open_ranks, shift = nxt, bits
+        wanted = [{p for (j, _), (p, _) in nxt.items() if j == i} for i in range(len(names))]
+        bits = 0 if fuller <= min(range_target, 1 << DIGIT) else bits - DIGIT
+
+
+def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], range_target: int = RANGE_TARGET) -> dict:
+    """Exact interpolated p-quantiles of several columns, as driver scalars
+    (``{col: [q for p in ps]}``; None for a column without values)."""
+    at, ns = select_ranks(df, {c: F.col(f"`{c}`") for c in cols}, lambda name, n: interpolation_ranks(n, ps), range_target)
+    out = {}
+    for c in cols:
+        n = ns.get(c, 0)
+        own = {r: v for (name, r), v in at.items() if name == c}
+        out[c] = [interpolated(own, n, p) if n else None for p in ps]
+    return out
+
+
+def kth_smallest(df: DataFrame, group: str, value: str, ks: dict) -> dict:
+    """Per group value of ``ks``, the k-th smallest (1-based) of a numeric
+    column: ``{group_value: value}``."""
+    want = {str(g): k for g, k in ks.items() if k > 0}
+    if not want:
+        return {g: None for g in ks}
+    columns = {g: F.when(F.col(group).cast("string") == g, F.col(value).cast("double")) for g in want}
+    at, _ = select_ranks(df, columns, lambda name, n: [want[name] - 1] if want[name] <= n else [])
+    return {g: at.get((str(g), k - 1)) for g, k in ks.items()}
 
-def _stack_long(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    parts = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in cols]))
-    return df.select(*keys, parts.alias("_kv")).select(*keys, "_kv._name", "_kv._v")
+
+# ---- quantiles per group ------------------------------------------------------
+
+def large_groups(df: DataFrame, keys: list[str], range_target: int = RANGE_TARGET) -> DataFrame:
+    """The groups of more than ``range_target`` rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > range_target).select(*keys)
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], cols: list[str], p: float = 0.5,
@@ -33,156 +154,63 @@ def grouped_quantiles(df: DataFrame, keys: list[str], cols: list[str], p: float
     """One row per group with the exact p-quantile of each column (NULLs
     skipped; all-NULL group -> NULL).  Output columns ``<col><suffix>``.
 
-    Lazy, one plan.  Values are collapsed to (group, value, count).  A
-    group with more than ``range_target`` distinct values (a hot user) is
-    cut into ``ceil(distinct / range_target)`` value ranges at approximate
-    quantiles of its own values; a small window over each group's range
-    totals gives the ranges' first ranks, and only the (at most two)
-    ranges holding the wanted ranks are sorted.  So no task sorts more than
-    about ``range_target`` values of a group, however skewed the keys."""
+    Groups up to ``range_target`` rows: one aggregate.  Whether there are
+    larger ones is asked while this is called; those are selected by passes."""
     target = range_target or RANGE_TARGET
-    long = _stack_long(df, keys, cols).where(F.col("_v").isNotNull())
-    g = keys + ["_name"]
-    vc = long.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    st = vc.groupBy(*g).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_nd"))
-    hot = st.where(F.col("_nd") > target).select(*g, F.ceil(F.col("_nd") / target).cast("int").alias("_nr"))
-    # boundaries only for hot groups; one percentile array per group
-    bnd = (vc.join(hot, g).groupBy(*g, "_nr")
-             .agg(F.percentile_approx("_v", F.array(*[F.lit(i / 256.0) for i in range(1, 256)]), 20000)
-                  .alias("_b256")))
-    # 255 probability points are thinned to the group's own range count by
-    # keeping every k-th boundary (ranges stay within 2x of the target up
-    # to 256 ranges per group)
-    step = F.greatest(F.lit(1), F.floor(F.lit(256) / F.col("_nr"))).cast("int")
-    bnd = bnd.select(*g, F.filter("_b256", lambda z, i: F.pmod(i + 1, step) == 0).alias("_b"))
-    ranged = (vc.join(bnd, g, "left")
-                .withColumn("_r", F.coalesce(F.size(F.filter(F.col("_b"), lambda z: z <= F.col("_v"))), F.lit(0)))
-                .drop("_b"))
-    tot = ranged.groupBy(*g, "_r").agg(F.sum("_c").alias("_rc"))
-    wr = Window.partitionBy(*g).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
-    tot = (tot.withColumn("_end", F.sum("_rc").over(wr)).withColumn("_start", F.col("_end") - F.col("_rc"))
-              .join(st.select(*g, "_n"), g))
+    plain = [F.percentile(F.col(c).cast("double"), F.lit(p)).alias(c + suffix) for c in cols]
+    large = large_groups(df, keys, target)
+    if large.isEmpty():
+        return df.groupBy(*keys).agg(*plain)
+    checkpoint_dir(df.sparkSession)
+    large = large.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)]).checkpoint(eager=True)
+    same = [F.col(k).eqNullSafe(F.col(f"_l{i}")) for i, k in enumerate(keys)]
+    small = df.join(large, same, "left_anti").groupBy(*keys).agg(*plain)
+    rows = df.join(large, same, "left_semi").select(*keys, *cols)
+    return small.unionByName(_radix_groups(rows, keys, cols, p, suffix, target))
+
+
+def _radix_groups(df: DataFrame, keys: list[str], cols: list[str], p: float, suffix: str, target: int) -> DataFrame:
+    """Quantiles of large groups, all of them in the same passes."""
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]))
+    long = df.select(*keys, parts.alias("x")).select(*keys, F.col("x.name").alias("_name"), F.col("x.v").alias("_v"))
+    # a group is one number, so that NULL keys need no care in joins
+    g = F.xxhash64(*keys)
+    rows = long.where(F.col("_v").isNotNull()).withColumn("_k", order_key(F.col("_v"))).withColumn("_g", g).checkpoint(eager=True)
+    groups = df.select(*keys).distinct().withColumn("_g", g)
+    totals = rows.groupBy("_g", "_name").agg(F.count(F.lit(1)).alias("_n"))
     h = F.lit(p) * (F.col("_n") - 1)
-    lo, hi = F.floor(h), F.ceil(h)
-    need = tot.where(((F.col("_start") <= lo) & (lo < F.col("_end"))) | ((F.col("_start") <= hi) & (hi < F.col("_end"))))
-    need = need.select(*g, "_r", "_start", "_n")
-    w_cum = Window.partitionBy(*g, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    t = (ranged.join(need, g + ["_r"])
-               .withColumn("_cum", F.col("_start") + F.sum("_c").over(w_cum)))
-    start = F.col("_cum") - F.col("_c")
-    t = t.select(*g, "_v", h.alias("_h"), lo.alias("_lo"),
-                 ((start <= lo) & (lo < F.col("_cum"))).alias("_has_lo"),
-                 ((start <= hi) & (hi < F.col("_cum"))).alias("_has_hi"))
-    t = t.where(F.col("_has_lo") | F.col("_has_hi"))
-    r = t.groupBy(*g).agg(F.max(F.when(F.col("_has_lo"), F.col("_v"))).alias("_vlo"),
-                          F.max(F.when(F.col("_has_hi"), F.col("_v"))).alias("_vhi"),
-                          F.first("_h").alias("_h"), F.first("_lo").alias("_lo"))
-    q = F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))
-    r = r.select(*g, q.alias("_q"))
-    return r.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("_q"))).alias(c + suffix)
-                                  for c in cols])
-
-
-RANGE_TARGET = 200_000  # distinct values sorted by one task at most (per range)
-
-
-def select_ranks(vc: DataFrame, ranks_for, range_target: int = RANGE_TARGET,
-                 accuracy: int = 10000) -> tuple[dict, dict]:
-    """Order statistics from a value-count table ``(_name, _v, _c)``.
-
-    ``ranks_for(name, n)`` gives the 0-based ranks wanted for a name with
-    ``n`` rows.  Returns ``({(name, rank): value}, {name: n})``.
-
-    The number of value ranges grows with the data: ``ceil(distinct /
-    range_target)``.  A small column is one range (one bounded sort); a
-    large one is cut at approximate quantiles (the boundaries stay a small
-    joined table, not literals), per-range totals — a few numbers per range
-    — come to the driver to locate the ranks, and only the ranges holding
-    them are sorted.  No task ever sorts more than about ``range_target``
-    distinct values of a column."""
-    st = vc.groupBy("_name").agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("nd")).collect()
-    ns = {r["_name"]: r["n"] for r in st}
-    n_ranges = max([math.ceil(r["nd"] / range_target) for r in st] or [1])
-    ranged = vc
-    if n_ranges <= 1:
-        ranged = vc.withColumn("_r", F.lit(0))
-        starts = {(name, 0): (0, n) for name, n in ns.items()}
-    else:
-        probs = [i / n_ranges for i in range(1, n_ranges)]
-        bnd = vc.groupBy("_name").agg(
-            F.percentile_approx("_v", probs, max(accuracy, 20 * n_ranges)).alias("_b"))
-        ranged = (vc.join(F.broadcast(bnd), "_name")  # one row per column name
-                    .withColumn("_r", F.size(F.filter(F.col("_b"), lambda z: z <= F.col("_v"))))
-                    .drop("_b")).persist()
-        totals = sorted((r["_name"], r["_r"], r["s"]) for r in
-                        ranged.groupBy("_name", "_r").agg(F.sum("_c").alias("s")).collect())
-        starts, acc = {}, {}
-        for name, rid, s_ in totals:
-            a = acc.get(name, 0)
-            starts[(name, rid)] = (a, a + s_)
-            acc[name] = a + s_
-    try:
-        need = {}
-        for name, n in ns.items():
-            for rank in ranks_for(name, n):
-                for (nm, rid), (a, b) in starts.items():
-                    if nm == name and a <= rank < b:
-                        need.setdefault((nm, rid), set()).add(int(rank))
-        if not need:
-            return {}, ns
-        key = F.concat_ws("#", F.col("_name"), F.col("_r").cast("string"))
-        keys = [f"{nm}#{rid}" for nm, rid in need]
-        off = F.create_map(*[x for (nm, rid) in need for x in (F.lit(f"{nm}#{rid}"), F.lit(starts[(nm, rid)][0]))])
-        ranks_m = F.create_map(*[x for (nm, rid), rk in need.items() for x in (
-            F.lit(f"{nm}#{rid}"), F.array(*[F.lit(k) for k in sorted(rk)]))])
-        w = Window.partitionBy("_name", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        sel = (ranged.withColumn("_k", key).where(F.col("_k").isin(keys))
-               .withColumn("_cum", F.sum("_c").over(w) + off[F.col("_k")]))
-        hits = (sel.withColumn("_rank", F.explode(F.filter(
-                    ranks_m[F.col("_k")], lambda k: (F.col("_cum") - F.col("_c") <= k) & (k < F.col("_cum")))))
-                .select("_name", "_rank", "_v").collect())
-        return {(r["_name"], r["_rank"]): r["_v"] for r in hits}, ns
-    finally:
-        if ranged is not vc:
-            ranged.unpersist()
-
-
-def _interp_ranks(ps):
-    def ranks_for(name, n):
-        out = set()
-        for p in ps:
-            h = p * (n - 1)
-            out.update({math.floor(h), math.ceil(h)})
-        return out
-    return ranks_for
-
-
-def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], range_target: int = RANGE_TARGET) -> dict:
-    """Exact interpolated p-quantiles of several columns, as driver scalars
-    (``{col: [q for p in ps]}``).  Driver traffic is bounded by
-    ``len(cols) * n_ranges`` numbers; no step puts a column in one task."""
-    long = _stack_long(df, [], cols).where(F.col("_v").isNotNull())
-    vc = long.groupBy("_name", "_v").agg(F.count(F.lit(1)).alias("_c")).persist()
-    try:
-        at, ns = select_ranks(vc, _interp_ranks(ps), range_target)
-    finally:
-        vc.unpersist()
-    out = {c: [None] * len(ps) for c in cols}
-    for name, n in ns.items():
-        vals = []
-        for p in ps:
-            h = p * (n - 1)
-            lo, hi = math.floor(h), math.ceil(h)
-            vals.append(at[(name, lo)] + (h - lo) * (at[(name, hi)] - at[(name, lo)]))
-        out[name] = vals
-    return out
-
-
-def kth_smallest(df: DataFrame, group: str, value: str, ks: dict) -> dict:
-    """Per group value, the k-th smallest (1-based) of a unique-valued
-    numeric column: ``{group_value: value}``."""
-    vc = df.select(F.col(group).cast("string").alias("_name"), F.col(value).cast("double").alias("_v"),
-                   F.lit(1).cast("long").alias("_c")).where(F.col("_v").isNotNull())
-    want = {str(g): k - 1 for g, k in ks.items() if k > 0}
-    at, _ = select_ranks(vc, lambda name, n: [want[name]] if name in want else [])
-    return {g: at.get((str(g), k - 1)) for g, k in ks.items()}
+    wanted = totals.select("_g", "_name", F.explode(F.array_distinct(F.array(F.floor(h), F.ceil(h)))).alias("_rank"),
+                           F.lit(None).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("_before")).checkpoint(eager=True)
+    bits, found = KEY_BITS - DIGIT, None
+    pending = rows.select("_g", "_name", "_k", "_v", F.lit(None).cast("long").alias("_prefix"))
+    while True:
+        counts = pending.groupBy("_g", "_name", "_prefix", F.shiftright("_k", bits).alias("_b") if bits else F.col("_k").alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy("_g", "_name", "_prefix").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = counts.withColumn("_upto", upto)
+        w = wanted.select(F.col("_g").alias("_wg"), F.col("_name").alias("_wname"), F.col("_prefix").alias("_wprefix"), "_rank", "_before")
+        hit = (ranked.join(w, (F.col("_g") == F.col("_wg")) & (F.col("_name") == F.col("_wname")) & F.col("_prefix").eqNullSafe(F.col("_wprefix")))
+               .where((F.col("_rank") < F.col("_before") + F.col("_upto")) & (F.col("_rank") >= F.col("_before") + F.col("_upto") - F.col("_c")))
+               .select("_g", "_name", "_rank", F.col("_b").alias("_prefix"), (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_before"), "_c")
+               .checkpoint(eager=True))
+        if not bits:
+            found = hit if found is None else found.unionByName(hit)
+            break
+        # few rows left in a bucket: the next pass counts whole values
+        wanted = hit.drop("_c")
+        small = (hit.agg(F.max("_c")).first()[0] or 0) <= target
+        next_bits = 0 if small else bits - DIGIT
+        chosen = hit.select("_g", "_name", "_prefix").distinct()
+        pending = (rows.select("_g", "_name", "_k", "_v", F.shiftright("_k", bits).alias("_prefix"))
+                   .join(chosen, ["_g", "_name", "_prefix"], "left_semi").checkpoint(eager=True))
+        bits = next_bits
+    # a value again from its key: no arithmetic on keys is needed, the rows have both
+    exact = found.select("_g", "_name", "_rank", F.col("_prefix").alias("_k"))
+    values = pending.join(exact.select("_g", "_name", "_k").distinct(), ["_g", "_name", "_k"], "left_semi")
+    values = exact.join(values.groupBy("_g", "_name", "_k").agg(F.max("_v").alias("_v")), ["_g", "_name", "_k"])
+    at = values.join(totals, ["_g", "_name"])
+    lo = F.max(F.when(F.col("_rank") == F.floor(h), F.col("_v")))
+    hi = F.max(F.when(F.col("_rank") == F.ceil(h), F.col("_v")))
+    q = at.groupBy("_g", "_name").agg(lo.alias("_lo"), hi.alias("_hi"), F.first(h - F.floor(h)).alias("_f"))
+    q = q.withColumn("_q", F.when(F.col("_f") == 0, F.col("_lo")).otherwise(F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))))
+    wide = q.groupBy("_g").agg(*[F.max(F.when(F.col("_name") == c, F.col("_q"))).alias(c + suffix) for c in cols])
+    return groups.join(wide, "_g", "left").drop("_g")
