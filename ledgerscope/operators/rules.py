@@ -3,9 +3,9 @@ skip protocol.
 
 Every rule is a function ``df -> (df + columns, ran)``; ``ran`` is decided
 from the schema alone (a missing or non-timestamp column skips the rule and
-adds zero columns).  ``run_rules`` builds all six in one plan: three small
-aggregates (per user, per user-hour inside it, per user-category), one
-bucketed window stage for velocity and travel speed, and key joins.
+adds zero columns).  ``run_rules`` builds all six in one plan: one packed row
+per user, one bucketed window stage for velocity and travel speed, and one
+join of both to the rows.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 from ledgerscope.functions.geo import haversine_km
 from ledgerscope.functions.guards import flag, safe_std
 from ledgerscope.functions.temporal import hour_of
-from ledgerscope.operators.sequence import TrailingCount, user_sequence
+from ledgerscope.operators.quantiles import RANGE_TARGET
+from ledgerscope.operators.sequence import TrailingCount, busiest, user_sequence
 from ledgerscope.operators.user_stats import (
-    share_lookup, user_amount_stats, user_category_share, user_centers, user_hour_share, user_profile)
+    few_categories, share_lookup, user_amount_stats, user_category_share, user_centers, user_hour_share, user_profile)
 
 # fixed values: flag columns in rule order
 FLAG_COLS = ["flag_amount_anomaly", "flag_location_deviation", "flag_temporal_anomaly",
@@ -183,42 +184,41 @@ def run_rules(df: DataFrame, *, z_threshold: float = Z_THRESHOLD, distance_thres
               threshold: int | str | None = "dynamic") -> RuleResult:
     """All six rules and the score in one logical plan.
 
-    Plan shape: per-user aggregate (mean, std, count, hour map) + exact
-    per-user medians + per-(user, category) counts; one window stage on
-    ``(user, day bucket)`` for velocity and speed; equi-joins back by key.
-    """
+    Plan shape: one packed row per user (mean, std, total, medians, hour and
+    category counts) is attached to the table of ``(user, day)`` buckets that
+    the sequence rules need anyway, and this table is joined to the rows, which
+    move once.  Small jobs while this is called ask for the sizes on which
+    the plan depends: rows of the busiest user and day, number of categories."""
     ran = can_run(df)
     cols = df.columns
     out = df
     if ran["temporal"]:
         out = out.withColumn("hour", hour_of("timestamp"))
 
-    # one window stage for both sequence rules
     counts, previous = (), ()
     if ran["velocity"]:
         cap = None if lookback_rows is None else lookback_rows + 1
         counts = (TrailingCount("txn_count_in_window", window_minutes * 60_000_000, cap),)
     if ran["geo_speed"]:
         previous = ("lat", "lon")
-    if counts or previous:
-        out = user_sequence(out, counts=counts, previous=previous)
-
-    # per-user tables from one aggregate scan: amount moments, totals,
-    # (user, hour) and (user, category) counts; exact medians for centres
-    keys = (["hour"] if ran["temporal"] else []) + (["category"] if ran["category"] else [])
+    if counts:
+        most_rows, fullest = busiest(df)
+    else:
+        most_rows, fullest = None, None
+
+    # a user of very many rows has its medians selected by passes, not in one buffer
+    medians = {"center_lat": "lat", "center_lon": "lon"} if ran["location"] else {}
+    by_passes = medians and (most_rows is None or most_rows > RANGE_TARGET)
+    mapped = ran["category"] and few_categories(df)
     per_user = None
-    if ran["amount"] or ran["temporal"] or ran["category"]:
-        base = df.withColumn("hour", hour_of("timestamp")) if ran["temporal"] else df
-        prof = user_profile(base, keys, "amount" if ran["amount"] else None)
-        per_user = prof["user"]
-        if ran["temporal"]:
-            hmap = prof["hour"].groupBy("user_id").agg(
-                F.map_from_entries(F.collect_list(F.struct("hour", "_cnt"))).alias("_hour_counts"))
-            per_user = per_user.join(hmap, "user_id", "left")
-    if ran["location"]:
-        centers = user_centers(df)
-        per_user = centers if per_user is None else per_user.join(centers, "user_id", "left")
-    if per_user is not None:
+    if any(ran[r] for r in ("amount", "location", "temporal", "category")):
+        per_user = user_profile(out, amount="amount" if ran["amount"] else None, medians={} if by_passes else medians,
+                                hour="hour" if ran["temporal"] else None, category="category" if mapped else None)
+    if by_passes:
+        per_user = per_user.join(user_centers(df), "user_id", "left")
+    if counts or previous:
+        out = user_sequence(out, counts=counts, previous=previous, per_user=per_user, fullest=fullest)
+    elif per_user is not None:
         out = out.join(per_user, "user_id", "left")
 
     new = {}
@@ -230,7 +230,7 @@ def run_rules(df: DataFrame, *, z_threshold: float = Z_THRESHOLD, distance_thres
         out = out.withColumn("location_distance_km", _km_expr())
         new["flag_location_deviation"] = flag(F.col("location_distance_km") > F.lit(distance_threshold_km))
     if ran["temporal"]:
-        cnt = F.col("_hour_counts")[F.col("hour")]
+        cnt = F.get("_hour_counts", F.col("hour"))
         pct = F.when(F.col("user_id").isNull() | F.col("hour").isNull(), F.lit(0.0)).otherwise(
             F.coalesce(cnt / F.col("_total"), F.lit(0.0)))
         out = out.withColumn("hour_pct", pct)
@@ -238,8 +238,11 @@ def run_rules(df: DataFrame, *, z_threshold: float = Z_THRESHOLD, distance_thres
     if ran["velocity"]:
         new["flag_velocity"] = flag(F.col("txn_count_in_window") > F.lit(max_transactions))
     if ran["category"]:
-        share = prof["category"].select("user_id", "category", F.col("_cnt").alias("_ccnt"))
-        out = out.join(share, ["user_id", "category"], "left")
+        if mapped:
+            out = out.withColumn("_ccnt", F.try_element_at("_category_counts", F.col("category")))
+        else:
+            share = user_category_share(df).select("user_id", "category", F.col("cat_pct_count").alias("_ccnt"))
+            out = out.join(share, ["user_id", "category"], "left")
         pct = F.when(F.col("user_id").isNull() | F.col("category").isNull(), F.lit(0.0)).otherwise(
             F.coalesce(F.col("_ccnt") / F.col("_total"), F.lit(0.0)))
         out = out.withColumn("cat_pct", pct)

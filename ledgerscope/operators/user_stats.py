@@ -10,7 +10,7 @@ above that they stay shuffle joins (with AQE skew splitting).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.temporal import hour_of
@@ -63,38 +63,42 @@ def share_lookup(df: DataFrame, share: DataFrame, key: str, name: str, user: str
     return j.withColumn(name, val).drop("_share")
 
 
-def user_profile(df: DataFrame, keys: list[str], amount: str | None, user: str = "user_id") -> dict:
-    """All count / moment statistics of the rules from ONE scan.
+#: distinct categories up to which a user's counts travel as one map
+MAP_CATEGORIES = 1_024
 
-    One partial aggregate over ``(user, *keys)`` (at most users x 24 hours x
-    categories rows) gives row counts and amount moments (n, mean, M2) per
-    cell; per-user mean and sample std are merged from the cells with the
-    parallel-variance formula (the same merge Spark applies to partial
-    ``stddev`` buffers), and per-(user, key) counts are re-aggregations.
-    Spark reuses the cell table's exchange for every consumer.
 
-    Returns {"user": (user, _total[, user_mean, user_std]),
-             key: (user, key, _cnt) for each key}.
-    """
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    if amount:
-        aggs += [F.count(amount).alias("_na"), F.avg(amount).alias("_m"),
-                 (F.var_pop(amount) * F.count(amount)).alias("_m2")]
-    cells = df.groupBy(user, *keys).agg(*aggs)
-    out = {}
+def few_categories(df: DataFrame, category: str = "category", limit: int = MAP_CATEGORIES) -> bool:
+    """Whether the table has at most ``limit`` categories (a small job)."""
+    return df.select(category).distinct().limit(limit + 1).count() <= limit
+
+
+def user_profile(df: DataFrame, user: str = "user_id", amount: str | None = None, medians: dict | None = None,
+                 hour: str | None = None, category: str | None = None, amount_name: str = "user") -> DataFrame:
+    """One row per user from one scan and two small exchanges.
+
+    ``_total``; ``<amount_name>_mean``, ``<amount_name>_std`` of ``amount``; the exact
+    median of each column of ``medians`` {name: column}; ``_hour_counts``, 24
+    counts; ``_category_counts``, a map (categories must be few, see
+    ``few_categories``).  Every row is counted for its user and, if a category
+    is given, for its (user, category); a user's lines are then put side by side."""
+    hours = [F.sum(F.when(F.col("_whole") & (F.col(hour) == h), 1).otherwise(0)).alias(f"_h{h}") for h in range(24)] if hour else []
+    whole = lambda c: F.when(F.col("_whole"), F.col(c).cast("double"))
+    aggs = [F.count(F.lit(1)).alias("_total"), *hours]
     if amount:
-        w = Window.partitionBy(user)  # cells of one user: bounded by 24 x categories
-        c = (cells.withColumn("_na_u", F.sum("_na").over(w))
-                  .withColumn("_mean_u", F.sum(F.col("_na") * F.col("_m")).over(w) / F.nullif(F.col("_na_u"), F.lit(0))))
-        dev = F.col("_m") - F.col("_mean_u")
-        u = c.groupBy(user).agg(
-            F.sum("_n").alias("_total"), F.first("_mean_u").alias("user_mean"),
-            F.sum(F.coalesce(F.col("_m2") + F.col("_na") * dev * dev, F.lit(0.0))).alias("_M2"),
-            F.first("_na_u").alias("_na_u"))
-        std = F.sqrt(F.col("_M2") / F.nullif(F.col("_na_u") - 1, F.lit(0)))
-        out["user"] = u.select(user, "_total", "user_mean", std.alias("user_std"))
+        aggs += [F.avg(whole(amount)).alias(f"{amount_name}_mean"), F.stddev_samp(whole(amount)).alias(f"{amount_name}_std")]
+    aggs += [F.percentile(whole(c), F.lit(0.5)).alias(n) for n, c in (medians or {}).items()]
+    rows = df.select(*dict.fromkeys([user, *[c for c in (amount, hour, category) if c], *(medians or {}).values()]))
+    if category:
+        line = lambda w, c: F.struct(F.lit(w).alias("whole"), c.alias("category"))
+        nothing = F.lit(None).cast(df.schema[category].dataType)
+        rows = (rows.withColumn("_line", F.explode(F.array(line(True, nothing), line(False, F.col(category)))))
+                .withColumn("_whole", F.col("_line.whole")).withColumn("_category", F.col("_line.category")))
+        lines = rows.groupBy(user, "_whole", "_category").agg(*aggs)
+        own = [F.max(F.when(F.col("_whole"), F.col(c))).alias(c) for c in lines.columns if c not in (user, "_whole", "_category")]
+        counted = F.when(~F.col("_whole") & F.col("_category").isNotNull(), F.struct("_category", "_total"))
+        packed = lines.groupBy(user).agg(*own, F.map_from_entries(F.collect_list(counted)).alias("_category_counts"))
     else:
-        out["user"] = cells.groupBy(user).agg(F.sum("_n").alias("_total"))
-    for k in keys:
-        out[k] = cells.where(F.col(k).isNotNull()).groupBy(user, k).agg(F.sum("_n").alias("_cnt"))
-    return out
+        packed = rows.withColumn("_whole", F.lit(True)).groupBy(user).agg(*aggs)
+    if hour:
+        packed = packed.withColumn("_hour_counts", F.array(*[F.col(f"_h{h}") for h in range(24)])).drop(*[f"_h{h}" for h in range(24)])
+    return packed

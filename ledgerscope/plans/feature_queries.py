@@ -87,13 +87,13 @@ def _sel_sql(cols):
     return ", ".join(f"round({c}, {_ROUND_F[c]}) AS {c}" if c in _ROUND_F else c for c in cols)
 
 
-def features(spark, sf):
-    return engineer_features(txn(spark, sf))
+def features(spark, sf, wanted=None):
+    return engineer_features(txn(spark, sf), wanted=wanted)
 
 
 def _feature_query(name, cols):
     def q(spark, sf):
-        return _sel_spark(features(spark, sf), cols)
+        return _sel_spark(features(spark, sf, [c for c in cols if c in FEATURE_COLS]), cols)
     q.__name__ = f"q_{name}"
     register(name, with_features(f"SELECT {_sel_sql(cols)} FROM feat"))(q)
 
@@ -132,7 +132,7 @@ SELECT round(quantile_cont(amount_z_score, 0.95), 6) AS threshold,
        count(*) FILTER (WHERE amount_z_score >= (SELECT quantile_cont(amount_z_score, 0.95) FROM feat)) AS n_at_or_above
 FROM feat"""))
 def q_quantile_threshold(spark, sf):
-    f = features(spark, sf)
+    f = features(spark, sf, ["amount_z_score"])
     thr = A.quantile_threshold(f, "amount_z_score", 0.95)
     return f.agg(F.round(F.lit(thr), 6).alias("threshold"),
                  F.count(F.when(F.col("amount_z_score") >= F.lit(thr), 1)).alias("n_at_or_above"))
@@ -155,7 +155,7 @@ def q_label_balance(spark, sf):
 
 @register("labels_ground_truth", "WITH " + TXN_SQL + " SELECT transaction_id, CAST(is_fraud AS INTEGER) AS label FROM txnm")
 def q_labels_gt(spark, sf):
-    lab, _ = M.derive_labels(features(spark, sf))
+    lab, _ = M.derive_labels(txn(spark, sf))
     return lab.select("transaction_id", "label")
 
 
@@ -170,7 +170,7 @@ SELECT transaction_id,
        CAST(COALESCE(amount_z_score >= (SELECT quantile_cont(amount_z_score, 0.95) FROM feat), FALSE) AS INTEGER) AS label
 FROM feat"""))
 def q_labels_top(spark, sf):
-    lab, _ = M.derive_labels(features(spark, sf).drop("is_fraud"))
+    lab, _ = M.derive_labels(features(spark, sf, ["amount_z_score"]).drop("is_fraud"))
     return lab.select("transaction_id", "label")
 
 

@@ -29,3 +29,26 @@ def test_pushdown(spark):
     p = _plan(df)
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in p
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,value:double>" in p
+
+
+def _counts(df):
+    import re
+    p = _plan(df)
+    # an adaptive plan's text holds its initial plan once before it runs
+    return len(re.findall(r"Scan parquet", p)), len(re.findall(r"Exchange hashpartitioning", p))
+
+
+def test_rows_move_once(spark):
+    scans, exchanges = _counts(run_rules(txn(spark, SF)).df)
+    assert scans <= 3 and exchanges <= 8
+    scans, exchanges = _counts(engineer_features(txn(spark, SF)))
+    assert scans <= 3 and exchanges <= 8
+
+
+def test_wanted_features_only(spark):
+    calendar = engineer_features(txn(spark, SF), wanted=["hour", "day_of_week", "is_weekend", "is_night"])
+    assert _counts(calendar)[0] == 1 and "Exchange" not in _plan(calendar) and "amount_z_score" not in calendar.columns
+    whole = engineer_features(txn(spark, SF)).where("transaction_id < 50")
+    for wanted in (["amount_z_score"], ["amount_to_median", "category_encoded"], ["txn_count_1h"], ["time_since_last_txn", "location_distance_km"]):
+        part = engineer_features(txn(spark, SF), wanted=wanted).where("transaction_id < 50").select("transaction_id", *wanted)
+        assert sorted(part.collect()) == sorted(whole.select("transaction_id", *wanted).collect())
