@@ -15,16 +15,16 @@ A state that ends a word with one edit has found a neighbour.  A state is droppe
 early when its new node doesn't go on with its next letter, or when fewer letters are
 left than any word below the node has, or more.
 
-An edit near the front would lead through the trie's fullest levels.  So there are two
-tries, of the words and of the words reversed, and each is asked for edits in the
-second half of what it reads: a word's states start at its own node in the middle.
+An edit near the front would lead through the trie's fullest levels.  So every word is in
+the trie twice, as it is and reversed (behind one of two ``MARKS``), and only edits in the second half of what is read are
+looked for: the states start at the word's prefix up to its middle, which is always a node, and no
+shorter prefix is kept.
 Leaving a letter out finds the shorter word from the longer one, another letter finds
 the word with the larger letter from that with the smaller, each in one place
 only (in a run of equal letters the last), so every pair of neighbours is found once.
 
-Skew: the states of a node of many words meet many edges' rows: these are copied once for every ``PER_COPY`` of
-the words, and states are dealt over the copies by word.  Nodes begin at ``DEPTH``
-letters, so there is no root that all words share.
+Skew: no root is shared by all words.  The states of a node of many words meet many edges' rows: these are
+copied once for every ``PER_COPY`` of the words, and states are dealt over the copies by word.
 
 A word's form is its neighbour with the largest count, if that is twice its own
 at least; forms are followed to the root by pointer doubling.
@@ -36,7 +36,7 @@ whole; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import drop_kept, keep
@@ -45,16 +45,17 @@ from ledgerscope.llm.common import drop_kept, keep
 LETTERS = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_LENGTH, LEAST_COUNT, CUT_EVERY, FORM_RATIO = 5, 3, 97, 2
-#: ends every word in the trie; smaller than any letter
-END = "\n"
-#: words below a node that one copy of its edges serves; letters of the shortest prefix that is a node
-PER_COPY, DEPTH = 20_000, 2
+#: ends every word in the trie, smaller than any letter; begin a word as it is and reversed
+END, MARKS = "\n", "<>"
+#: words below a node that one copy of its edges serves
+PER_COPY = 20_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): words after the rule that leaves a letter out of some."""
     runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"([{LETTERS}]{{{LEAST_LENGTH},}})"), F.lit(1))).alias("run"))
-    runs = runs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.translate("run", UPPER, LOWER).alias("run"))
+    lowered = F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, LOWER)).otherwise(F.col("run"))
+    runs = runs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), lowered.alias("run"))
     h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
     cut = (h % F.length("run")).cast("int")
     less = F.concat(F.substring("run", F.lit(1), cut), F.substring("run", cut + 2, F.length("run")))
@@ -68,41 +69,46 @@ def _node(prefix: Column | str) -> tuple[Column, Column]:
     return F.xxhash64(prefix), F.xxhash64(F.lit(12), prefix)
 
 
-def _middle(backward: bool) -> Column:
+def _forward() -> Column:
+    return F.startswith("w", F.lit(MARKS[0]))
+
+
+def _middle() -> Column:
     """Where the half of ``w`` begins in which an edit is looked for."""
-    half = F.floor((F.length("w") - 1) / 2).cast("int")
-    return F.length("w") - 1 - half if backward else half
+    n = F.length("w") - 2
+    half = F.floor(n / 2).cast("int")
+    return 1 + F.when(_forward(), half).otherwise(n - half)
 
 
-def trie_nodes(words: DataFrame, per_copy: int) -> DataFrame:
-    """(w, nodes): per word the nodes on its path, with what lies below them.
+def trie_spans(words: DataFrame, per_copy: int) -> DataFrame:
+    """Per word of ``words`` (w) and node on its path that node and the next.
 
     ``nexts``: letters that a node goes on with; ``least``, ``most``: letters
     from there to the ends of words, ``END`` included."""
-    places = words.select("w", F.explode(F.sequence(F.lit(DEPTH), F.length("w") - 1)).alias("at"))
-    places = places.withColumn("prefix", F.substring("w", F.lit(1), F.col("at")))
-    a, b = _node("prefix")
-    places = places.select("w", "at", a.alias("a"), b.alias("b"))
+    places = words.select("w", _middle().alias("middle"), F.explode(F.sequence(_middle(), F.length("w") - 1)).alias("at"))
+    a, b = _node(F.substring("w", F.lit(1), F.col("at")))
+    places = places.select("w", "middle", "at", a.alias("a"), b.alias("b"))
     left, letter = F.length("w") - F.col("at"), F.substring("w", F.col("at") + 1, F.lit(1))
     nodes = (places.groupBy("a", "b").agg(F.collect_set(letter).alias("cs"), F.count("*").alias("n"), F.min(left).alias("least"),
-                                          F.max(left).alias("most"), F.min("at").alias("depth"))
-             .where((F.size("cs") > 1) | (F.col("depth") == DEPTH)))
+                                          F.max(left).alias("most"), F.max(F.col("at") == F.col("middle")).alias("starts"))
+             .where((F.size("cs") > 1) | F.col("starts")))
     nodes = nodes.select("a", "b", F.array_join("cs", "").alias("nexts"), "least", "most", F.ceil(F.col("n") / per_copy).cast("int").alias("copies"))
-    return (places.join(nodes, ["a", "b"]).groupBy("w")
-            .agg(F.array_sort(F.collect_list(F.struct("at", "a", "b", "copies", "nexts", "least", "most"))).alias("nodes")))
+    path = Window.partitionBy("w").orderBy("at")
+    node = F.struct("at", "a", "b", "copies", "nexts", "least", "most")
+    return (places.join(nodes, ["a", "b"]).select("w", "middle", node.alias("up"), "at")
+            .select("w", "middle", "up", F.lead("up").over(path).alias("down")))
 
 
-def trie_edges(paths: DataFrame) -> DataFrame:
+def trie_edges(spans: DataFrame) -> DataFrame:
     """(a, b, copy, label, first, size, child_a, child_b, child_copies, leaf,
-    nexts, least, most) per edge, from the paths of ``trie_nodes``."""
-    spans = paths.select("w", F.posexplode("nodes").alias("i", "up"), "nodes").select("w", "up", F.get("nodes", F.col("i") + 1).alias("down"))
+    nexts, least, most) per edge, from ``trie_spans``."""
     leaf = F.col("down").isNull()
     end_a, end_b = _node("w")
     edges = spans.select(
         F.col("up.a").alias("a"), F.col("up.b").alias("b"), F.col("up.copies").alias("copies"),
         F.substring("w", F.col("up.at") + 1, F.coalesce("down.at", F.length("w")) - F.col("up.at")).alias("label"),
         F.coalesce("down.a", end_a).alias("child_a"), F.coalesce("down.b", end_b).alias("child_b"), F.coalesce("down.copies", F.lit(1)).alias("child_copies"),
-        F.when(leaf, F.expr("left(w, length(w) - 1)")).alias("leaf"), F.coalesce("down.nexts", F.lit("")).alias("nexts"),
+        F.when(leaf, F.col("w")).alias("leaf"), F.coalesce("down.nexts", F.lit("")).alias("nexts"),
         F.coalesce("down.least", F.lit(0)).alias("least"), F.coalesce("down.most", F.lit(0)).alias("most"))
     once = edges.dropDuplicates(["child_a", "child_b"])  # a child has one edge, found from every word below
     return once.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "label",
@@ -110,14 +116,13 @@ def trie_edges(paths: DataFrame) -> DataFrame:
                        "nexts", "least", "most")
 
 
-def _steps(states: DataFrame, edges: DataFrame, backward: bool) -> DataFrame:
+def _steps(states: DataFrame, edges: DataFrame) -> DataFrame:
     """One level: every state through the edges of its node."""
-    pos, size, label, middle = F.col("pos"), F.col("size"), F.col("label"), _middle(backward)
+    pos, size, label, middle = F.col("pos"), F.col("size"), F.col("label"), _middle()
     word = lambda start, n: F.substring("w", start + 1, n)
     at_node = [states["at_a"] == edges["a"], states["at_b"] == edges["b"], states["at_copy"] == edges["copy"]]
     own = F.substring("w", pos + 1, F.lit(1))
-    # before the middle and with the edit used, only the own letter goes on
-    free = states.join(edges, [*at_node, states["edits"] == 0, (own == edges["first"]) | (pos >= middle)])
+    free = states.join(edges, [*at_node, states["edits"] == 0])
     used = states.join(edges, [*at_node, states["edits"] == 1, own == edges["first"]])
     # without an edit so far: the first place where label and word differ (most differ at their first letter)
     differ = F.array_position(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(label, i, F.lit(1)) == F.substring("w", pos + i, F.lit(1))),
@@ -126,11 +131,10 @@ def _steps(states: DataFrame, edges: DataFrame, backward: bool) -> DataFrame:
     free = free.withColumn("at", F.when(own != F.col("first"), 0).when(~F.col("exact"), differ))
     at = F.col("at")
     mine, its = F.substring("w", pos + at + 1, F.lit(1)), F.substring(label, at + 1, F.lit(1))
-    here = (mine != END) & (pos + at >= middle)
-    other = here & (mine < its) & (F.substring(label, at + 2, size) == word(pos + at + 1, size - at - 1))
-    without = here & (F.substring(label, at + 1, size) == word(pos + at + 1, size - at))
-    if backward:  # a run of equal letters that reaches over the middle is the forward trie's
-        without = without & (F.replace(word(middle - 1, pos + at - middle + 2), mine, F.lit("")) != "")
+    other = (mine != END) & (mine < its) & (F.substring(label, at + 2, size) == word(pos + at + 1, size - at - 1))
+    without = (mine != END) & (F.substring(label, at + 1, size) == word(pos + at + 1, size - at))
+    # a run of equal letters that reaches over the middle is found once, in the word as it is
+    without = without & (_forward() | (F.replace(word(middle - 1, pos + at - middle + 2), mine, F.lit("")) != ""))
     free = (free.withColumn("straight", F.col("exact") | other).withColumn("without", ~F.col("exact") & without)
             .where("straight or without").withColumn("skips", F.explode(F.array(F.lit(0), F.lit(1))))
             .where((F.col("skips") == 0) & F.col("straight") | (F.col("skips") == 1) & F.col("without")))
@@ -146,39 +150,31 @@ def _steps(states: DataFrame, edges: DataFrame, backward: bool) -> DataFrame:
         F.pmod(F.xxhash64("w"), F.col("child_copies")).cast("int").alias("at_copy"), "edits", F.col("leaf").alias("found"))
 
 
-def _found(words: DataFrame, backward: bool, per_copy: int) -> list[DataFrame]:
-    """The pairs of neighbours whose edit one of the tries is asked for."""
-    text = F.reverse("word") if backward else F.col("word")
-    paths = keep(trie_nodes(words.select(F.concat(text, F.lit(END)).alias("w")), per_copy), "trie-paths")
-    edges = keep(trie_edges(paths), "trie-edges")
-    middle = _middle(backward)
-    start = F.element_at(F.filter("nodes", lambda x: x["at"] <= middle), -1)
-    states = paths.select("w", start.alias("s")).select(
-        "w", F.col("s.at").alias("pos"), F.col("s.a").alias("at_a"), F.col("s.b").alias("at_b"), F.lit(0).alias("edits"),
-        F.pmod(F.xxhash64("w"), F.col("s.copies")).cast("int").alias("at_copy"))
-    out = lambda c: F.reverse(c) if backward else c
-    pairs, before = [], paths
+def neighbours(words: DataFrame, per_copy: int = PER_COPY) -> DataFrame:
+    """(a, b): each pair of ``words`` (word) that are one edit apart, once."""
+    both = words.select(F.explode(F.array(F.concat(F.lit(MARKS[0]), "word", F.lit(END)),
+                                          F.concat(F.lit(MARKS[1]), F.reverse("word"), F.lit(END)))).alias("w"))
+    spans = keep(trie_spans(both, per_copy), "trie-spans")
+    edges = keep(trie_edges(spans), "trie-edges")
+    states = spans.where("up.at = middle").select(
+        "w", F.col("up.at").alias("pos"), F.col("up.a").alias("at_a"), F.col("up.b").alias("at_b"), F.lit(0).alias("edits"),
+        F.pmod(F.xxhash64("w"), F.col("up.copies")).cast("int").alias("at_copy"))
+
+    def plain(w: str) -> Column:
+        inner = F.substring(w, F.lit(2), F.length(w) - 2)
+        return F.when(_forward(), inner).otherwise(F.reverse(inner))
+
+    pairs, before = words.select(F.col("word").alias("a"), F.col("word").alias("b")).where(F.lit(False)), spans
     while not states.isEmpty():
-        level = keep(_steps(states, edges, backward), "frontier")
+        level = keep(_steps(states, edges), "frontier")
         drop_kept(before)
-        pairs.append(keep(level.where("found is not null").select(out(F.expr("left(w, length(w) - 1)")).alias("a"), out(F.col("found")).alias("b")), "pairs"))
-        states, before = level.where("found is null"), level
+        found = keep(level.where("found is not null").select(plain("w").alias("a"), plain("found").alias("b")), "pairs")
+        pairs, states, before = pairs.unionByName(found), level.where("found is null"), level
     drop_kept(edges)
     drop_kept(before)
     return pairs
 
 
-def neighbours(words: DataFrame, per_copy: int = PER_COPY) -> DataFrame:
-    """(a, b): each pair of ``words`` (word) that are one edit apart, once."""
-    pairs = _found(words, False, per_copy) + _found(words, True, per_copy)
-    if not pairs:
-        return words.select(F.col("word").alias("a"), F.col("word").alias("b")).where(F.lit(False))
-    all_pairs = pairs[0]
-    for p in pairs[1:]:
-        all_pairs = all_pairs.unionByName(p)
-    return all_pairs
-
-
 def _roots(forms: DataFrame) -> DataFrame:
     """(word, root) of ``forms`` (word, form): counts at least double from a
     word to its form, so chains are short and have no cycle."""
