@@ -92,13 +92,19 @@ def position_at(parts: Column, offset: Column) -> Column:
     return s["t"] + F.least(s["dt"], F.when(below > 0, 2 * x / below).otherwise(0.0))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: rows that share it and the
+    doc_id are alike."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_epochs: int = 3,
              schedule=linear_schedule) -> DataFrame:
-    """doc_id, key, size, source_size, target, taken, passes, cut, position
+    """doc_id, row_key, size, source_size, target, taken, passes, cut, positions
     per row: whole copies (``passes``), words of a last partial copy
     (``cut``), the position of the first copy, and of each further copy."""
     sized = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                             F.xxhash64("text").alias("key")), "sizes")
+                             F.xxhash64("text").alias("key"), _row_key(docs).alias("row_key")), "sizes")
     sized = sized.withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     buckets = max(1, -(-sized.count() // BUCKET_ROWS))
@@ -124,7 +130,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
     copies = F.col("full") + (F.col("cut") > 0).cast("long")
     positions = F.when((copies > 0) & (F.col("taken") > 0),
                        F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), spot)).otherwise(F.array().cast("array<double>"))
-    return at.select("doc_id", "key", "size", "source_size", "target", "taken", F.col("full").alias("passes"), "cut",
+    return at.select("doc_id", "row_key", "size", "source_size", "target", "taken", F.col("full").alias("passes"), "cut",
                      positions.alias("positions"))
 
 
@@ -142,9 +148,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken whole where that comes nearer to the source's target than leaving it."""
     plan = mix_plan(docs, **options).withColumn("copies", F.col("passes") + (2 * F.col("cut") > F.col("size")).cast("long"))
     plan = plan.where("taken > 0 and copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("key").alias("__key"),
+        F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"),
         F.explode(F.slice("positions", F.lit(1), F.col("copies").cast("int"))).alias("__at"))
-    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
-    mixed = keyed.join(plan, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")))
+    keyed = docs.withColumn("__row_key", _row_key(docs))
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # of rows alike one meets the copies of all
+        keyed = keyed.dropDuplicates(["doc_id", "__row_key"])
+    mixed = keyed.join(plan, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__row_key") == F.col("__key")))
     order = [F.col("__at"), F.col("__id")]
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
