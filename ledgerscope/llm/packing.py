@@ -3,10 +3,14 @@
 A configuration is a multiset of piece lengths that fits one sequence.  The
 program asks for the fewest sequences whose configurations cover the length
 histogram.  Multiplicative weights solve it: every length has a price that
-falls as it gets covered, a knapsack dynamic program finds the configuration
-of the highest price, and a share of its scarcest length is covered by it.
-The solution is rounded down to whole sequences; the few pieces of each length
-that remain are packed by exact-fill dynamic programs, longest piece first.
+falls as it gets covered, a knapsack dynamic program finds the configurations
+of the highest price, full ones where there are any, and a share of its scarcest length is
+covered by each, until every length is.  The solution is rounded: down to whole
+sequences first, then up for full configurations, largest amounts first, as far
+as there are pieces.  What is left is a smaller program, solved again; when a small share of
+the volume is left, the last pieces are packed by exact-fill dynamic programs, longest piece first.
+Of the shares ``RESTS`` the first counts with which the sequences are as few as the volume asks for, else
+that with the fewest (a larger share only where it saves more than 1 sequence in 10,000).
 
 Only the histogram (one count per length, at most ``capacity`` numbers) is on
 the driver.  Pieces get their place by rank: all pieces of a length are
@@ -33,6 +37,10 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.common import keep, map_arrow, pieces_of
 
 BUCKET_ROWS = 50_000
+#: shares of the volume that may be left to exact fills
+RESTS = (0.03, 0.1, 0.3)
+#: share of the sequences by which a plan has to be shorter to be taken instead
+SLIGHT = 1e-4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -130,21 +138,31 @@ def _cut(path: str, capacity: int):
 
 # --- the plan, over the length histogram -----------------------------------
 
-def _priced_configurations(price: np.ndarray, capacity: int, near: float) -> list[dict[int, int]]:
-    """Unbounded knapsack: the configuration of the highest total price, and
-    those above ``near`` of it that share no length with one before them.
-
-    One table gives the best configuration with any given length in it, so a
-    run prices many lengths; as they share none, their prices stay right."""
-    value = np.zeros(capacity + 1)
+def _knapsack(price: np.ndarray, capacity: int, full: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: per room the highest total price and the last piece
+    of a configuration that has it; ``full``: only of those that fill the room."""
+    value = np.full(capacity + 1, -np.inf if full else 0.0)
+    value[0] = 0.0
     back = np.zeros(capacity + 1, dtype=np.int64)
     for c in range(1, capacity + 1):
         gain = value[c - 1::-1] + price[1:c + 1]  # last piece of length 1..c
         best = int(gain.argmax())
-        if gain[best] > value[c - 1]:
+        if full or gain[best] > value[c - 1]:
             value[c], back[c] = gain[best], best + 1
         else:
             value[c] = value[c - 1]
+    return value, back
+
+
+def _priced_configurations(price: np.ndarray, capacity: int, near: float) -> list[dict[int, int]]:
+    """The configuration of the highest total price, and those above ``near``
+    of it that share no length with one before them; full ones if there are any.
+
+    One table gives the best configuration with any given length in it, so a
+    run prices many lengths; as they share none, their prices stay right."""
+    value, back = _knapsack(price, capacity, full=True)
+    if not np.isfinite(value[capacity]):
+        value, back = _knapsack(price, capacity, full=False)
     total = value[::-1] + price  # of the best configuration with a length
     total[0] = -np.inf
     wanted = np.flatnonzero(total >= near * value[capacity])
@@ -172,17 +190,20 @@ def _fullest(left: dict[int, int], capacity: int) -> dict[int, int]:
     steps = []
     reach = 1
     for length in sorted((n for n in left if n <= room), reverse=True):
-        for _ in range(min(left[length] - (length == longest), room // length, 8)):
-            steps.append((length, reach))
-            reach |= (reach << length) & ((1 << (room + 1)) - 1)
+        copies, n = min(left[length] - (length == longest), room // length), 1
+        while copies > 0:  # 1, 2, 4, ... and the rest at once: any number of copies
+            n = min(n, copies)
+            steps.append((length, n, reach))
+            reach |= (reach << n * length) & ((1 << (room + 1)) - 1)
+            copies, n = copies - n, 2 * n
         if reach >> room & 1:
             break
     at = reach.bit_length() - 1
     found = {longest: 1}
-    for length, before in reversed(steps):
+    for length, n, before in reversed(steps):
         if not before >> at & 1:
-            found[length] = found.get(length, 0) + 1
-            at -= length
+            found[length] = found.get(length, 0) + n
+            at -= n * length
     return found
 
 
@@ -213,14 +234,10 @@ def _completed(left: dict[int, int], capacity: int, fill) -> dict[tuple, int]:
     return plan
 
 
-def configurations(histogram: dict[int, int], capacity: int, step: float = 0.1, rate: float = 1.0,
-                   rounds: int = 300, rounded: float = 0.3, near: float = 0.97) -> list[tuple[dict[int, int], int]]:
-    """(configuration, sequences) pairs that hold every piece exactly once.
+def _solved(histogram: dict[int, int], capacity: int, step: float = 0.25, rate: float = 1.0, near: float = 0.9) -> dict[tuple, float]:
+    """Amounts of configurations that cover every length of the histogram.
 
-    Prices start convex in the length, as long pieces are the harder ones to
-    place; ``rounded`` is the share of the solution that is rounded down to
-    whole sequences, so that the rest leaves room for exact fills.
-    """
+    Prices start convex in the length, as long pieces are the harder ones to place."""
     n = np.zeros(capacity + 1)
     for length, count in histogram.items():
         n[length] = count
@@ -228,29 +245,62 @@ def configurations(histogram: dict[int, int], capacity: int, step: float = 0.1,
     covered = np.zeros(capacity + 1)
     price = np.where(n > 0, size, -np.inf)
     solution: dict[tuple, float] = {}
-    for _ in range(rounds):
-        if not (price > 0).any():
-            break
+    while (price > 0).any():  # every round covers ``step`` of a length, or the rest of it
         for best in _priced_configurations(price, capacity, near):
-            amount = step * min(n[length] / a for length, a in best.items())
-            solution[key] = solution.get(key := tuple(sorted(best.items())), 0.0) + amount
+            amount = min(min(step, 1 - covered[length]) * n[length] / a for length, a in best.items())
+            key = tuple(sorted(best.items()))
+            solution[key] = solution.get(key, 0.0) + amount
             for length, a in best.items():
                 covered[length] += amount * a / n[length]
                 price[length] = size[length] * math.exp(-rate * covered[length]) if covered[length] < 1 - 1e-9 else -np.inf
-    left = {length: int(count) for length, count in histogram.items() if count}
-    plan: dict[tuple, int] = {}
-    # whole sequences of the solution, those of the largest amounts first
-    for key, amount in sorted(solution.items(), key=lambda x: (-x[1], x[0])):
-        times = min([int(rounded * amount + 1e-9), *(left.get(length, 0) // a for length, a in key)])
+    return solution
+
+
+def _rounded(histogram: dict[int, int], capacity: int, solution: dict[tuple, float], rest: float) -> tuple[dict[tuple, int], dict[int, int]]:
+    """Whole sequences of ``solution`` and of the programs of what it leaves, up
+    to a share ``rest`` of the volume; and the pieces left."""
+    left, plan = dict(histogram), {}
+    total = open_volume = sum(length * count for length, count in left.items())
+
+    def take(key: tuple, times: int) -> int:
+        nonlocal open_volume
+        size = sum(length * a for length, a in key)
+        times = min([times, max(0, int((open_volume - rest * total) // size)), *(left[length] // a for length, a in key)])
         if times > 0:
             plan[key] = plan.get(key, 0) + times
+            open_volume -= size * times
             for length, a in key:
                 left[length] -= a * times
-    # the rest by the better of two completions, each longest piece first
-    rest = min((_completed(left, capacity, fill) for fill in (_fullest, _longest_first)), key=lambda c: sum(c.values()))
-    for key, times in rest.items():
-        plan[key] = plan.get(key, 0) + times
-    return [(dict(key), times) for key, times in plan.items()]
+        return max(times, 0)
+
+    while True:
+        order = sorted(solution.items(), key=lambda x: (-x[1], x[0]))
+        taken = sum(take(key, int(amount + 1e-9)) for key, amount in order)
+        taken += sum(take(key, 1) for key, _ in order if sum(length * a for length, a in key) == capacity)
+        if not taken or open_volume <= rest * total + capacity:
+            return plan, left
+        solution = _solved({length: count for length, count in left.items() if count}, capacity)
+
+
+def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(configuration, sequences) pairs that hold every piece exactly once.
+    ``configurations.share``: the volume placed by the program, of all."""
+    histogram = {length: int(count) for length, count in histogram.items() if count}
+    volume = sum(length * count for length, count in histogram.items())
+    solution = _solved(histogram, capacity)
+    best = None
+    for rest in RESTS:
+        plan, left = _rounded(histogram, capacity, solution, rest)
+        share = 1 - sum(length * count for length, count in left.items()) / volume if volume else 1.0
+        # the rest by the better of two completions, each longest piece first
+        last = min((_completed(left, capacity, fill) for fill in (_fullest, _longest_first)), key=lambda c: sum(c.values()))
+        for key, times in last.items():
+            plan[key] = plan.get(key, 0) + times
+        if best is None or sum(plan.values()) < (1 - SLIGHT) * sum(best.values()):
+            best, configurations.share = plan, share
+        if sum(best.values()) <= -(-volume // capacity):
+            break
+    return [(dict(key), times) for key, times in best.items()]
 
 
 def _segments(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:
