@@ -36,6 +36,7 @@ whole; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,72 +81,83 @@ def _middle() -> Column:
     return 1 + F.when(_forward(), half).otherwise(n - half)
 
 
+def _bits(letter: Column) -> tuple[Column, Column]:
+    """A letter as one bit of two longs: ``END`` and a to z, the others."""
+    code = F.ascii(letter)
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    zero = F.lit(0).cast("long")
+    return F.when(code == ord(END), bit(F.lit(0))).when(code < 128, bit(code - 96)).otherwise(zero), F.when(code >= 192, bit(code - 192)).otherwise(zero)
+
+
 def trie_spans(words: DataFrame, per_copy: int) -> DataFrame:
     """Per word of ``words`` (w) and node on its path that node and the next.
 
-    ``nexts``: letters that a node goes on with; ``least``, ``most``: letters
-    from there to the ends of words, ``END`` included."""
-    places = words.select("w", _middle().alias("middle"), F.explode(F.sequence(_middle(), F.length("w") - 1)).alias("at"))
+    ``low``, ``high``: letters that a node goes on with; ``least``, ``most``: letters
+    from there to the ends of words, ``END`` included; ``below``: one word that
+    comes to the node from another."""
+    places = words.select("w", F.xxhash64("w").alias("word"), _middle().alias("middle"), F.explode(F.sequence(_middle(), F.length("w") - 1)).alias("at"))
     a, b = _node(F.substring("w", F.lit(1), F.col("at")))
-    places = places.select("w", "middle", "at", a.alias("a"), b.alias("b"))
-    left, letter = F.length("w") - F.col("at"), F.substring("w", F.col("at") + 1, F.lit(1))
-    nodes = (places.groupBy("a", "b").agg(F.collect_set(letter).alias("cs"), F.count("*").alias("n"), F.min(left).alias("least"),
-                                          F.max(left).alias("most"), F.max(F.col("at") == F.col("middle")).alias("starts"))
-             .where((F.size("cs") > 1) | F.col("starts")))
-    nodes = nodes.select("a", "b", F.array_join("cs", "").alias("nexts"), "least", "most", F.ceil(F.col("n") / per_copy).cast("int").alias("copies"))
+    low, high = _bits(F.substring("w", F.col("at") + 1, F.lit(1)))
+    places = places.select("w", "word", "middle", "at", a.alias("a"), b.alias("b"))
+    left = F.length("w") - F.col("at")
+    nodes = (places.groupBy("a", "b").agg(F.bit_or(low).alias("low"), F.bit_or(high).alias("high"), F.count("*").alias("n"), F.min(left).alias("least"),
+                                          F.max(left).alias("most"), F.max((F.col("at") == F.col("middle")).cast("int")).alias("starts"), F.min(F.when(F.col("at") > F.col("middle"), F.col("word"))).alias("below"))
+             .where((F.bit_count("low") + F.bit_count("high") > 1) | (F.col("starts") == 1)))
+    nodes = nodes.select("a", "b", "low", "high", "least", "most", "below", F.ceil(F.col("n") / per_copy).cast("int").alias("copies"))
     path = Window.partitionBy("w").orderBy("at")
-    node = F.struct("at", "a", "b", "copies", "nexts", "least", "most")
-    return (places.join(nodes, ["a", "b"]).select("w", "middle", node.alias("up"), "at")
-            .select("w", "middle", "up", F.lead("up").over(path).alias("down")))
+    node = F.struct("at", "a", "b", "copies", "low", "high", "least", "most", "below")
+    return (places.join(nodes.hint("shuffle_hash"), ["a", "b"]).select("w", "word", "middle", node.alias("up"), "at")
+            .select("w", "word", "middle", "up", F.lead("up").over(path).alias("down")))
 
 
 def trie_edges(spans: DataFrame) -> DataFrame:
     """(a, b, copy, label, first, size, child_a, child_b, child_copies, leaf,
-    nexts, least, most) per edge, from ``trie_spans``."""
+    low, high, least, most) per edge, from ``trie_spans``: of the words below a
+    child one tells of the edge to it."""
     leaf = F.col("down").isNull()
     end_a, end_b = _node("w")
-    edges = spans.select(
+    nothing = F.lit(0).cast("long")
+    edges = spans.where(leaf | (F.col("down.below") == F.col("word"))).select(
         F.col("up.a").alias("a"), F.col("up.b").alias("b"), F.col("up.copies").alias("copies"),
         F.substring("w", F.col("up.at") + 1, F.coalesce("down.at", F.length("w")) - F.col("up.at")).alias("label"),
         F.coalesce("down.a", end_a).alias("child_a"), F.coalesce("down.b", end_b).alias("child_b"), F.coalesce("down.copies", F.lit(1)).alias("child_copies"),
-        F.when(leaf, F.col("w")).alias("leaf"), F.coalesce("down.nexts", F.lit("")).alias("nexts"),
+        F.when(leaf, F.col("w")).alias("leaf"), F.coalesce("down.low", nothing).alias("low"), F.coalesce("down.high", nothing).alias("high"),
         F.coalesce("down.least", F.lit(0)).alias("least"), F.coalesce("down.most", F.lit(0)).alias("most"))
-    once = edges.dropDuplicates(["child_a", "child_b"])  # a child has one edge, found from every word below
-    return once.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "label",
-                       F.expr("left(label, 1)").alias("first"), F.length("label").alias("size"), "child_a", "child_b", "child_copies", "leaf",
-                       "nexts", "least", "most")
+    return edges.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "label",
+                        F.expr("left(label, 1)").alias("first"), F.length("label").alias("size"), "child_a", "child_b", "child_copies", "leaf",
+                        "low", "high", "least", "most")
 
 
 def _steps(states: DataFrame, edges: DataFrame) -> DataFrame:
     """One level: every state through the edges of its node."""
     pos, size, label, middle = F.col("pos"), F.col("size"), F.col("label"), _middle()
     word = lambda start, n: F.substring("w", start + 1, n)
-    at_node = [states["at_a"] == edges["a"], states["at_b"] == edges["b"], states["at_copy"] == edges["copy"]]
-    own = F.substring("w", pos + 1, F.lit(1))
-    free = states.join(edges, [*at_node, states["edits"] == 0])
-    used = states.join(edges, [*at_node, states["edits"] == 1, own == edges["first"]])
-    # without an edit so far: the first place where label and word differ (most differ at their first letter)
+    own, unused = F.substring("w", pos + 1, F.lit(1)), F.col("edits") == 0
+    # with the edit used, only the own letter goes on
+    met = states.join(edges, (states["at_a"] == edges["a"]) & (states["at_b"] == edges["b"]) & (states["at_copy"] == edges["copy"])
+                      & ((states["edits"] == 0) | (F.substring(states["w"], states["pos"] + 1, F.lit(1)) == edges["first"])))
+    # the first place where label and word differ (most differ at their first letter)
     differ = F.array_position(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(label, i, F.lit(1)) == F.substring("w", pos + i, F.lit(1))),
                               F.lit(False)).cast("int") - 1
-    free = free.withColumn("exact", word(pos, size) == label)
-    free = free.withColumn("at", F.when(own != F.col("first"), 0).when(~F.col("exact"), differ))
+    met = met.withColumn("exact", word(pos, size) == label).where("edits = 0 or exact")
+    met = met.withColumn("at", F.when(own != F.col("first"), 0).when(~F.col("exact"), differ))
     at = F.col("at")
     mine, its = F.substring("w", pos + at + 1, F.lit(1)), F.substring(label, at + 1, F.lit(1))
-    other = (mine != END) & (mine < its) & (F.substring(label, at + 2, size) == word(pos + at + 1, size - at - 1))
-    without = (mine != END) & (F.substring(label, at + 1, size) == word(pos + at + 1, size - at))
+    other = unused & (mine != END) & (mine < its) & (F.substring(label, at + 2, size) == word(pos + at + 1, size - at - 1))
+    without = unused & ~F.col("exact") & (mine != END) & (F.substring(label, at + 1, size) == word(pos + at + 1, size - at))
     # a run of equal letters that reaches over the middle is found once, in the word as it is
     without = without & (_forward() | (F.replace(word(middle - 1, pos + at - middle + 2), mine, F.lit("")) != ""))
-    free = (free.withColumn("straight", F.col("exact") | other).withColumn("without", ~F.col("exact") & without)
-            .where("straight or without").withColumn("skips", F.explode(F.array(F.lit(0), F.lit(1))))
-            .where((F.col("skips") == 0) & F.col("straight") | (F.col("skips") == 1) & F.col("without")))
-    kept = ["w", "leaf", "child_a", "child_b", "child_copies", "nexts", "least", "most"]
-    free = free.select(*kept, (pos + size + F.col("skips")).alias("pos"), F.when(F.col("exact"), 0).otherwise(1).alias("edits"))
-    used = used.where(word(pos, size) == label).select(*kept, (pos + size).alias("pos"), F.lit(1).alias("edits"))
+    moved = (met.withColumn("straight", F.col("exact") | other).withColumn("without", without)
+             .where("straight or without").withColumn("skips", F.explode(F.array(F.lit(0), F.lit(1))))
+             .where((F.col("skips") == 0) & F.col("straight") | (F.col("skips") == 1) & F.col("without")))
+    moved = moved.select("w", "leaf", "child_a", "child_b", "child_copies", "low", "high", "least", "most",
+                         (pos + size + F.col("skips")).alias("pos"), F.when(F.col("exact"), F.col("edits")).otherwise(1).alias("edits"))
     left = F.length("w") - F.col("pos")
     ends = F.col("leaf").isNotNull() & (left == 0) & (F.col("edits") == 1)
+    low, high = _bits(F.substring("w", F.col("pos") + 1, F.lit(1)))
     goes_on = (F.col("leaf").isNull() & (left >= F.col("least")) & (left <= F.col("most") + 1 - F.col("edits"))
-               & ((F.col("edits") == 0) | F.contains(F.col("nexts"), F.substring("w", F.col("pos") + 1, F.lit(1)))))
-    return free.unionByName(used).where(ends | goes_on).select(
+               & ((F.col("edits") == 0) | (F.col("low").bitwiseAND(low) != 0) | (F.col("high").bitwiseAND(high) != 0)))
+    return moved.where(ends | goes_on).select(
         "w", "pos", F.col("child_a").alias("at_a"), F.col("child_b").alias("at_b"),
         F.pmod(F.xxhash64("w"), F.col("child_copies")).cast("int").alias("at_copy"), "edits", F.col("leaf").alias("found"))
 
@@ -155,7 +167,9 @@ def neighbours(words: DataFrame, per_copy: int = PER_COPY) -> DataFrame:
     both = words.select(F.explode(F.array(F.concat(F.lit(MARKS[0]), "word", F.lit(END)),
                                           F.concat(F.lit(MARKS[1]), F.reverse("word"), F.lit(END)))).alias("w"))
     spans = keep(trie_spans(both, per_copy), "trie-spans")
-    edges = keep(trie_edges(spans), "trie-edges")
+    # every level joins the edges: they are dealt and sorted once
+    node = ["a", "b", "copy"]
+    edges = trie_edges(spans).repartition(*node).sortWithinPartitions(*node).persist(StorageLevel.MEMORY_AND_DISK)
     states = spans.where("up.at = middle").select(
         "w", F.col("up.at").alias("pos"), F.col("up.a").alias("at_a"), F.col("up.b").alias("at_b"), F.lit(0).alias("edits"),
         F.pmod(F.xxhash64("w"), F.col("up.copies")).cast("int").alias("at_copy"))
@@ -164,14 +178,17 @@ def neighbours(words: DataFrame, per_copy: int = PER_COPY) -> DataFrame:
         inner = F.substring(w, F.lit(2), F.length(w) - 2)
         return F.when(_forward(), inner).otherwise(F.reverse(inner))
 
-    pairs, before = words.select(F.col("word").alias("a"), F.col("word").alias("b")).where(F.lit(False)), spans
+    pairs, before = words.select(F.col("word").alias("a"), F.col("word").alias("b")).where(F.lit(False)), None
     while not states.isEmpty():
         level = keep(_steps(states, edges), "frontier")
-        drop_kept(before)
+        if before is not None:
+            drop_kept(before)
         found = keep(level.where("found is not null").select(plain("w").alias("a"), plain("found").alias("b")), "pairs")
         pairs, states, before = pairs.unionByName(found), level.where("found is null"), level
-    drop_kept(edges)
-    drop_kept(before)
+    edges.unpersist()
+    drop_kept(spans)
+    if before is not None:
+        drop_kept(before)
     return pairs
 
 
