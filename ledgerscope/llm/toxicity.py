@@ -3,8 +3,9 @@
 Texts are folded first: compatibility forms, lower case, look-alike letters of
 other scripts, digits and symbols that stand for letters, invisible marks.
 The lexicon (whole words, and stems that begin a word) is learned from a
-bounded sample of labelled texts: log-odds of document frequencies, and the
-phrases around a word that occur in clean texts mostly become exceptions.  One
+bounded sample of labelled texts: log-odds of document frequencies, where near
+copies count as one text (or the rare words of a copied text would pass for toxic
+ones), and the phrases around a word that occur in clean texts mostly become exceptions.  One
 Aho-Corasick automaton matches words, stems and exceptions in one pass; a
 match inside an exception does not count.  The weight found, taken by the
 text's length, becomes a probability by a logistic curve fitted on the sample.
@@ -34,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import keep, map_arrow, ship_package
+from ledgerscope.llm.common import keep, map_arrow, pieces_of, ship_package, text_bytes
+from ledgerscope.llm.textscan import joined, mix, running, span_hash, windows, words
 
 SAMPLE, LEXICON = 20_000, 2_000
 FOLDS, HELD_OUT = 5, 0
 STEMS = range(3, 9)
+#: hashes of a text's sketch
+SKETCH = 16
 
 # fixed values: letters of other scripts that look like Latin ones
 LOOKALIKE = dict(zip("аеорсухіѕјкмтвнԁӏһԛԝαεοριντυκχɑɡı", "aeopcyxisjkmtbhdlhqwaeopivtukxagi"))
@@ -113,6 +117,48 @@ def _held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+_MIX = np.random.default_rng(17).integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
+
+
+def _sketches(batches):
+    """Smallest hashes of each text's runs of five words; none of shorter texts."""
+    for part in pieces_of(batches, 1 << 20):
+        buf, starts = joined(text_bytes(part.column("text")), lower=True)
+        begin, end, bounds = words(buf, starts)
+        runs, offsets = windows(span_hash(running(buf), begin, end), bounds, 5)
+        some = np.flatnonzero(np.diff(offsets))
+        least = np.stack([np.minimum.reduceat(mix(runs * m), offsets[some]) for m in _MIX], axis=1) if len(some) else np.zeros((0, SKETCH), np.uint64)
+        sketch: list = [None] * part.num_rows
+        for i, row in zip(some.tolist(), least):
+            sketch[i] = row.tobytes()
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(sketch, pa.binary())], ["doc_id", "toxic", "sketch"])
+
+
+def one_of_each(rows: list[tuple[int, int, bytes | None]]) -> list[tuple[int, int]]:
+    """(doc_id, toxic) of the smallest doc_id of each group of near copies: rows
+    (doc_id, toxic, sketch) of one label whose sketches agree in half their hashes or more."""
+    rows = sorted({(d, t): k for d, t, k in rows}.items())
+    sketch = [None if k is None else np.frombuffer(k, np.uint64) for _, k in rows]
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first: dict[tuple, int] = {}
+    for i, ((_, label), _) in enumerate(rows):
+        if sketch[i] is None:
+            continue
+        for band in range(0, SKETCH, 2):
+            j = first.setdefault((label, band, sketch[i][band:band + 2].tobytes()), i)
+            if j != i and 2 * (sketch[i] == sketch[j]).sum() >= SKETCH:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [rows[i][0] for i in range(len(rows)) if find(i) == i]
+
+
 def _word_counts(batches):
     """Texts in which a word or stem occurs, toxic and clean, of this task."""
     toxic, clean = Counter(), Counter()
@@ -199,11 +245,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     model = {"lexicon": {}, "exceptions": [], "curve": None, "share": n_toxic / max(1, n_toxic + n_clean)}
     if not n_toxic or not n_clean:
         return model
-    texts = chosen.dropDuplicates(["text", "toxic"]).repartition(16, "doc_id")
+    sketches = map_arrow(chosen.select("doc_id", "text", "toxic"), _sketches, "doc_id long, toxic int, sketch binary").collect()  # ``sample`` rows at most
+    single = one_of_each([(r["doc_id"], r["toxic"], None if r["sketch"] is None else bytes(r["sketch"])) for r in sketches])
+    n_toxic = sum(toxic for _, toxic in single)
+    n_clean = len(single) - n_toxic
+    kept = F.broadcast(docs.sparkSession.createDataFrame(single, "doc_id long, toxic int"))  # ``sample`` rows of two numbers at most
+    texts = chosen.join(kept, ["doc_id", "toxic"], "left_semi").dropDuplicates(["text", "toxic"]).repartition(16, "doc_id")
     weight = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) - math.log((n_toxic + 1) / (n_clean + 1))
     counts = keep(map_arrow(texts.select("text", "toxic"), _word_counts, "entry string, t long, c long").groupBy("entry")
                   .agg(F.sum("t").alias("t"), F.sum("c").alias("c")).withColumn("weight", weight), "toxic-words")
-    tests, share = counts.count(), max(1e-6, min(1 - 1e-6, model["share"]))
+    tests, share = counts.count(), max(1e-6, min(1 - 1e-6, n_toxic / len(single)))
     strong = (counts.where((F.col("t") >= 2) & (F.col("weight") >= 2) & (F.col("t") > 2 * F.col("c")))
               .orderBy(F.desc("t"), "entry").limit(LEXICON * 4).collect())  # bounded by the lexicon's size
     found = [(r["entry"], r["t"], r["c"], r["weight"]) for r in strong if _significant(r["t"], r["c"], share, tests)]
