@@ -61,6 +61,18 @@ def distance_points(scaled: DataFrame, cols: list[str]) -> DataFrame:
     return to_vector_points(scaled, "_rid", cols)
 
 
+def with_row_names(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` with a unique name per row: a hash of all columns and the number
+    of the row among those equal to it, so that names don't depend on how rows
+    lie in partitions.  Equal rows are counted, one line for all of them, and laid out
+    again (a negative zero as zero)."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
+    parts = [F.hex(F.xxhash64(F.lit(k), *cols)) for k in (0, 1)]
+    laid = counted.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return laid.select(*cols, F.concat_ws(":", *parts, F.col("_nth").cast("string")).alias(name))
+
+
 def _required(col: str):
     """The column, or an error for a row that a model gave no value."""
     return F.when(F.col(col).isNull(), F.raise_error(F.lit(f"a row has no {col}"))).otherwise(F.col(col)).alias(col)
@@ -72,12 +84,12 @@ def detect_generic(df: DataFrame, id_col: str | None = None, exclude=(),
 
     ``id_col`` names a unique non-null column, by which the forest draws its
     samples.  Without one, or where ids may repeat or be NULL, leave it out:
-    rows get numbers of their own (fixed by a checkpoint) and none is lost or
-    doubled.
+    rows get names of their own from their contents (``with_row_names``) and
+    none is lost or doubled.
     """
     checkpoint_dir(df.sparkSession)
     if id_col is None:
-        df = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+        df = with_row_names(df).checkpoint(eager=True)
     key = id_col or "_row"
     scaled, cols = prepare(df, key, exclude if id_col else (*exclude, "_row"))
     scaled = scaled.checkpoint(eager=True)  # read by the forest and the distance models
