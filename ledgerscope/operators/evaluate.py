@@ -135,6 +135,8 @@ def score_histogram(df: DataFrame, score: str, by: str, bins: int = 50) -> DataF
     """``bins``-bin histogram of ``score`` per value of ``by``, each group
     on its own min..max (max in the last bin; lo = hi -> lo-.5..hi+.5);
     empty bins are filled with 0 from a ``bins``-row grid."""
+    checkpoint_dir(df.sparkSession)
+    df = df.select(by, score).checkpoint(eager=True)  # read for the ranges and for the counts
     rng = df.groupBy(by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     lo = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo"))
     hi = F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi"))
@@ -154,3 +156,9 @@ def top_k(df: DataFrame, score: str, k: int, cols: list[str], tid: str = "transa
     """The k highest scores, ties by id (TakeOrderedAndProject: each
     task keeps k rows, the driver merges k * tasks)."""
     return df.orderBy(F.col(score).desc(), F.col(tid).asc()).limit(k).select(*cols)
+
+
+def head_sample(df: DataFrame, n: int = 5, order: tuple[str, ...] = ("transaction_id",)) -> DataFrame:
+    """T5: the first ``n`` rows in a stated order (a table's rows have none of
+    their own), with all columns."""
+    return df.orderBy(*order).limit(n)

@@ -10,7 +10,7 @@ from ledgerscope.functions.geo import haversine_sql
 from ledgerscope.operators import aggregates as A
 from ledgerscope.operators import supervised as M
 from ledgerscope.operators.evaluate import classification_report
-from ledgerscope.operators.features import FEATURE_COLS, category_codes, engineer_features
+from ledgerscope.operators.features import FEATURE_COLS, category_codes, engineer_features, feature_matrix
 from ledgerscope.operators.rules import run_rules
 from ledgerscope.plans.common import table, txn
 from ledgerscope.plans.oracle_sql import with_rules
@@ -106,6 +106,15 @@ _feature_query("txn_count_1h", ["transaction_id", "user_id", "txn_count_1h"])
 _feature_query("engineer_features", ["transaction_id", "user_id"] + FEATURE_COLS)
 
 
+@register("feature_matrix", with_features("SELECT transaction_id, " + ", ".join(
+    f"round(COALESCE(CAST({c} AS DOUBLE), 0.0), {_ROUND_F.get(c, 6)}) AS {c}" for c in FEATURE_COLS) + " FROM feat"))
+def q_feature_matrix(spark, sf):
+    # the vectors that the models read, taken apart again
+    from pyspark.ml.functions import vector_to_array
+    v = feature_matrix(features(spark, sf)).select("transaction_id", vector_to_array("features").alias("v"))
+    return v.select("transaction_id", *[F.round(F.col("v")[i], _ROUND_F.get(c, 6)).alias(c) for i, c in enumerate(FEATURE_COLS)])
+
+
 @register("category_encode", with_features("SELECT category, code AS category_encoded FROM fcat"))
 def q_category_encode(spark, sf):
     return category_codes(txn(spark, sf))
@@ -226,6 +235,14 @@ def _fitted(spark, sf):
     return M.train_and_score(features(spark, sf))
 
 
+@register("supervised_rows", SQL["stratified_split"])
+def q_supervised_rows(spark, sf):
+    # what can be said of the trained table without the trees: every row once, its label, its side of the split
+    scored = _fitted(spark, sf).scored
+    fine = (F.col("fraud_prob") >= 0) & (F.col("fraud_prob") <= 1) & ((F.col("fraud_prob") > 0.5).cast("int") == F.col("predicted_fraud_model"))
+    return scored.where(fine).select("transaction_id", "label", "is_test")
+
+
 @register("boosted_trees_scores")
 def q_gbt_scores(spark, sf):
     r = _fitted(spark, sf)

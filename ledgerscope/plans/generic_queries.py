@@ -186,6 +186,25 @@ def q_pca_projection(spark, sf):
                        F.lit(round(float(evr[0]), 6)).alias("evr1"), F.lit(round(float(evr[1]), 6)).alias("evr2"))
 
 
+# two columns have their principal axes in closed form
+PLANE_SQL = "WITH " + _scaled_sql("part", "p_partkey", ["p_size", "p_retailprice"]) + """,
+c AS (SELECT avg(x0) AS m0, avg(x1) AS m1, var_samp(x0) AS a, covar_samp(x0, x1) AS b, var_samp(x1) AS d FROM sc),
+e AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS l1 FROM c),
+v AS (SELECT *, CASE WHEN a >= d THEN l1 - d ELSE b END AS u0, CASE WHEN a >= d THEN b ELSE l1 - a END AS u1 FROM e),
+w AS (SELECT *, sqrt(u0 * u0 + u1 * u1) * sign(CASE WHEN abs(u0) >= abs(u1) THEN u0 ELSE u1 END) AS n1,
+             sqrt(u0 * u0 + u1 * u1) * sign(CASE WHEN abs(u1) >= abs(u0) THEN -u1 ELSE u0 END) AS n2 FROM v)
+SELECT id AS p_partkey, round(((x0 - m0) * u0 + (x1 - m1) * u1) / n1, 6) AS pc1, round((-(x0 - m0) * u1 + (x1 - m1) * u0) / n2, 6) AS pc2,
+       round(l1 / (a + d), 6) AS evr1, round((a + d - l1) / (a + d), 6) AS evr2 FROM sc, w"""
+
+
+@register("pca_plane", PLANE_SQL)
+def q_pca_plane(spark, sf):
+    scaled, _ = prepare(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", exclude=("p_partkey",))
+    proj, evr = pca_projection(scaled, "_rid", ["p_size", "p_retailprice"], 2)
+    return proj.select(F.col("_rid").alias("p_partkey"), F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"),
+                       F.lit(round(float(evr[0]), 6)).alias("evr1"), F.lit(round(float(evr[1]), 6)).alias("evr2"))
+
+
 @register("generic_pipeline")
 def q_generic(spark, sf):
     r = detect_generic(table(spark, sf, "part"), "p_partkey")
@@ -271,3 +290,35 @@ def q_ensemble_report(spark, sf):
     j = t.select("transaction_id", "is_fraud").join(r.df.select("transaction_id", "is_anomaly_ensemble"),
                                                    "transaction_id")
     return classification_report(j, "is_fraud", "is_anomaly_ensemble")
+
+
+# ---- the whole vote: forest, DBSCAN and LOF -------------------------------------
+
+@register("full_ensemble_vote")
+def q_full_vote(spark, sf):
+    # any table, no single unique id: rows are told apart by their contents
+    c = table(spark, sf, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
+    r = detect_generic(c)
+    return r.df.select("c_nationkey", "c_acctbal", "c_mktsegment", "anomaly_model_iforest", "anomaly_model_dbscan", "anomaly_model_lof",
+                       "anomaly_votes", "is_anomaly_ensemble")
+
+
+@register("full_vote_distribution")
+def q_full_vote_distribution(spark, sf):
+    return value_counts(detect_generic(table(spark, sf, "part"), "p_partkey").df, "anomaly_votes", descending=True)
+
+
+@register("lineitem_ensemble")
+def q_lineitem_ensemble(spark, sf):
+    # no column is unique: (l_orderkey, l_linenumber) is
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    r = detect_generic(items, exclude=("l_orderkey", "l_linenumber"))
+    return r.df.select("l_orderkey", "l_linenumber", "anomaly_model_iforest", "anomaly_model_dbscan", "anomaly_model_lof", "anomaly_votes",
+                       "is_anomaly_ensemble")
+
+
+@register("ensemble_members", PART_SQL + """
+SELECT db.id AS p_partkey, anomaly_model_dbscan, CAST(lof > 1.5 AS INTEGER) AS anomaly_model_lof FROM db JOIN lofs USING (id)""")
+def q_members(spark, sf):
+    # the members of the whole vote that have an SQL form, out of the same run
+    return detect_generic(table(spark, sf, "part"), "p_partkey").df.select("p_partkey", "anomaly_model_dbscan", "anomaly_model_lof")

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.geo import haversine_km, haversine_sql
 from ledgerscope.operators import aggregates as A
 from ledgerscope.operators import rules as R
+from ledgerscope.operators.evaluate import head_sample
 from ledgerscope.operators.sequence import TrailingCount, user_sequence
 from ledgerscope.operators.user_stats import (
     user_amount_stats, user_category_share, user_centers, user_hour_share)
 from ledgerscope.plans.common import rounded, table, txn
 from ledgerscope.plans.oracle_sql import RULE_CTES, with_rules
+from ledgerscope.session import checkpoint_dir
 from ledgerscope.sources import transactions as S
 from ledgerscope.sources.adapters import TXN_SQL
+from ledgerscope.sources.sinks import write_results
 
 Q: dict = {}
 SQL: dict = {}
@@ -332,3 +337,37 @@ SELECT rule, CAST(rule_order AS INTEGER) AS rule_order, ran, flagged FROM (
 def q_rules_run_report(spark, sf):
     r = R.run_rules(txn(spark, sf))
     return A.rules_run_report(r.df, r.ran)
+
+
+@register("amount_fallback", """
+SELECT s_suppkey AS amount, s_acctbal AS user_id, s_nationkey, s_name FROM supplier""")
+def q_amount_fallback(spark, sf):
+    # no column is named like an amount: the first number without another role is it
+    df, _ = S.map_generic_columns(table(spark, sf, "supplier"))
+    return df.select("amount", "user_id", "s_nationkey", "s_name")
+
+
+@register("global_user_velocity", """
+SELECT o_orderdate AS day, count(*) AS n_rows, CAST(count(*) AS INTEGER) AS most_in_window,
+       CAST(greatest(count(*) - 5, 0) AS BIGINT) AS n_flagged
+FROM orders GROUP BY o_orderdate""")
+def q_global_user_velocity(spark, sf):
+    # orders name no user: all rows are one user's, and all of a day lie at one time
+    df, _ = S.map_generic_columns(table(spark, sf, "orders"))
+    out, _ = R.detect_velocity(df)
+    return out.groupBy(F.col("timestamp").cast("date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("txn_count_in_window").alias("most_in_window"), F.sum("flag_velocity").alias("n_flagged"))
+
+
+@register("head_sample", "WITH " + TXN_SQL + " SELECT transaction_id, user_id, amount, category FROM txnm ORDER BY transaction_id LIMIT 5")
+def q_head_sample(spark, sf):
+    return head_sample(txn(spark, sf)).select("transaction_id", "user_id", "amount", "category")
+
+
+@register("written_results", with_rules("""
+SELECT transaction_id, fraud_score, predicted_fraud FROM scored"""))
+def q_written(spark, sf):
+    # the full result as files by verdict, read again
+    path = f"{checkpoint_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    write_results(scored(spark, sf).select("transaction_id", "fraud_score", "predicted_fraud"), path, partition_by=["predicted_fraud"])
+    return spark.read.parquet(path).select("transaction_id", "fraud_score", "predicted_fraud")

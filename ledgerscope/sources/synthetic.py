@@ -23,6 +23,7 @@ CITIES = {
 # fixed values: merchant categories (the first five are "usual" ones)
 CATEGORIES = ["grocery", "gas_transport", "food_dining", "shopping_net",
               "entertainment", "health_fitness", "electronics", "travel"]
+# fixed values: where users live, where fraud is placed, categories and kinds of fraud
 US_CITIES = ["New York", "Boston", "Chicago", "Los Angeles", "Miami"]
 FOREIGN_CITIES = ["Tokyo", "London", "Paris"]
 RARE_CATEGORIES = ["electronics", "travel", "entertainment"]
@@ -70,9 +71,6 @@ def synthetic_transactions(spark: SparkSession, n_users: int = 50, n_transaction
                             F.lit(5)) + 1) for k in range(3)]).alias("usual"),
                         (7 + F.floor(_u(seed, 7, F.col("user_id")) * 3)).cast("int").alias("active_start"),
                         (18 + F.floor(_u(seed, 8, F.col("user_id")) * 4)).cast("int").alias("active_end")))
-    # the profile table has exactly n_users rows: broadcast only while that is small
-    if n_users <= 1_000_000:
-        profiles = F.broadcast(profiles)
     i = F.col("id")
     tx = spark.range(0, n_transactions, numPartitions=num_partitions).select(
         i.alias("i"),
