@@ -69,4 +69,4 @@ Q = {f.__name__: f for f in (
     op1_minhash_dedup, op2_best_fit_packing, op3_quality_rules, op4_quality_classifier, op5_toxicity, op6_exact_dedup,
     op7_secret_scan, op8_token_counts, op9_source_mixing, op10_suffix_dedup, op11_sharding, op12_spelling_variants,
     op13_hard_negatives)}
-SQL = {"op6_exact_dedup": exact_dedup.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
+SQL = {"op6_exact_dedup": exact_dedup.ORACLE, "op12_spelling_variants": spelling.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}

@@ -216,3 +216,31 @@ def spelling_groups(docs: DataFrame, per_copy: int = PER_COPY) -> DataFrame:
                                 F.when(has, -F.col("best.n")).alias("form_n")), "forms")
     roots = _roots(formed.where("form is not null").select("word", "form"))
     return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+# crc32 by its table, UTF-8 of letters up to U+00FF, neighbours by what is left without one letter
+ORACLE = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+           CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[{LETTERS}]{{{LEAST_LENGTH},}}')), '{UPPER}', '{LOWER}') AS run FROM documents),
+once AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(name) + 1), lambda i:
+           CASE WHEN unicode(name[i]) < 128 THEN [CAST(unicode(name[i]) AS BIGINT)] ELSE [195, CAST(unicode(name[i]) - 64 AS BIGINT)] END))),
+           lambda c, b: xor(c // 256, steps[CAST(xor(c, b) % 256 AS INTEGER) + 1])), 4294967295) AS h FROM once, crc),
+cut AS (SELECT n, CASE WHEN h % {CUT_EVERY} = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+less AS (SELECT word, i, word[1:i] || word[i + 2:] AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+shorter AS (SELECT DISTINCT less.word AS a, w.word AS b FROM less JOIN w ON less.d = w.word),
+near AS (SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter
+         UNION ALL SELECT DISTINCT x.word, y.word FROM less x JOIN less y ON x.d = y.d AND x.i = y.i AND x.word <> y.word),
+best AS (SELECT a, count(*) OVER (PARTITION BY a) AS n_near, b, w.n AS bn FROM near JOIN w ON near.b = w.word
+         QUALIFY row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) = 1),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= {FORM_RATIO} * n THEN b END AS form, CASE WHEN bn >= {FORM_RATIO} * n THEN bn END AS form_n
+           FROM w LEFT JOIN best ON w.word = best.a),
+chain(word, via) AS (SELECT word, word FROM formed
+                    UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON chain.via = formed.word WHERE formed.form IS NOT NULL)
+SELECT f.word, f.form, chain.via AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN chain USING (word) JOIN formed last ON chain.via = last.word AND last.form IS NULL
+"""
