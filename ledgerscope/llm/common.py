@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -17,21 +18,41 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_scratch: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share (inside ``scratch``, in its own part of it)."""
+    folder = _scratch[-1] if _scratch else checkpoint_dir(spark).rstrip("/")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables that are made inside go at the end; a result that
+    reads them has to be written before, under a path from outside."""
+    _scratch.append(shared_path(spark, "scratch"))
+    try:
+        yield _scratch[-1]
+    finally:
+        _delete(spark, _scratch.pop())
 
 
 #: Spark removes the shuffle files of a query at its end
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later steps start
     from the files, whatever executors are lost, and do the work once.  What is
     written needs its shuffle files no more, so disk use doesn't add up."""
     spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(_CLEAN, "false")
+    path, before = path or shared_path(spark, name), spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
         df.write.parquet(path)
@@ -44,9 +65,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def drop_kept(table: DataFrame) -> None:
     """Delete a table of ``keep`` that no later step reads."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.kept_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(table.sparkSession, table.kept_at)
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
