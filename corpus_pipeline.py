@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.llm import exact_dedup, minhash, mixing, packing, toxicity
-from ledgerscope.llm.common import keep
+from ledgerscope.llm.common import drop_kept, keep, scratch, shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; a stage's intermediate tables go when its result is written,
+    and a result goes when the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_path(spark, f"stage-{name}")
+        with scratch(spark):
+            docs = keep(stage(spark, docs, sf_dir), name, path)
+        if before is not None:
+            drop_kept(before)
+        before = docs
     return docs
