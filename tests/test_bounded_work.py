@@ -15,60 +15,57 @@ def _frame(spark, x):
     return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "v": list(x)})).selectExpr("id", "v")
 
 
-@pytest.fixture(scope="module")
-def cloud(spark):
-    """100,000 points: spread out, one dense cluster, a few around it, one far away."""
+def _cloud(n):
+    """``n`` points: spread out, one dense cluster, a few around it, one far away."""
     rng = np.random.default_rng(21)
-    x = np.vstack([rng.normal(size=(60_000, 2)), 4 + rng.normal(scale=1e-5, size=(39_900, 2)),
-                   4 + rng.uniform(-0.3, 0.3, (99, 2)), [[1e7, -1e7]]])
-    groups, rowmap = collapse(_frame(spark, x), "id")
-    return x, groups, cell_tree(groups)
-
-
-def test_knn_meets_few_points_per_query(cloud):
-    x, groups, tree = cloud
-    k = 20
-    cells = query_cells(tree, k + 1).groupBy("gid").agg(F.sum("m").alias("met"), F.count(F.lit(1)).alias("cells"))
-    r = cells.agg(F.max("met"), F.avg("met"), F.count(F.lit(1)), F.max("cells")).first()
-    assert r[2] == len(x) and r[0] <= 100 * LEAF and r[1] <= 12 * LEAF
-    got = {}
-    asked = [0, 1, 2, 59_999, 60_000, 70_000, 99_899, 99_900, 99_950, len(x) - 2, len(x) - 1]
-    for row in knn(groups, k, include_self=False, tree=tree).where(F.col("qid").isin(asked)).collect():
-        got.setdefault(row["qid"], []).append((row["d"], row["nid"]))
-    for i in asked:
-        d = np.sqrt(((x - x[i]) ** 2).sum(1))
-        d[i] = np.inf
-        assert [d_ for d_, _ in sorted(got[i])] == pytest.approx(np.sort(d)[:k].tolist(), rel=1e-12)
-
-
-def test_radius_counts_pair_only_the_border(spark, cloud):
-    x, groups, tree = cloud
+    return np.vstack([rng.normal(size=(n * 6 // 10, 2)), 4 + rng.normal(scale=1e-5, size=(n * 4 // 10 - 100, 2)),
+                      4 + rng.uniform(-0.3, 0.3, (99, 2)), [[1e7, -1e7]]])
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    return cell_tree(collapse(_frame(spark, _cloud(100_000)), "id")[0])
+
+
+def test_knn_meets_few_points_per_query(tree):
+    cells = query_cells(tree, 21).groupBy("gid").agg(F.sum("m").alias("met"))
+    r = cells.agg(F.max("met"), F.avg("met"), F.count(F.lit(1))).first()
+    assert r[2] == 100_000 and r[0] <= 100 * LEAF and r[1] <= 12 * LEAF
+
+
+def test_radius_counts_pair_only_the_border(tree):
     # all of the dense cluster lies within one radius: no point of it is paired with another
-    asked = [0, 60_000, 99_000, 99_900, len(x) - 1]
-    for eps, most in ((0.01, 100), (0.5, 100)):
-        _, crossed = radius_cells(tree, eps)
-        met = crossed.groupBy("gid").agg(F.sum("m").alias("met")).agg(F.max("met"), F.sum("met")).first()
-        assert met[0] <= most * LEAF and met[1] <= 60 * LEAF * len(x)
-    got = {r["qid"]: r["n_within"] for r in radius_counts(groups, 0.01).where(F.col("qid").isin(asked)).collect()}
-    assert got == {i: int((np.sqrt(((x - x[i]) ** 2).sum(1)) <= 0.01).sum()) for i in asked}
-
-
-@pytest.mark.parametrize("leaf", [4])
-def test_tree_of_odd_tables(spark, leaf):
-    for x in ([[1.0, 2.0]] * 5, [[0.0, 0.0], [0.0, 1e-300], [1e300, 0.0], [-1e300, 5.0], [0.0, 0.0]],
-              [[float(i % 7), 0.0] for i in range(50)], [[float(2 ** i), float(-2 ** i)] for i in range(0, 60, 3)]):
+    whole, crossed = radius_cells(tree, 0.01)
+    met = crossed.groupBy("gid").agg(F.sum("m").alias("met")).agg(F.max("met"), F.sum("met")).first()
+    assert met[0] <= 100 * LEAF and met[1] <= 60 * LEAF * 100_000
+    assert whole.groupBy("gid").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] >= 39_900
+
+
+def test_outlier_and_cluster_by_brute_force(spark):
+    x = _cloud(3_000)
+    groups, _ = collapse(_frame(spark, x), "id")
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    got = {r["qid"]: r["kd"] for r in knn(groups, 20, include_self=False).groupBy("qid").agg(F.max("d").alias("kd")).collect()}
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, 19]
+    assert [got[i] for i in range(len(x))] == pytest.approx(want.tolist(), rel=1e-12)
+    np.fill_diagonal(d, 0)
+    counts = {r["qid"]: r["n_within"] for r in radius_counts(groups, 0.05).collect()}
+    assert [counts[i] for i in range(len(x))] == (d <= 0.05).sum(axis=1).tolist()
+
+
+def test_tree_of_odd_tables(spark):
+    for x in ([[1.0, 2.0]] * 5, [[0.0, 0.0], [0.0, 1e-300], [1e300, 0.0], [-1e300, 5.0], [0.0, 0.0], [float(2 ** 20), 3.0]]):
         x = np.array(x)
         groups, rowmap = collapse(_frame(spark, x), "id")
-        k = min(3, len(x) - 1)
-        near = rowmap.join(knn(groups, k, include_self=False, max_candidates=leaf).groupBy("qid").agg(F.max("d").alias("kd"), F.sum("take").alias("n")),
+        near = rowmap.join(knn(groups, 3, include_self=False, max_candidates=2).groupBy("qid").agg(F.max("d").alias("kd"), F.sum("take").alias("n")),
                            F.col("gid") == F.col("qid")).collect()
-        counts = {r["id"]: r["n_within"] for r in rowmap.join(radius_counts(groups, 1.0, leaf=leaf), F.col("gid") == F.col("qid")).collect()}
+        counts = {r["id"]: r["n_within"] for r in rowmap.join(radius_counts(groups, 1.0, leaf=2), F.col("gid") == F.col("qid")).collect()}
         assert len(near) == len(x) == len(counts)
         for r in near:
             with np.errstate(over="ignore"):
                 d = np.sqrt(((x - x[r["id"]]) ** 2).sum(1))
-            assert counts[r["id"]] == (d <= 1.0).sum() and r["n"] == k
-            assert r["kd"] == np.sort(np.delete(d, r["id"]))[k - 1]
+            assert counts[r["id"]] == (d <= 1.0).sum() and r["n"] == 3 and r["kd"] == np.sort(np.delete(d, r["id"]))[2]
 
 
 def test_hot_user_inside_one_hour(spark):
