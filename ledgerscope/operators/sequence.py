@@ -14,7 +14,8 @@ Here both are avoided:
   spread over many tasks.
 * What a bucket's first row needs from before, the count so far and the last row, comes from
   a table with one row per ``(user, bucket)``: a running sum over a user's
-  buckets, not over its rows.
+  buckets, not over its rows.  It is joined after the events are sorted, so that
+  a task sorts narrow rows.
 
 So the running sum has two levels, over buckets and inside a bucket; no row is
 copied as context, and the events move once.  Rows with a NULL user or time
@@ -172,24 +173,26 @@ def user_sequence(df: DataFrame, *, user: str = "user_id", ts: str = "timestamp"
         events = events.repartition(num_partitions, *keys)
     else:
         events = events.repartition(*keys)
-    events = events.join(carried, keys, "left")
     # at one time, expiries come before arrivals
     inside = Window.partitionBy(*keys).orderBy(F.col("_at"), arrived, F.col(tid))
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = events
+    out = events.withColumns({f"_in{n}": F.sum(s).over(so_far) for n, s in steps.items()})
+    if previous:
+        out = out.withColumn("_lagged", F.last(F.when(arrived, payload), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    # what a bucket and its user carry is wide: it meets the rows after they are sorted, in the same tasks
+    out = out.where(arrived).join(carried, keys, "left")
     for i, c in enumerate(counts):
-        n = F.col(f"_carry_step{i}") + F.sum(steps[f"_step{i}"]).over(so_far)
+        n = F.col(f"_carry_step{i}") + F.col(f"_in_step{i}")
         if c.cap is not None:
             n = F.least(n, F.lit(c.cap))
         out = out.withColumn(c.name, F.when(valid, n).otherwise(F.lit(0)).cast("int"))
     extra = [c.name for c in counts]
     if previous:
-        lagged = F.last(F.when(arrived, payload), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-        out = out.withColumn("_prev", F.when(valid, F.coalesce(lagged, F.col("_bprev"))))
+        out = out.withColumn("_prev", F.when(valid, F.coalesce(F.col("_lagged"), F.col("_bprev"))))
         out = out.withColumn("_prev_us", F.col("_prev._us"))
         for c in previous:
             out = out.withColumn(f"_prev_{c}", F.col(f"_prev.{c}"))
         extra += ["_prev_us"] + [f"_prev_{c}" for c in previous]
     if per_user is not None:
         extra += [c for c in per_user.columns if c != user]
-    return out.where(arrived).select(*cols, us, *extra)
+    return out.select(*cols, us, *extra)
