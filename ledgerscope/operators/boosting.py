@@ -10,8 +10,10 @@ gets ``nodes x features x bins`` numbers whatever the number of rows, takes each
 
 among splits whose sides both weigh ``min_child_weight`` in hessian; a leaf is worth
 ``-G / (H + l2)`` times the learning rate.  Blocks carry the margin of all
-trees but the last few, whose contribution is added on the way; every ``KEEP_EVERY``
-trees the blocks are written to the checkpoint folder anew, which cuts their lineage.
+finished trees: the first level of a tree adds the one before and keeps the blocks in memory;
+every ``KEEP_EVERY`` trees they are written to the checkpoint folder, which cuts
+their lineage.  A task takes many blocks and gives their sum, so a level has as many
+tasks and sums as the cluster has cores (``DIRECT_SUMS`` at least), not as there are blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.session import checkpoint_dir, ship_package
 
-#: bins of a feature, rows of a block, trees between two rewrites of the blocks
+#: bins of a feature, rows of a block, trees between two checkpoints of the blocks
 BINS, BLOCK_ROWS, KEEP_EVERY = 256, 16_384, 10
 #: blocks' sums that the driver adds up itself; more are added in the cluster first
 DIRECT_SUMS = 32
@@ -49,11 +51,16 @@ class Tree:
 
     def leaf_of(self, x: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """The node of each row; ``cut``: bins or thresholds, as ``x`` has."""
-        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        flat, first = np.ravel(x), np.arange(len(x)) * x.shape[1]
+        # a leaf sends its rows to itself: one step is the same for all nodes
+        split, ids = self.feature >= 0, np.arange(len(self.feature))
+        feature, left, step = np.maximum(self.feature, 0).astype(np.int64), np.where(split, 2 * ids + 1, ids), split.astype(np.int64)
+        node = np.zeros(len(x), np.int64)
         for _ in range(int(np.log2(len(self.feature) + 1)) - 1):
-            f = self.feature[node]
-            down = 2 * node + 1 + (x[rows, np.maximum(f, 0)] > cut[node])
-            node = np.where(f >= 0, down, node)
+            if not split.take(node).any():
+                break
+            right = flat.take(first + feature.take(node)) > cut.take(node)
+            node = left.take(node) + right * step.take(node)
         return node
 
 
@@ -117,17 +124,15 @@ def _blocks(cuts: list[np.ndarray]):
     return run
 
 
-def _advanced(trees: list[Tree]):
-    """Blocks with the margin of ``trees`` added."""
+def _advanced(tree: Tree):
+    """Blocks with the margin of ``tree`` added."""
     def run(block):
         bins, y, w, margin = block
-        for t in trees:
-            margin = margin + t.value[t.leaf_of(bins, t.bin)]
-        return bins, y, w, margin
+        return bins, y, w, margin + tree.value[tree.leaf_of(bins, tree.bin)]
     return run
 
 
-def _sums(trees: list[Tree], tree: Tree, nodes: np.ndarray):
+def _sums(tree: Tree, nodes: np.ndarray):
     """Per partition the (2, nodes, features, bins) sums of gradient and hessian."""
     slot = np.full(len(tree.feature), -1)
     slot[nodes] = np.arange(len(nodes))
@@ -135,7 +140,7 @@ def _sums(trees: list[Tree], tree: Tree, nodes: np.ndarray):
     def run(blocks):
         total = None
         for block in blocks:
-            bins, y, w, margin = _advanced(trees)(block)
+            bins, y, w, margin = block
             p = 1 / (1 + np.exp(-margin))
             at = slot[tree.leaf_of(bins, tree.bin)]
             some = np.flatnonzero(at >= 0)
@@ -179,14 +184,18 @@ def fit(df: DataFrame, x: str, label: str, weight: str, n_trees: int, max_depth:
         return model
     cuts = cut_points(df, x, model.n_features)
     rows = df.select(x, F.col(label).cast("double"), F.col(weight).cast("double"))
-    blocks = rows.rdd.coalesce(max(1, -(-df.count() // BLOCK_ROWS))).mapPartitions(_blocks(cuts))  # no more tasks than blocks
+    tasks = min(-(-df.count() // BLOCK_ROWS), max(DIRECT_SUMS, spark.sparkContext.defaultParallelism))  # no more than blocks
+    blocks = rows.rdd.coalesce(max(1, tasks)).mapPartitions(_blocks(cuts))
     blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
-    since: list[Tree] = []  # trees whose margin the blocks don't carry yet
-    for _ in range(n_trees):
+    before = None  # the blocks of the tree before, until those of this one are made
+    for nth in range(n_trees):
         tree, nodes = Tree.empty(max_depth), np.array([0])
         for level in range(max_depth + 1):
-            parts = blocks.mapPartitions(_sums(since, tree, nodes))
+            parts = blocks.mapPartitions(_sums(tree, nodes))
             sums = parts.treeReduce(np.add, depth=1 if blocks.getNumPartitions() <= DIRECT_SUMS else 2)
+            if before is not None:
+                before.unpersist()
+                before = None
             sums = sums.reshape(2, model.n_features, len(nodes), BINS)
             gain, feature, cut, g, h = _best_splits(sums, cuts, l2, min_child_weight)
             tree.value[nodes] = -learning_rate * g / (h + l2)
@@ -205,12 +214,9 @@ def fit(df: DataFrame, x: str, label: str, weight: str, n_trees: int, max_depth:
             if not len(nodes):
                 break
         model.trees.append(tree)
-        since.append(tree)
-        if len(since) == KEEP_EVERY:
-            moved = blocks.map(_advanced(since)).persist(StorageLevel.MEMORY_AND_DISK)
-            moved.checkpoint()
-            moved.count()
-            blocks.unpersist()
-            blocks, since = moved, []
+        if nth < n_trees - 1:
+            before, blocks = blocks, blocks.map(_advanced(tree)).persist(StorageLevel.MEMORY_AND_DISK)
+            if (nth + 1) % KEEP_EVERY == 0:
+                blocks.checkpoint()
     blocks.unpersist()
     return model
