@@ -80,7 +80,7 @@ def engineer_features(df: DataFrame, window_seconds: int = FEATURE_WINDOW_SECOND
     has_amt = "amount" in cols and has_user
     has_loc = {"lat", "lon"} <= cols and has_user
     sequence = has_ts and has_user and want("time_since_last_txn", "txn_count_1h")
-    most_rows, fullest = busiest(df) if sequence else (None, None)
+    most_rows, fullest, n_rows = busiest(df) if sequence else (None, None, None)
     medians = {}
     if has_amt and want("amount_to_median"):
         medians["amount_median"] = "amount"
@@ -99,7 +99,7 @@ def engineer_features(df: DataFrame, window_seconds: int = FEATURE_WINDOW_SECOND
         cap = None if lookback_rows is None else lookback_rows + 1
         counts = (TrailingCount("txn_count_1h", window_seconds * 1_000_000, cap, True),) if want("txn_count_1h") else ()
         previous = ("timestamp",) if want("time_since_last_txn") else ()
-        out = user_sequence(out, counts=counts, previous=previous, per_user=per_user, fullest=fullest)
+        out = user_sequence(out, counts=counts, previous=previous, per_user=per_user, fullest=fullest, n_rows=n_rows)
         if previous:
             gap = (F.col("_us") - F.col("_prev_us")) / F.lit(1e6)
             out = out.withColumn("time_since_last_txn", F.coalesce(gap, F.lit(-1.0)))

@@ -188,7 +188,7 @@ def run_rules(df: DataFrame, *, z_threshold: float = Z_THRESHOLD, distance_thres
     category counts) is attached to the table of ``(user, day)`` buckets that
     the sequence rules need anyway, and this table is joined to the rows, which
     move once.  Small jobs while this is called ask for the sizes on which
-    the plan depends: rows of the busiest user and day, number of categories."""
+    the plan depends: rows of the table, of the busiest user and day, number of categories."""
     ran = can_run(df)
     cols = df.columns
     out = df
@@ -202,9 +202,9 @@ def run_rules(df: DataFrame, *, z_threshold: float = Z_THRESHOLD, distance_thres
     if ran["geo_speed"]:
         previous = ("lat", "lon")
     if counts:
-        most_rows, fullest = busiest(df)
+        most_rows, fullest, n_rows = busiest(df)
     else:
-        most_rows, fullest = None, None
+        most_rows, fullest, n_rows = None, None, None
 
     # a user of very many rows has its medians selected by passes, not in one buffer
     medians = {"center_lat": "lat", "center_lon": "lon"} if ran["location"] else {}
@@ -217,7 +217,7 @@ def run_rules(df: DataFrame, *, z_threshold: float = Z_THRESHOLD, distance_thres
     if by_passes:
         per_user = per_user.join(user_centers(df), "user_id", "left")
     if counts or previous:
-        out = user_sequence(out, counts=counts, previous=previous, per_user=per_user, fullest=fullest)
+        out = user_sequence(out, counts=counts, previous=previous, per_user=per_user, fullest=fullest, n_rows=n_rows)
     elif per_user is not None:
         out = out.join(per_user, "user_id", "left")
 

@@ -39,6 +39,8 @@ SECOND_US = 1_000_000
 DAY_US = 86_400 * SECOND_US
 #: events of one user in one bucket, about; halvings of a day at most
 HOT_ROWS, HALVINGS = 50_000, 26
+#: events that a task sorts, about, once there are more of these tasks than cores
+TASK_EVENTS = 250_000
 
 
 @dataclass(frozen=True)
@@ -84,19 +86,22 @@ def hot_buckets(events: DataFrame, user: str, at: str, bucket_us: int, hot_rows:
     return fullest.groupBy(user, "_day").agg(F.coalesce(F.min(F.when(F.col("_n") <= hot_rows, F.col("_h"))), F.lit(HALVINGS)).alias("_halvings"))
 
 
-def busiest(df: DataFrame, user: str = "user_id", ts: str = "timestamp", bucket_us: int = DAY_US) -> tuple[int, int]:
-    """Rows of the user with most, and of the (user, bucket) with most."""
+def busiest(df: DataFrame, user: str = "user_id", ts: str = "timestamp", bucket_us: int = DAY_US) -> tuple[int, int, int]:
+    """Rows of the user with most, of the (user, bucket) with most, and of the table."""
     day = F.floor(epoch_micros(ts) / bucket_us).alias("_day")
-    days = df.where(F.col(user).isNotNull()).groupBy(user, day).agg(F.count(F.lit(1)).alias("_n"))
-    r = days.groupBy(user).agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_most")).agg(F.max("_rows"), F.max("_most")).first()
-    return r[0] or 0, r[1] or 0
+    days = df.groupBy(user, day).agg(F.count(F.lit(1)).alias("_n"))
+    users = days.groupBy(user).agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_most"))
+    known = lambda c: F.max(F.when(F.col(user).isNotNull(), F.col(c)))
+    r = users.agg(known("_rows"), known("_most"), F.sum("_rows")).first()
+    return r[0] or 0, r[1] or 0, r[2] or 0
 
 
 def user_sequence(df: DataFrame, *, user: str = "user_id", ts: str = "timestamp",
                   tid: str = "transaction_id", counts: tuple[TrailingCount, ...] = (),
                   previous: tuple[str, ...] = (), bucket_us: int = DAY_US,
                   num_partitions: int | None = None, hot_rows: int = HOT_ROWS,
-                  per_user: DataFrame | None = None, fullest: int | None = None) -> DataFrame:
+                  per_user: DataFrame | None = None, fullest: int | None = None,
+                  n_rows: int | None = None) -> DataFrame:
     """Add trailing counts and previous-row columns.
 
     Adds one column per ``TrailingCount`` (0 for a NULL user or time) and,
@@ -106,8 +111,10 @@ def user_sequence(df: DataFrame, *, user: str = "user_id", ts: str = "timestamp"
     ``per_user``, one row per user, is attached to the table of buckets and so
     reaches all rows of a user without moving them again.
 
-    ``fullest``: rows of the busiest (user, bucket), counted by a small job while this is
-    called if not given; it only decides whether buckets are cut.
+    ``fullest``, ``n_rows``: rows of the busiest (user, bucket) and of the table, counted by a small
+    job while this is called if not given; they only decide whether buckets are cut
+    and into how many tasks the events are dealt (``num_partitions`` if given), so
+    that what a task sorts doesn't grow with the table.
     """
     cols = df.columns
     us = "_us"
@@ -128,8 +135,11 @@ def user_sequence(df: DataFrame, *, user: str = "user_id", ts: str = "timestamp"
         return (rows.withColumn("_e", F.explode(F.when(valid, all_of).otherwise(F.array(arrival))))
                 .withColumn("_kind", F.col("_e.kind")).withColumn("_at", F.col("_e.at")).drop("_e"))
 
-    if fullest is None:
-        fullest = busiest(df, user, ts, bucket_us)[1]
+    if fullest is None or n_rows is None:
+        _, fullest, n_rows = busiest(df, user, ts, bucket_us)
+    needed = -(-n_rows * (1 + len(counts)) // TASK_EVENTS)
+    if num_partitions is None and needed > df.sparkSession.sparkContext.defaultParallelism:
+        num_partitions = needed
     day = F.floor(F.col("_at") / bucket_us).cast("long")
     # a bucket has its arrivals and the expiries of two buckets' arrivals at most, or of a longer window's
     reach = sum(2 + -(-c.window_us // bucket_us) for c in counts)
