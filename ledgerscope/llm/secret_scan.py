@@ -3,8 +3,14 @@
 The patterns give the base findings.  Candidates are all runs of characters
 that keys and tokens are made of, of any length, divided where a base finding
 begins or ends.  A convolutional network over the candidate and its surroundings,
-in numpy, is trained on a bounded sample of them, labelled by whether a base
-finding covers them.
+in numpy, is trained on them, labelled by whether a base finding covers them.
+
+The fit covers all candidates.  A fifth of the texts, chosen by hash, is kept aside.  A
+bounded sample of the rest only gives the network its start (``train``).  Then follows an epoch over
+every candidate of the rest: each of ``STEPS`` jobs reads the candidates of its share of the texts
+and all known secrets, and adds up the gradient of a hinge loss, which is zero for candidates
+beyond the margin; the driver gets sums only.  The sums are whole numbers, so they don't depend on how the rows are dealt out.
+Calibration and threshold come from all candidates kept aside, counted by score.
 
 So that it learns what secrets look like and not the patterns once more, each known
 secret is also shown in other guises: cut shorter, in capitals or with its characters exchanged for
@@ -16,11 +22,11 @@ A candidate longer than ``INSIDE`` is seen whole, in windows that overlap by hal
 and has the highest of their probabilities.  The threshold is the highest that still finds
 ``RECALL`` of the known secrets kept aside, in all their guises.  Candidates
 above it that no base finding covers are added as kind ``model``; base findings stay.
-Below ``LEAST_KNOWN`` known secrets in the sample there is too little to learn from, and nothing is added.
+Below ``LEAST_KNOWN`` different known secrets there is too little to learn from, and nothing is added.
 
 The convolution runs once over a text; a window's maxima come from maxima over
 stretches of 1, 2, 4, ... places, so the cost is one per character, however many
-windows there are, and no window but those of the sample leaves its task.
+windows there are, and no window but those of the sample and of the known secrets leaves its task.
 
 Defined results: null and empty text have no finding; without candidates of
 both classes, or with fewer known secrets than ``LEAST_KNOWN``, nothing is added; rows that repeat a doc_id are scanned each; a
@@ -38,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import keep, map_arrow, pieces_of
+from ledgerscope.llm.textscan import mix, running, span_hash
 
 # fixed values: the base patterns, with the least length of the part that counts
 KINDS = ("assign", "access", "hex")
@@ -48,8 +55,14 @@ _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _MARKS = np.array([chr(c).isalnum() or chr(c) in "+/_.=-" for c in range(128)])
 
 SAMPLE, RECALL = 8_000, 0.98
-#: known secrets in the sample from which on the network is used; guises of each
+#: different known secrets from which on the network is used; guises of each
 LEAST_KNOWN, GUISES = 50, 8
+#: one text in ``FOLDS`` is kept aside; steps in which the others are read; margin of the loss
+FOLDS, STEPS, MARGIN = 5, 16, 2.0
+#: a gradient's unit, and parts of 1 in which scores are counted
+UNIT, GRAIN = 2.0**-32, 1024
+#: rate of the fit; weight of ordinary unknown candidates, keylike ones and known secrets, as in the start's sample
+RATE, WEIGHTS = 0.02, (1 / 3, 1 / 6, 1 / 2)
 #: a secret cut shorter has so many characters at least
 SHORTEST = 16
 #: share of a weight that a step's gradient adds
@@ -150,34 +163,39 @@ def _pieces(batches, limit: int):
         yield part.column("doc_id").to_pylist(), founds, _Candidates(texts, founds)
 
 
-_FACTORS = np.random.default_rng(29).integers(1, 2**63, LENGTH, dtype=np.uint64) | np.uint64(1)
-
-
 def _sampled(shares: tuple[int, ...]):
-    """Of each kind (unknown, unknown and keylike, known) the windows of the
-    smallest hashes, as many as its share, of one task."""
+    """Of the windows of texts that are not aside: of each kind (0 unknown, 1 unknown and
+    keylike) those of the smallest hashes, as many as its share, of one
+    task.  And all windows of known secrets, of kind 2, or 3 where the text is aside."""
+    def rows(found: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int32(), pa.binary(), pa.int64()))], ["kind", "window", "h"])
+
     def run(batches):
         best = [{} for _ in shares]
         limit = [2**64 - 1] * len(shares)
-        for _, _, c in _pieces(batches, 1 << 18):
-            kind = np.where(c.known, 2, np.where(c.keylike(), 1, 0))[c.of]
-            kind[~(c.free | c.known)[c.of]] = -1
-            for at in range(0, len(kind), 1 << 14):
-                some = np.flatnonzero(kind[at:at + (1 << 14)] >= 0) + at
-                rows = c.windows(some)
-                mixed = (rows[:, 1:].astype(np.uint64) * _FACTORS).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-                mixed *= np.uint64(0xBF58476D1CE4E5B9)
-                mixed ^= mixed >> np.uint64(32)
-                for k, share in enumerate(shares):
-                    for i in np.flatnonzero((kind[some] == k) & (mixed <= np.uint64(limit[k]))).tolist():
-                        best[k][rows[i].tobytes()] = int(mixed[i])
+        for part in pieces_of(batches, 1 << 18):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            c = _Candidates(texts, [_found(t) for t in texts])
+            aside = np.array(part.column("aside").to_pylist(), bool)[np.searchsorted(c.at, c.begin, side="right") - 1]
+            kind = np.where(c.known, 2 + aside, np.where(c.keylike(), 1, 0))
+            kind[~(c.free & ~aside | c.known)] = -1
+            kind = kind[c.of]
+            mixed = mix(span_hash(running(c.codes), c.w0 - BEFORE, c.w1 + AFTER) + (c.w1 - c.w0).astype(np.uint64))
+            known = np.flatnonzero(kind >= 2)
+            if len(known):
+                yield rows([(int(k), w.tobytes(), int(h) - 2**63) for k, w, h in zip(kind[known], c.windows(known), mixed[known])])
+            for k, share in enumerate(shares):
+                some = np.flatnonzero(kind == k)
+                for at in range(0, len(some), 1 << 12):
+                    few = some[at:at + (1 << 12)]
+                    few = few[mixed[few] <= np.uint64(limit[k])]
+                    best[k].update((w.tobytes(), h) for w, h in zip(c.windows(few), mixed[few].tolist()))
                     if len(best[k]) > 2 * share:
                         best[k] = dict(sorted(best[k].items(), key=lambda x: (x[1], x[0]))[:share])
                         limit[k] = max(best[k].values(), default=0)
-        out = [(k, w) for k, share in enumerate(shares) for w, _ in sorted(best[k].items(), key=lambda x: (x[1], x[0]))[:share]]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([w for _, w in out], pa.binary()),
-                                          pa.array([best[k][w] - 2**63 for k, w in out], pa.int64())], ["kind", "window", "h"])
+        out = [(k, w, h - 2**63) for k, share in enumerate(shares) for w, h in sorted(best[k].items(), key=lambda x: (x[1], x[0]))[:share]]
+        if out:
+            yield rows(out)
     return run
 
 
@@ -209,9 +227,8 @@ def probability(net: dict, windows: list[bytes]) -> np.ndarray:
     return _calibrated(net, np.concatenate([_forward(net, _codes(windows[i:i + 512]))[0] for i in range(0, len(windows), 512)]))
 
 
-def _probabilities(net: dict, c: _Candidates) -> np.ndarray:
-    """The highest of its windows' probabilities for each candidate, as
-    ``probability`` gives them but for rounding."""
+def _scores(net: dict, c: _Candidates) -> np.ndarray:
+    """The score of each window, as ``_forward`` gives it but for rounding."""
     z = np.empty(len(c.w0))
     bounds = np.searchsorted(c.w0, np.arange(0, len(c.codes) + BLOCK, BLOCK))  # windows lie in order
     conv = [w.astype(np.float32) for w in net["conv"]]
@@ -238,6 +255,13 @@ def _probabilities(net: dict, c: _Candidates) -> np.ndarray:
                 some = np.flatnonzero(level == i)
                 pooled[some, part] = np.maximum(tops[i].take(x[some], axis=0), tops[i].take(y[some] - (1 << i), axis=0))
         z[a:b] = np.maximum(0, pooled.reshape(b - a, -1) + bias) @ out + net["shift"]
+    return z
+
+
+def _probabilities(net: dict, c: _Candidates) -> np.ndarray:
+    """The highest of its windows' probabilities for each candidate, as
+    ``probability`` gives them but for rounding."""
+    z = _scores(net, c)
     return np.maximum.reduceat(_calibrated(net, z), c.first) if len(z) else z
 
 
@@ -271,12 +295,13 @@ def guises(known: np.ndarray, others: np.ndarray, rng: np.random.Generator, n: i
     return out
 
 
-def _logistic_fit(z: np.ndarray, t: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through scores ``z`` with labels
+def _logistic_fit(z: np.ndarray, t: np.ndarray, steps: int = 50, n: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through scores ``z``, each counted ``n`` times, with labels
     ``t``, which are drawn in from 0 and 1 by one in the size of their class."""
-    pos, neg = t.sum(), len(t) - t.sum()
+    n = np.ones(len(t)) if n is None else n
+    pos, neg = (n * t).sum(), (n * (1 - t)).sum()
     target = np.where(t > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    weight = np.where(t > 0, 0.5 / max(1, pos), 0.5 / max(1, neg))
+    weight = n * np.where(t > 0, 0.5 / max(1, pos), 0.5 / max(1, neg))
     x = np.stack((z, np.ones(len(z))), axis=1)
     beta = np.zeros(2)
     loss = lambda b: (weight * (np.logaddexp(0, x @ b) - target * (x @ b))).sum()
@@ -293,11 +318,11 @@ def _logistic_fit(z: np.ndarray, t: np.ndarray, steps: int = 50) -> tuple[float,
     return float(beta[0]), float(beta[1])
 
 
-def train(windows: list[bytes], known: np.ndarray, epochs: int = 40, seed: int = 3) -> dict:
+def train(windows: list[bytes], known: np.ndarray, epochs: int = 40, seed: int = 3, least: int | None = None) -> dict:
     """The network on four fifths, calibration and threshold on the rest.  With
-    fewer known secrets than ``LEAST_KNOWN`` no probability reaches the threshold."""
+    fewer known secrets than ``least`` (``LEAST_KNOWN``) no probability reaches the threshold."""
     rng = np.random.default_rng(seed)
-    enough = known.sum() >= LEAST_KNOWN
+    enough = known.sum() >= (LEAST_KNOWN if least is None else least)
     codes, y = _codes(windows), known.astype(float)
     nth = np.zeros(len(y), np.int64)
     for k in (True, False):  # every fifth of each class is kept aside
@@ -339,6 +364,143 @@ def train(windows: list[bytes], known: np.ndarray, epochs: int = 40, seed: int =
     return net
 
 
+# --- the fit on all candidates ---------------------------------------------------
+
+_SHAPES = {"conv": (REACH, CODES, FILTERS), "bias": (FILTERS,), "out": (PARTS * FILTERS,), "shift": (1,)}
+
+
+def _gradient(net: dict, codes: np.ndarray, y: float) -> np.ndarray:
+    """The summed gradient of the hinge loss, rounded off near its corner, of windows with
+    label ``y``, in ``UNIT``s, as one array."""
+    z, pooled, spots = _forward(net, codes)
+    error = np.clip(MARGIN - z if y else z + MARGIN, 0, 1) * (-1 if y else 1)
+    whole = lambda x: np.rint(x / UNIT).astype(np.int64)
+    back = whole(np.outer(error, net["out"]) * (pooled > 0)).reshape(len(codes), PARTS, FILTERS)
+    conv = np.zeros(_SHAPES["conv"], np.int64)
+    filters = np.broadcast_to(np.arange(FILTERS), spots.shape)
+    for k in range(REACH):
+        at = np.take_along_axis(codes, (1 + spots + k).reshape(len(codes), -1), axis=1).reshape(spots.shape)
+        np.add.at(conv[k], (at, filters), back)
+    return np.concatenate([conv.ravel(), back.sum(axis=(0, 1)), whole(pooled * error[:, None]).sum(axis=0), [whole(error).sum()]])
+
+
+def _in_guises(windows: list[bytes], others: np.ndarray, seed: int):
+    """Codes of each window and its guises."""
+    for window in windows:
+        known = _codes([window])
+        rng = np.random.default_rng([seed, *hashlib.md5(window).digest()])
+        yield np.concatenate((known, guises(known, others, rng)))
+
+
+_SUMS = "kind int, n long, sums binary"
+
+
+def _no_sums(kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(kinds, np.int64), np.zeros((kinds, sum(map(np.prod, _SHAPES.values()))), np.int64)
+
+
+def _sums_rows(kinds, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(kinds), pa.int32()), pa.array(n), pa.array([x.tobytes() for x in total], pa.binary())], ["kind", "n", "sums"])
+
+
+def _sums_unknown(net: dict):
+    """Count and gradient of all unknown windows of a task's texts, ordinary (kind 0) and keylike (1)."""
+    def run(batches):
+        n, total = _no_sums(2)
+        for part in pieces_of(batches, 1 << 20):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            c = _Candidates(texts, [_found(t) for t in texts])
+            free, kind = c.free[c.of], c.keylike()[c.of].astype(int)
+            n += np.bincount(kind[free], minlength=2)
+            near = free & (_scores(net, c) > -MARGIN - 0.01)  # beyond, the gradient is zero
+            for k in (0, 1):
+                some = np.flatnonzero(near & (kind == k))
+                for at in range(0, len(some), 256):
+                    total[k] += _gradient(net, c.windows(some[at:at + 256]).astype(np.int64), 0.0)
+        yield _sums_rows((0, 1), n, total)
+    return run
+
+
+def _sums_known(net: dict, others: np.ndarray, step: int):
+    """The same of all known secrets and their guises (kind 2), which are others in each step."""
+    def run(batches):
+        n, total = _no_sums(1)
+        for batch in batches:
+            for codes in _in_guises(batch.column("window").to_pylist(), others, step):
+                n += len(codes)
+                total += _gradient(net, codes, 1.0)
+        yield _sums_rows((2,), n, total)
+    return run
+
+
+def _added_sums(batches):
+    n, total = _no_sums(len(WEIGHTS))
+    for batch in batches:
+        for kind, more, sums in zip(*(batch.column(c).to_pylist() for c in ("kind", "n", "sums"))):
+            n[kind] += more
+            total[kind] += np.frombuffer(sums, np.int64)
+    some = np.flatnonzero(n)
+    yield _sums_rows(some.tolist(), n[some], total[some])
+
+
+def _step(net: dict, size: dict, texts: DataFrame, known: DataFrame, others: np.ndarray, step: int) -> None:
+    """One step of the fit, on the candidates of ``texts`` and all of ``known``."""
+    sums = map_arrow(texts, _sums_unknown(net), _SUMS).unionByName(map_arrow(known, _sums_known(net, others, step), _SUMS))
+    rows = map_arrow(sums.where("n > 0").repartition("kind"), _added_sums, _SUMS).collect()  # one row a kind
+    mean = sum(WEIGHTS[r["kind"]] / r["n"] * UNIT * np.frombuffer(r["sums"], np.int64) for r in sorted(rows, key=lambda r: r["kind"]))
+    at = 0
+    for k, shape in _SHAPES.items():
+        g = mean[at:at + int(np.prod(shape))].reshape(shape)
+        at += g.size
+        if k == "shift":
+            net[k] -= RATE * float(g[0])
+            continue
+        g = g + (0 if k == "bias" else DECAY) * net[k]
+        size[k] = size[k] + g**2  # AdaGrad
+        net[k] = net[k] - RATE * g / (np.sqrt(size[k]) + 1e-8)
+
+
+_COUNTS = "known int, cell int, n long"
+
+
+def _cells(known: int, z: np.ndarray) -> pa.RecordBatch:
+    cell, n = np.unique(np.floor(np.clip(z, -64, 64) * GRAIN).astype(np.int32), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), known, np.int32)), pa.array(cell), pa.array(n.astype(np.int64))], ["known", "cell", "n"])
+
+
+def _cells_unknown(net: dict):
+    """How many unknown windows have which score."""
+    def run(batches):
+        for part in pieces_of(batches, 1 << 20):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            c = _Candidates(texts, [_found(t) for t in texts])
+            yield _cells(0, _scores(net, c)[c.free[c.of]])
+    return run
+
+
+def _cells_known(net: dict, others: np.ndarray):
+    """The same of known secrets in their guises, the secret itself included."""
+    def run(batches):
+        for batch in batches:
+            for codes in _in_guises(batch.column("window").to_pylist(), others, STEPS):
+                yield _cells(1, _forward(net, codes)[0])
+    return run
+
+
+def _calibrate(net: dict, texts: DataFrame, known: DataFrame, others: np.ndarray) -> None:
+    """Calibration and threshold from all candidates of ``texts`` and all of ``known``."""
+    counts = map_arrow(texts, _cells_unknown(net), _COUNTS).unionByName(map_arrow(known, _cells_known(net, others), _COUNTS))
+    rows = counts.groupBy("known", "cell").agg(F.sum("n").alias("n")).orderBy("known", "cell").collect()  # 2 * 128 * GRAIN at most
+    t, z, n = (np.array([r[c] for r in rows], float) for c in ("known", "cell", "n"))
+    z /= GRAIN
+    if 0 < t.sum() < len(t):
+        net["slope"], net["offset"] = _logistic_fit(z, t, n=n)
+    found = np.flatnonzero(t)  # by score
+    upto = n[found].cumsum()
+    lowest = z[found[np.searchsorted(upto, int((1 - RECALL) * upto[-1]), side="right")]] if len(found) else np.inf
+    net["threshold"] = float(_calibrated(net, np.array([lowest]))[0]) if len(found) else 1.0
+
+
 def _named(net: dict | None):
     order = {k: n for n, k in enumerate((*KINDS, "model"))}
     text = lambda found: ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(found, key=lambda f: (f[0], order[f[2]], f[1])))
@@ -361,13 +523,33 @@ def _named(net: dict | None):
     return run
 
 
+def _fitted(docs: DataFrame, sample: int) -> dict | None:
+    """The network, fitted on all candidates of ``docs``; None without candidates of both classes."""
+    share = F.pmod(F.xxhash64("text"), F.lit(FOLDS * STEPS))
+    texts = docs.select("text", (share % FOLDS == FOLDS - 1).alias("aside"), F.floor(share / FOLDS).alias("step"))
+    shares = (sample // 2, sample // 4)  # other candidates, keylike ones
+    seen = keep(map_arrow(texts.select("text", "aside"), _sampled(shares), "kind int, window binary, h long").distinct(), "candidates")
+    n_known = seen.where("kind >= 2").select("window").distinct().count()
+    few = n_known < LEAST_KNOWN
+    first = lambda which, n: seen.where(which).select("kind", "window", "h").orderBy("h", "window").limit(n).collect()
+    rows = [r for k, n in enumerate(shares) for r in first(F.col("kind") == k, n)]
+    rows += first(F.col("kind") >= 2 if few else F.col("kind") == 2, sample // 4)  # the start: at most ``sample``
+    rows.sort(key=lambda r: hashlib.md5(r["window"]).digest())
+    windows, known = [bytes(r["window"]) for r in rows], np.array([r["kind"] >= 2 for r in rows], bool)
+    if not 0 < known.sum() < len(known):
+        return None
+    if few:
+        return train(windows, known)
+    net = train(windows, known, least=1)
+    size, others = {k: np.zeros(shape) for k, shape in _SHAPES.items()}, _codes([w for w, k in zip(windows, known) if not k])
+    for step in range(STEPS):
+        _step(net, size, texts.where(~F.col("aside") & (F.col("step") == step)).select("text"), seen.where("kind = 2").select("window"), others, step)
+    _calibrate(net, texts.where("aside").select("text"), seen.where("kind = 3").select("window"), others)
+    return net
+
+
 def secret_scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row.
+    ``sample``: candidates from which the network starts; the fit covers all."""
     docs = docs.select("doc_id", "text")
-    shares = (sample // 2, sample // 4, sample // 4)  # other candidates, keylike ones, known secrets
-    some = keep(map_arrow(docs, _sampled(shares), "kind int, window binary, h long").distinct(), "candidates")
-    rows = [r for k, n in enumerate(shares) for r in some.where(F.col("kind") == k).orderBy("h", "window").limit(n).collect()]  # at most ``sample``
-    rows.sort(key=lambda r: hashlib.md5(r["window"]).digest())
-    known = np.array([r["kind"] == 2 for r in rows], bool)
-    net = train([bytes(r["window"]) for r in rows], known) if 0 < known.sum() < len(known) else None
-    return map_arrow(docs, _named(net), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_arrow(docs, _named(_fitted(docs, sample)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
