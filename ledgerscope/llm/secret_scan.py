@@ -57,8 +57,8 @@ _MARKS = np.array([chr(c).isalnum() or chr(c) in "+/_.=-" for c in range(128)])
 SAMPLE, RECALL = 8_000, 0.98
 #: different known secrets from which on the network is used; guises of each
 LEAST_KNOWN, GUISES = 50, 8
-#: one text in ``FOLDS`` is kept aside; steps in which the others are read; margin of the loss
-FOLDS, STEPS, MARGIN = 5, 16, 2.0
+#: shares of the texts: a step of the fit reads one, those beyond the steps are kept aside; margin of the loss
+SHARES, STEPS, MARGIN = 20, 16, 2.0
 #: a gradient's unit, and parts of 1 in which scores are counted
 UNIT, GRAIN = 2.0**-32, 1024
 #: rate of the fit; weight of ordinary unknown candidates, keylike ones and known secrets, as in the start's sample
@@ -531,8 +531,8 @@ def _named(net: dict | None):
 
 def _fitted(docs: DataFrame, sample: int) -> dict | None:
     """The network, fitted on all candidates of ``docs``; None without candidates of both classes."""
-    share = F.pmod(F.xxhash64("text"), F.lit(FOLDS * STEPS))
-    texts = docs.select("text", (share % FOLDS == FOLDS - 1).alias("aside"), F.floor(share / FOLDS).alias("step"))
+    share = F.pmod(F.xxhash64("text"), F.lit(SHARES))
+    texts = docs.select("text", share.alias("share"), (share >= STEPS).alias("aside"))
     shares = (sample // 2, sample // 4)  # other candidates, keylike ones
     seen = keep(map_arrow(texts.select("text", "aside"), _sampled(shares), "kind int, window binary, h long").distinct(), "candidates")
     n_known = seen.where("kind >= 2").select("window").distinct().count()
@@ -549,7 +549,7 @@ def _fitted(docs: DataFrame, sample: int) -> dict | None:
     net = train(windows, known, least=1)
     size, others = {k: np.zeros(shape) for k, shape in _SHAPES.items()}, _codes([w for w, k in zip(windows, known) if not k])
     for step in range(STEPS):
-        _step(net, size, texts.where(~F.col("aside") & (F.col("step") == step)).select("text"), seen.where("kind = 2").select("window"), others, step)
+        _step(net, size, texts.where(F.col("share") == step).select("text"), seen.where("kind = 2").select("window"), others, step)
     _calibrate(net, texts.where("aside").select("text"), seen.where("kind = 3").select("window"), others)
     return net
 
