@@ -25,8 +25,10 @@ above it that no base finding covers are added as kind ``model``; base findings
 Below ``LEAST_KNOWN`` different known secrets there is too little to learn from, and nothing is added.
 
 The convolution runs once over a text; a window's maxima come from maxima over
-stretches of 1, 2, 4, ... places, so the cost is one per character, however many
+stretches of 4 and 8 places, so the cost is one per character, however many
 windows there are, and no window but those of the sample and of the known secrets leaves its task.
+Where only the few windows above a score matter (the fit's margin, the threshold), it runs in
+whole numbers of 16 bits with a proven bound of their error, and what may be above is scored exactly.
 
 Defined results: null and empty text have no finding; without candidates of
 both classes, or with fewer known secrets than ``LEAST_KNOWN``, nothing is added; rows that repeat a doc_id are scanned each; a
@@ -72,17 +74,25 @@ LENGTH, FILTERS, REACH, PARTS = BEFORE + INSIDE + AFTER, 16, 5, 3
 STEP = INSIDE // 2
 BLOCK = 1 << 15  # places of a text that are convolved at once
 CODES = 97  # printable ASCII, one for anything else, one for nothing
+#: by byte of UTF-8 the code of the character that it begins
+_CODE = np.array([0 if b == 0 else b - 31 if 32 <= b <= 126 else CODES - 1 for b in range(256)], np.uint8)
+#: by code
+_MARK, _IS_HEX = np.zeros(256, np.int8), np.zeros(256, bool)
+_MARK[1:CODES - 1] = _MARKS[32:127]
+_IS_HEX[_CODE[list(b"0123456789abcdef")]] = True
 
 
-def _found(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, kind, start of the part that counts) by start, then kind as listed."""
+def _found(text: str, hexlike: bool = True) -> list[tuple[int, int, str, int]]:
+    """(start, end, kind, start of the part that counts) by start, then kind as listed.
+    Without ``hexlike`` the text is known to have no finding of kind ``hex``."""
     found = []
     lower = text.encode("utf-8", "replace").lower()
     if any(k in lower for k in _KEYWORDS):
         found += [(m.start(), m.end(), "assign", m.start(2)) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= 6]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access", m.start()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), m.end(), "hex", m.start()) for m in _HEX.finditer(text)]
+    if hexlike:
+        found += [(m.start(), m.end(), "hex", m.start()) for m in _HEX.finditer(text)]
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[2]), f[1]))
 
 
@@ -107,44 +117,59 @@ def _codes_of(text: str) -> np.ndarray:
 class _Candidates:
     """Candidates of some texts, laid out one after the other with gaps.
 
-    ``codes``: all characters; ``at``: where each text begins; ``begin``, ``end``,
-    ``free``, ``known`` per candidate; ``w0``, ``w1``, ``first``: its windows."""
-
-    def __init__(self, texts: list[str], founds: list[list[tuple[int, int, str, int]]]):
-        gap = np.zeros(BEFORE + REACH, np.uint8)
-        parts = [gap]
-        self.at, place = [], len(gap)
-        for text in texts:
-            self.at.append(place)
-            parts += [_codes_of(text), gap]
-            place += len(text) + len(gap)
-        self.codes = np.concatenate([*parts, np.zeros(INSIDE, np.uint8)])
-        covered, counts = np.zeros(len(self.codes), np.int8), np.zeros(len(self.codes) + 1, np.int32)
-        for at, found in zip(self.at, founds):
-            for start, end, _, secret in found:
-                covered[at + start:at + end] = 1
-                counts[at + secret + 1:at + end + 1] = 1
-        marks = np.zeros(256, np.int8)
-        marks[1:CODES - 1] = _MARKS[32:127]
-        label = marks[self.codes] * (1 + covered)
-        edge = np.flatnonzero(np.diff(label, prepend=np.int8(0), append=np.int8(0)))
-        self.begin, self.end = edge[:-1], edge[1:]
-        some = label[self.begin] > 0
-        self.begin, self.end = self.begin[some], self.end[some]
-        self.free, upto = label[self.begin] == 1, counts.cumsum()
-        self.known = ~self.free & (upto[self.end] > upto[self.begin])
+    ``codes``: all characters; ``at``: where each text begins; ``founds``: its base findings;
+    ``begin``, ``end``, ``free``, ``known`` per candidate; ``w0``, ``w1``, ``first``: its windows."""
+
+    def __init__(self, texts: list[str], founds: list[list[tuple[int, int, str, int]]] | None = None):
+        gap = "\0" * (BEFORE + REACH)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + len(gap)
+        at = len(gap) + sizes.cumsum() - sizes
+        self.at = at.tolist()
+        data = np.frombuffer("".join([gap, *(x for text in texts for x in (text, gap)), "\0" * INSIDE]).encode("utf-8", "surrogatepass"), np.uint8)
+        self.codes = _CODE.take(data)
+        if len(data) > len(gap) + sizes.sum() + INSIDE:  # characters of several bytes: the first one counts
+            self.codes = self.codes[(data & 0xC0) != 0x80]
+        self.founds = founds = [_found(t, h) for t, h in zip(texts, self._hexlike(at))] if founds is None else founds
+        label, counted = _MARK.take(self.codes), [np.zeros(0, np.int64)]
+        for start, found in zip(self.at, founds):
+            for begin, end, _, secret in found:
+                part = label[start + begin:start + end]
+                part[part > 0] = 2
+                counted.append(np.arange(start + secret, start + end))
+        edge = np.flatnonzero(label[1:] != label[:-1]) + 1  # the gaps at both ends have label 0
+        kind = label.take(edge[:-1])
+        some = np.flatnonzero(kind)
+        self.begin, self.end = edge.take(some), edge.take(some + 1)
+        self.free = kind.take(some) == 1
+        self.known = np.zeros(len(some), bool)
+        base, counted = np.flatnonzero(~self.free), np.unique(np.concatenate(counted))
+        self.known[base] = np.searchsorted(counted, self.end[base]) > np.searchsorted(counted, self.begin[base])
         n = self.end - self.begin
-        windows = 1 + np.maximum(0, -(-(n - INSIDE) // STEP))
+        windows, long = np.ones(len(n), np.int64), np.flatnonzero(n > INSIDE)
+        windows[long] += -(-(n[long] - INSIDE) // STEP)
         self.first = windows.cumsum() - windows
         self.of = np.repeat(np.arange(len(n)), windows)
-        self.w0 = self.begin[self.of] + STEP * (np.arange(len(self.of)) - self.first[self.of])
-        self.w0 = np.maximum(self.begin[self.of], np.minimum(self.w0, self.end[self.of] - INSIDE))
-        self.w1 = np.minimum(self.end[self.of], self.w0 + INSIDE)
+        self.w0, self.w1 = self.begin.take(self.of), self.end.take(self.of)
+        long = np.flatnonzero(windows.take(self.of) > 1)
+        self.w0[long] = np.minimum(self.w0[long] + STEP * (long - self.first[self.of[long]]), self.w1[long] - INSIDE)
+        self.w1[long] = self.w0[long] + INSIDE
+
+    def _hexlike(self, at: np.ndarray) -> np.ndarray:
+        """Texts that may have 24 hex characters in a row: of these, every third are 8 in a row."""
+        hexes = _IS_HEX.take(self.codes[::3])
+        for k in (1, 2, 4):
+            hexes = hexes[:-k] & hexes[k:]
+        out = np.zeros(len(at), bool)
+        out[np.searchsorted(at, 3 * np.flatnonzero(hexes), side="right") - 1] = True
+        return out
 
     def keylike(self) -> np.ndarray:
         """Candidates of 12 characters or more with a digit."""
-        digit = np.concatenate(([0], ((self.codes >= 17) & (self.codes <= 26)).cumsum()))  # codes of 0 to 9
-        return (self.end - self.begin >= 12) & (digit[self.end] > digit[self.begin])
+        digits = np.flatnonzero(self.codes - np.uint8(17) < 10)  # codes of 0 to 9; others are 10 or more, or wrap around
+        out = self.end - self.begin >= 12
+        some = np.flatnonzero(out)
+        out[some] = np.searchsorted(digits, self.end[some]) > np.searchsorted(digits, self.begin[some])
+        return out
 
     def windows(self, which: np.ndarray) -> np.ndarray:
         """Rows as ``_window`` gives them."""
@@ -155,12 +180,15 @@ class _Candidates:
         return np.concatenate((n[:, None].astype(np.uint8), codes), axis=1)
 
 
+def _candidates(part: pa.RecordBatch) -> _Candidates:
+    return _Candidates([t or "" for t in part.column("text").to_pylist()])
+
+
 def _pieces(batches, limit: int):
     """doc_ids, base findings and candidates of slices of the batches."""
     for part in pieces_of(batches, limit):
-        texts = [t or "" for t in part.column("text").to_pylist()]
-        founds = [_found(t) for t in texts]
-        yield part.column("doc_id").to_pylist(), founds, _Candidates(texts, founds)
+        c = _candidates(part)
+        yield part.column("doc_id").to_pylist(), c.founds, c
 
 
 def _sampled(shares: tuple[int, ...]):
@@ -174,8 +202,7 @@ def _sampled(shares: tuple[int, ...]):
         best = [{} for _ in shares]
         limit = [2**64 - 1] * len(shares)
         for part in pieces_of(batches, 1 << 18):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            c = _Candidates(texts, [_found(t) for t in texts])
+            c = _candidates(part)
             aside = np.array(part.column("aside").to_pylist(), bool)[np.searchsorted(c.at, c.begin, side="right") - 1]
             kind = np.where(c.known, 2 + aside, np.where(c.keylike(), 1, 0))
             kind[~(c.free & ~aside | c.known)] = -1
@@ -208,17 +235,30 @@ def _codes(windows: list[bytes]) -> np.ndarray:
 def _forward(net: dict, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside, codes = rows[:, 0], rows[:, 1:]
     steps = LENGTH - REACH + 1
-    conv = net["bias"] + sum(net["conv"][k][codes[:, k:k + steps]] for k in range(REACH))
-    # what each pooled part of the convolution covers: before, the candidate, after
-    at, end = np.arange(steps), (BEFORE + inside)[:, None]
-    parts = [np.broadcast_to(at <= BEFORE - REACH, (len(rows), steps)), (at > BEFORE - REACH) & (at < end),
-             (at > end - REACH) & (at <= end + AFTER - REACH)]
-    spots = np.stack([np.where(part[:, :, None], conv, -np.inf).argmax(axis=1) for part in parts], axis=1)  # n, parts, filters
+    conv = net["conv"][0].take(codes[:, :steps], axis=0)
+    for k in range(1, REACH):
+        conv += net["conv"][k].take(codes[:, k:k + steps], axis=0)
+    conv += net["bias"]
+    # the places of the convolution that each part pools: before, the candidate, after
+    first, end = BEFORE - REACH + 1, (BEFORE + inside)[:, None]
+    after = end - REACH + 1 + np.arange(AFTER)
+    within = np.where((np.arange(first, BEFORE + INSIDE) < end)[:, :, None], conv[:, first:BEFORE + INSIDE], -np.inf)
+    spots = np.stack([conv[:, :first].argmax(axis=1), first + within.argmax(axis=1),
+                      after[:, :1] + np.take_along_axis(conv, after[:, :, None], axis=1).argmax(axis=1)], axis=1)  # n, parts, filters
     tops = np.take_along_axis(conv, spots.reshape(len(codes), -1, FILTERS), axis=1)
     pooled = np.maximum(0, tops).reshape(len(codes), -1)
     return pooled @ net["out"] + net["shift"], pooled, spots
 
 
+def _added_at(total: np.ndarray, codes: np.ndarray, spots: np.ndarray, back: np.ndarray) -> None:
+    """Add what goes back from each pooled place to the weights that it came from."""
+    filters, some = np.broadcast_to(np.arange(FILTERS), spots.shape), np.flatnonzero(back)
+    more = back.ravel()[some]
+    for k in range(REACH):
+        at = np.take_along_axis(codes, (1 + spots + k).reshape(len(codes), -1), axis=1).reshape(spots.shape)
+        np.add.at(total[k].reshape(-1), (at * FILTERS + filters).ravel()[some], more)
+
+
 def _calibrated(net: dict, z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(net["slope"] * z + net["offset"], -30, 30)))
 
@@ -227,47 +267,89 @@ def probability(net: dict, windows: list[bytes]) -> np.ndarray:
     return _calibrated(net, np.concatenate([_forward(net, _codes(windows[i:i + 512]))[0] for i in range(0, len(windows), 512)]))
 
 
-def _scores(net: dict, c: _Candidates) -> np.ndarray:
-    """The score of each window, as ``_forward`` gives it but for rounding."""
-    z = np.empty(len(c.w0))
-    bounds = np.searchsorted(c.w0, np.arange(0, len(c.codes) + BLOCK, BLOCK))  # windows lie in order
-    conv = [w.astype(np.float32) for w in net["conv"]]
-    # one table for two places side by side: fewer look-ups
-    pairs = [(conv[k][:, None] + conv[k + 1]).reshape(CODES * CODES, FILTERS) for k in range(0, REACH - 1, 2)]
-    bias, out = np.tile(net["bias"], PARTS).astype(np.float32), net["out"].astype(np.float32)
+def _tables(net: dict, dtype: type) -> list[np.ndarray]:
+    """The convolution for two places side by side (fewer look-ups), and for the last place, with the bias."""
+    conv = net["conv"].astype(dtype)
+    return [(conv[k][:, None] + conv[k + 1]).reshape(CODES * CODES, FILTERS) for k in range(0, REACH - 1, 2)] + [conv[REACH - 1] + net["bias"].astype(dtype)]
+
+
+def _pooled_scores(c: _Candidates, tables: list[np.ndarray], out: np.ndarray, shift: float) -> np.ndarray:
+    """The score of each window; convolution and maxima in the type of ``tables``."""
+    z = np.full(len(c.w0), shift, float)
+    bounds = np.searchsorted(c.w0, np.arange(0, len(c.codes) + BLOCK, BLOCK)).tolist()  # windows lie in order
+    out = out.astype(np.float32).reshape(PARTS, FILTERS)
     for a, b in zip(bounds, bounds[1:]):
         if a == b:
             continue
         begin, end = c.w0[a:b], c.w1[a:b]
         low, high = begin[0] - BEFORE, end.max() + AFTER
-        codes = c.codes[low:high]
+        codes = c.codes[low:high].astype(np.int64)
         n = len(codes) - REACH + 1
-        two = codes[:-1].astype(np.int64) * CODES + codes[1:]
-        top = conv[REACH - 1].take(codes[REACH - 1:], axis=0)
-        for k, table in enumerate(pairs):
+        two = codes[:-1] * CODES + codes[1:]
+        top = tables[-1].take(codes[REACH - 1:], axis=0)
+        for k, table in enumerate(tables[:-1]):
             top += table.take(two[2 * k:2 * k + n], axis=0)
-        tops = [top]  # tops[i][x]: maxima over 2**i places from x on
-        while 1 << len(tops) <= INSIDE + REACH - 1:
-            half = 1 << (len(tops) - 1)
-            tops.append(np.maximum(tops[-1][:-half], tops[-1][half:]) if len(tops[-1]) > half else tops[-1][:0])
-        pooled = np.empty((b - a, PARTS, FILTERS), np.float32)
-        for part, (x, y) in enumerate(((begin - BEFORE, begin - REACH + 1), (begin - REACH + 1, end), (end - REACH + 1, end + AFTER - REACH + 1))):
-            x, y = x - low, y - low
-            level = np.frexp(y - x)[1] - 1
-            for i in np.unique(level).tolist():
-                some = np.flatnonzero(level == i)
-                pooled[some, part] = np.maximum(tops[i].take(x[some], axis=0), tops[i].take(y[some] - (1 << i), axis=0))
-        z[a:b] = np.maximum(0, pooled.reshape(b - a, -1) + bias) @ out + net["shift"]
+        begin, end = begin - low, end - low
+        tops = [top]  # maxima over 1, 2, 4, 8 places from each on
+        for half in (1, 2, 4):
+            tops.append(np.maximum(tops[-1][:-half], tops[-1][half:]))
+        size = end - begin + REACH - 1
+        eights = (size + 7) >> 3
+        parts = [(0, slice(None), begin - BEFORE, BEFORE - REACH + 1), (2, slice(None), end - REACH + 1, AFTER)]
+        for n in np.flatnonzero(np.bincount(eights)).tolist():
+            some = np.flatnonzero(eights == n)
+            parts.append((1, some, begin.take(some) - REACH + 1, size.take(some)))
+        for part, some, first, size in parts:
+            n = (int(np.max(size)) + 7) >> 3  # of stretches; up to 8 places are two of 4
+            width, over = (8, tops[3]) if n > 1 else (4, tops[2])
+            best = over.take(first, axis=0)
+            for i in range(1, max(n, 2)):
+                np.maximum(best, over.take(first + np.minimum(i * width, size - width), axis=0), out=best)
+            z[a:b][some] += np.maximum(best, np.zeros_like(best), out=best).astype(np.float32, copy=False) @ out[part]
     return z
 
 
-def _probabilities(net: dict, c: _Candidates) -> np.ndarray:
+def _scores(net: dict, c: _Candidates) -> np.ndarray:
+    """The score of each window, as ``_forward`` gives it but for rounding."""
+    return _pooled_scores(c, _tables(net, np.float32), net["out"], net["shift"])
+
+
+def _in_units(net: dict) -> dict:
+    """The network in whole numbers of 16 bits, and how far its scores can be from those of ``_forward``: each
+    of a place's tables is wrong by half a unit at most, maxima and cutting off at zero add nothing."""
+    most = np.abs(net["conv"]).max(axis=(1, 2)).sum() + np.abs(net["bias"]).max()
+    unit = max(most, 1e-30) / 32000
+    tables = [np.rint(table / unit).astype(np.int16) for table in _tables(net, np.float64)]
+    weight, rounding = np.abs(net["out"]).sum(), 1e-5  # the latter of sums in float32
+    return {"tables": tables, "out": net["out"] * unit, "shift": net["shift"],
+            "error": weight * (len(tables) * unit / 2 + rounding * most) + 1e-9 * (1 + abs(net["shift"]))}
+
+
+def _bounds(units: dict, c: _Candidates) -> tuple[np.ndarray, np.ndarray]:
+    """What the score of each window surely lies between, by the network ``_in_units``."""
+    z = _pooled_scores(c, units["tables"], units["out"], units["shift"])
+    return z - units["error"], z + units["error"]
+
+
+def _probabilities(net: dict, c: _Candidates, z: np.ndarray | None = None) -> np.ndarray:
     """The highest of its windows' probabilities for each candidate, as
-    ``probability`` gives them but for rounding."""
-    z = _scores(net, c)
+    ``probability`` gives them but for rounding, or by scores ``z``."""
+    z = _scores(net, c) if z is None else z
     return np.maximum.reduceat(_calibrated(net, z), c.first) if len(z) else z
 
 
+def _hits(net: dict, units: dict, c: _Candidates) -> np.ndarray:
+    """Candidates that no base finding covers and whose probability reaches the threshold."""
+    low, high = _bounds(units, c)
+    maybe = c.free & (_probabilities(net, c, high if net["slope"] >= 0 else low) >= net["threshold"])
+    some = np.flatnonzero(maybe.take(c.of))
+    hit = [some[:0]]
+    for at in range(0, len(some), 256):
+        few = some[at:at + 256]
+        hit.append(few[_calibrated(net, _forward(net, c.windows(few).astype(np.int64))[0]) >= net["threshold"]])
+    return np.unique(c.of[np.concatenate(hit)])
+
+
 _ALNUM = np.array([i for i in range(1, CODES - 1) if _MARKS[i + 31] and chr(i + 31).isalnum()])
 _CAPITAL = np.arange(256)
 _CAPITAL[ord("a") - 31:ord("z") - 30] -= 32
@@ -351,10 +433,7 @@ def train(windows: list[bytes], known: np.ndarray, epochs: int = 40, seed: int =
             error = weight[i] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) / len(i)
             back = (np.outer(error, net["out"]) * (pooled > 0)).reshape(len(i), PARTS, FILTERS)
             grad = {"conv": DECAY * net["conv"], "bias": back.sum(axis=(0, 1)), "out": pooled.T @ error + DECAY * net["out"]}
-            filters = np.broadcast_to(np.arange(FILTERS), spots.shape)
-            for k in range(REACH):
-                at = np.take_along_axis(codes[i], (1 + spots + k).reshape(len(i), -1), axis=1).reshape(spots.shape)
-                np.add.at(grad["conv"][k], (at, filters), back)
+            _added_at(grad["conv"], codes[i], spots, back)
             for k, g in grad.items():  # AdaGrad
                 size[k] += g**2
                 net[k] = net[k] - 0.05 * g / (np.sqrt(size[k]) + 1e-8)
@@ -380,10 +459,7 @@ def _gradient(net: dict, codes: np.ndarray, y: float) -> np.ndarray:
     whole = lambda x: np.rint(x / UNIT).astype(np.int64)
     back = whole(np.outer(error, net["out"]) * (pooled > 0)).reshape(len(codes), PARTS, FILTERS)
     conv = np.zeros(_SHAPES["conv"], np.int64)
-    filters = np.broadcast_to(np.arange(FILTERS), spots.shape)
-    for k in range(REACH):
-        at = np.take_along_axis(codes, (1 + spots + k).reshape(len(codes), -1), axis=1).reshape(spots.shape)
-        np.add.at(conv[k], (at, filters), back)
+    _added_at(conv, codes, spots, back)
     return np.concatenate([conv.ravel(), back.sum(axis=(0, 1)), whole(pooled * error[:, None]).sum(axis=0), [whole(error).sum()]])
 
 
@@ -412,13 +488,12 @@ def _sums_rows(kinds, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
 def _sums_unknown(net: dict):
     """Count and gradient of all unknown windows of a task's texts, ordinary (kind 0) and keylike (1)."""
     def run(batches):
-        n, total = _no_sums(2)
+        (n, total), units = _no_sums(2), _in_units(net)
         for part in pieces_of(batches, 1 << 20):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            c = _Candidates(texts, [_found(t) for t in texts])
+            c = _candidates(part)
             free, kind = c.free[c.of], c.keylike()[c.of].astype(int)
             n += np.bincount(kind[free], minlength=2)
-            near = free & (_scores(net, c) > -MARGIN - 0.01)  # beyond, the gradient is zero
+            near = free & (_bounds(units, c)[1] > -MARGIN)  # beyond, the gradient is zero
             for k in (0, 1):
                 some = np.flatnonzero(near & (kind == k))
                 for at in range(0, len(some), 256):
@@ -478,8 +553,7 @@ def _cells_unknown(net: dict):
     """How many unknown windows have which score."""
     def run(batches):
         for part in pieces_of(batches, 1 << 20):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            c = _Candidates(texts, [_found(t) for t in texts])
+            c = _candidates(part)
             yield _cells(0, _scores(net, c)[c.free[c.of]])
     return run
 
@@ -512,10 +586,11 @@ def _named(net: dict | None):
     text = lambda found: ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(found, key=lambda f: (f[0], order[f[2]], f[1])))
 
     def run(batches):
+        units = None if net is None else _in_units(net)
         for docs, founds, c in _pieces(batches, 1 << 20):
             added = [[] for _ in docs]
             if net is not None:
-                hit = np.flatnonzero(c.free & (_probabilities(net, c) >= net["threshold"]))
+                hit = _hits(net, units, c)
                 for i, begin, end in zip((np.searchsorted(c.at, c.begin[hit], side="right") - 1).tolist(), c.begin[hit].tolist(), c.end[hit].tolist()):
                     added[i].append((begin - c.at[i], end - c.at[i], "model"))
             rows = []
